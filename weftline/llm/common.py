@@ -133,3 +133,36 @@ class Memo(dict):
             self.clear()
         self[key] = value
         return value
+
+
+#: Rows of the right side below which ``join_counted`` broadcasts all of it, and the most keys that
+#: can each hold over one in so many rows of the left side.
+SMALL_SIDE = 10_000
+HOT_KEYS = 1_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
+    """Null-safe inner join of ``left`` to ``right``, which has each ``key`` once and in ``rows``
+    (dropped) how many rows of ``left`` have it.
+
+    A right side of at most SMALL_SIDE rows is broadcast.  Otherwise the keys with over one in
+    HOT_KEYS of all rows, of which there are fewer than HOT_KEYS, are broadcast, so that their rows
+    stay spread, and the others meet in a shuffle.
+    """
+    total, count = right.agg(F.sum(rows), F.count(F.lit(1))).first()
+    plain = right.drop(rows)
+    if count <= SMALL_SIDE:
+        return _null_safe(left, F.broadcast(plain), key)
+    hot = F.col(rows) > F.lit((total or 0) / HOT_KEYS)
+    warm = F.broadcast(right.where(hot).select(F.col(key).alias("__hot"), F.lit(True).alias("__is_hot")))
+    marked = left.join(warm, left[key].eqNullSafe(warm["__hot"]), "left").drop("__hot")
+    spread = marked.where("__is_hot").drop("__is_hot")
+    rest = marked.where(F.col("__is_hot").isNull()).drop("__is_hot")
+    return _null_safe(spread, F.broadcast(right.where(hot).drop(rows)), key).unionByName(
+        _null_safe(rest, right.where(~hot).drop(rows), key)
+    )
+
+
+def _null_safe(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    right = right.withColumnRenamed(key, "__key")
+    return left.join(right, left[key].eqNullSafe(right["__key"])).drop("__key")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe_automaton, sharding, token_count, token_files
+from weftline.llm import bpe_automaton, mixing, sharding, simhash, token_count, token_files, topk_search
 from weftline.llm.common import read_table
 
 
@@ -16,9 +16,12 @@ def _over(table: str, query: Callable[..., DataFrame], *more: str) -> Callable[[
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": _over("documents", sharding.query),
+    "op2_topk_search": _over("embeddings", topk_search.query),
+    "op3_source_mixing": _over("documents", mixing.query),
     "op4_token_counts": _over("documents", token_count.query),
     "op7_token_files": _over("documents", token_files.query),
     "op8_bpe_automaton": _over("documents", bpe_automaton.query),
+    "op9_simhash": _over("documents", simhash.query),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_topk_search": topk_search.ORACLE_SQL}

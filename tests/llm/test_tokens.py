@@ -41,8 +41,9 @@ def test_automaton_matches_the_library(library):
     codec = bpe_automaton.WordCodec(bpe_automaton.word_model_path(), cache_entries=64)
     for text in CASES + random_texts(1500):
         ids = library.encode(text, add_special_tokens=False).ids
-        found, labels = codec.encode_text(text.encode())
+        found, labels, packed = codec.encode_text(text.encode())
         assert [int(i) for i in found.split()] == ids, repr(text)
+        assert np.frombuffer(packed, "<i4").tolist() == ids
         assert labels.decode() == library.decode(ids, skip_special_tokens=False), repr(text)
 
 

@@ -29,6 +29,8 @@ import re
 from collections.abc import Sequence
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -204,22 +206,23 @@ class WordCodec:
                     found += self.word[word] if len(word) < 6 else encode(word)
         return found
 
-    def _chunk(self, chunk: bytes) -> tuple[bytes, bytes]:
-        """Identifiers and arc labels of a chunk, each joined by spaces."""
+    def _chunk(self, chunk: bytes) -> tuple[bytes, bytes, bytes]:
+        """Identifiers and arc labels of a chunk, each joined by spaces, and packed identifiers."""
         ids = self.ids(chunk.decode())
-        return " ".join(map(str, ids)).encode(), self.decode(ids).encode()
+        packed = b"".join([i.to_bytes(4, "little") for i in ids])
+        return " ".join(map(str, ids)).encode(), self.decode(ids).encode(), packed
 
     def decode(self, ids) -> str:
         """The labels of the path, joined as the library joins tokens where no decoder is set."""
         label = self.label
         return " ".join([label[i] for i in ids])
 
-    def encode_text(self, text: bytes) -> tuple[bytes, bytes]:
-        """Decimal identifiers and decoded text of a whole UTF-8 text."""
+    def encode_text(self, text: bytes) -> tuple[bytes, bytes, bytes]:
+        """Decimal identifiers, decoded text and packed identifiers of a whole UTF-8 text."""
         if not text.strip():
-            return b"", b""
-        ids, labels = zip(*map(self.chunk.__getitem__, text.split()))
-        return b" ".join(filter(None, ids)), b" ".join(filter(None, labels))
+            return b"", b"", b""
+        ids, labels, packed = zip(*map(self.chunk.__getitem__, text.split()))
+        return b" ".join(filter(None, ids)), b" ".join(filter(None, labels)), b"".join(packed)
 
 
 @lru_cache(maxsize=2)
@@ -231,18 +234,35 @@ def codec(path: str) -> WordCodec:
 def encode(
     df: DataFrame, text: str = "text", model_path: str | None = None, keep: Sequence[str] | None = None
 ) -> DataFrame:
-    """``df`` with token_ids (array of int) for every row.
+    """``df`` with token_ids (array of int), n_tokens, and the SHA-256 of the decimal identifiers
+    and of the decoded text (ids_sha256, decoded_sha256), in one pass.
 
     A null or empty text has no identifiers; texts are taken whole; repeated rows are encoded
-    each; an empty table gives an empty table; an input column token_ids is replaced.
+    each; an empty table gives an empty table; input columns named like the results are replaced.
     """
     path = model_path or word_model_path()
 
     def start():
         encode_text = codec(path).encode_text
-        return lambda texts: ([[int(i) for i in encode_text(t)[0].split()] for t in texts],)
 
-    return append_columns(df, [text_bytes(text)], [("token_ids", T.ArrayType(T.IntegerType()))], start, keep)
+        def work(texts: list[bytes]):
+            found = [encode_text(t) for t in texts]
+            flat = np.frombuffer(b"".join([packed for _, _, packed in found]), dtype="<i4")
+            ends = np.cumsum([0, *[len(packed) // 4 for _, _, packed in found]])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            return lists, np.diff(ends).tolist(), *_hashes(found)
+
+        return work
+
+    fields = [("token_ids", T.ArrayType(T.IntegerType())), *DIGEST]
+    return append_columns(df, [text_bytes(text)], fields, start, keep)
+
+
+DIGEST = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+
+
+def _hashes(found) -> tuple[list[str], list[str]]:
+    return tuple([hashlib.sha256(f[k]).hexdigest() for f in found] for k in (0, 1))
 
 
 def decode(df: DataFrame, ids: str = "token_ids", model_path: str | None = None) -> DataFrame:
@@ -269,18 +289,12 @@ def digest(
         encode_text = codec(path).encode_text
 
         def work(texts: list[bytes]):
-            counts, ids_hash, text_hash = [], [], []
-            for t in texts:
-                ids, labels = encode_text(t)
-                counts.append(ids.count(b" ") + 1 if ids else 0)
-                ids_hash.append(hashlib.sha256(ids).hexdigest())
-                text_hash.append(hashlib.sha256(labels).hexdigest())
-            return counts, ids_hash, text_hash
+            found = [encode_text(t) for t in texts]
+            return [len(packed) // 4 for _, _, packed in found], *_hashes(found)
 
         return work
 
-    fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    return append_columns(df, [text_bytes(text)], fields, start, keep)
+    return append_columns(df, [text_bytes(text)], DIGEST, start, keep)
 
 
 def query(documents: DataFrame) -> DataFrame:

@@ -67,7 +67,8 @@ def append_columns(
 ) -> DataFrame:
     """``df`` with ``fields`` appended, computed batch by batch from ``inputs`` as Python lists.
 
-    ``start`` runs once in each task and returns the function of one batch.  Columns of ``df``
+    ``start`` runs once in each task and returns the function of one batch, which gives a list or
+    an Arrow array for each field.  Columns of ``df``
     that clash with a new field are replaced.  ``keep`` names the columns to carry along (all).
     """
     names = {name.lower() for name, _ in fields}
@@ -92,7 +93,7 @@ def append_columns(
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(i) for i in range(n_keep)],
-                    *[pa.array(v, t) for v, t in zip(found, types, strict=True)],
+                    *[v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(found, types, strict=True)],
                 ],
                 names=out_names,
             )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe_automaton, mixing, quality_rules, sharding, simhash, token_count, token_files, topk_search
+from weftline.llm import bpe_automaton, chat_quotes, mixing, quality_rules, sharding, simhash, token_count, token_files, topk_search
 from weftline.llm.common import read_table
 
 
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk_search": _over("embeddings", topk_search.query),
     "op3_source_mixing": _over("documents", mixing.query),
     "op4_token_counts": _over("documents", token_count.query),
+    "op5_chat_quotes": _over("conversations", chat_quotes.query),
     "op6_quality_rules": _over("documents", quality_rules.query, "labels"),
     "op7_token_files": _over("documents", token_files.query),
     "op8_bpe_automaton": _over("documents", bpe_automaton.query),

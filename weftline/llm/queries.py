@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe_automaton, chat_quotes, mixing, quality_rules, sharding, simhash, token_count, token_files, topk_search
+from weftline.llm import bpe_automaton, chat_quotes, maxent_lm, mixing, quality_rules, sharding, simhash, token_count, token_files, topk_search
 from weftline.llm.common import read_table
 
 
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_files": _over("documents", token_files.query),
     "op8_bpe_automaton": _over("documents", bpe_automaton.query),
     "op9_simhash": _over("documents", simhash.query),
+    "op10_maxent_lm": _over("documents", maxent_lm.query),
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_topk_search": topk_search.ORACLE_SQL}

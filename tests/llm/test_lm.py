@@ -74,7 +74,7 @@ def test_probabilities_sum_to_one(spark, corpus):
     for before in history:
         codes = encoder.codes([*before, b"x"])
         start = np.arange(len(codes)) == 0
-        classes = np.exp(lm.log_classes(weights, lm.features(lm.unpack(codes)[2], start)[-1:]))[0]
+        classes = np.exp(lm.log_classes(weights, lm.features(lm.histories(lm.unpack(codes)[2], start)[-1:])))[0]
         assert classes.sum() == pytest.approx(1, abs=1e-5)
         total = 0.0
         for word, n in counts.items():
@@ -100,7 +100,7 @@ def test_scores_match_direct_evaluation(spark, corpus):
         t = plain_tokens(texts[r["doc_id"]])
         codes = encoder.codes(t)
         _, kind, row = lm.unpack(codes)
-        logs = lm.log_classes(weights, lm.features(row, np.arange(len(t)) == 0))
+        logs = lm.log_classes(weights, lm.features(lm.histories(row, np.arange(len(t)) == 0)))
         wanted = 0.0
         for i, w in enumerate(t):
             wanted += logs[i, kind[i]] / math.log(10)

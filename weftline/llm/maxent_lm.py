@@ -7,10 +7,12 @@ into a class by a hash of its ending, so unseen words have a class, too.  Within
 are drawn by their smoothed counts, which is the maximum-entropy model of that factor; a class
 keeps one smoothed place for all unseen words, so probabilities sum to 1 over the vocabulary and it.
 
-Training: exact token counts first; then weights start from the counts of (feature, class) and
-take full-batch gradient steps.  Every task adds up its documents' gradient in fixed point, the
-parts are summed by weight row, so the result does not depend on how documents are dealt.  Weights
-have a fixed size and are broadcast.
+Training: exact token counts first; then one pass over all training texts sums up what the
+gradient needs: how often each feature meets each class, and how often each history occurs.  A
+history is a pair of weight rows, so there are at most HISTORIES of them, however large the corpus.
+Weights start from the counts and take full-batch gradient steps; a step is distributed over the
+histories.  Every task adds up its part in fixed point and parts are summed by weight row, so the
+result does not depend on how documents are dealt.  Weights have a fixed size and are broadcast.
 
 Scoring: a task handles the HEAD most frequent words with a broadcast table of bounded size.  The
 counts of all other words come from a join on the word: each document sends its tail words once.
@@ -38,15 +40,19 @@ HEAD = 1 << 17
 SINGLES, ENDINGS = 32, 32
 CLASSES = SINGLES + ENDINGS
 #: Rows of the weights of each feature: ids of the most frequent words, then hashes.
-OWN_ROWS = 3072
-ROWS = (4096, 4096, 8192)
-STEPS = 2
+OWN_ROWS = 1536
+ROWS = (2048, 2048, 4096)
+HISTORIES = ROWS[0] * ROWS[1]
+STEPS = 4
 RATE = 0.6
-PRIOR = 8.0
+PRIOR = 30.0
 #: Units of a gradient part.
 FIXED = 1 << 16
-#: Tokens scored or counted at once.
-SLAB = 1 << 14
+#: Tokens handled at once, and histories whose classes are worked out at once.
+SLAB = 1 << 20
+CUT = 1 << 14
+#: Bound of a weight: scores stay within what 32-bit exponentials hold.
+BOUND = 20.0
 #: Distinct words that a task counts before it sends them on.
 COUNT_ENTRIES = 400_000
 END = b""  # no word is empty, so the end token takes this name
@@ -113,32 +119,58 @@ def unpack(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place, kind, row
 
 
-def features(row: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Weight rows (tokens by 3) from the tokens' own rows; ``start`` marks first tokens of texts.
-
-    History before a text is row 0 of the end token's kind: its own row, as a text ends there.
-    """
+def histories(row: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The history of each token (one number) from the tokens' own rows; ``start`` marks the first
+    tokens of texts.  What lies before a text has a fixed row of its own."""
     n = len(row)
     index = np.arange(n)
     first = np.maximum.accumulate(np.where(start, index, 0))
-    edge = np.int64(OWN_ROWS)  # a fixed row for "before the text"
+    edge = np.int64(OWN_ROWS)
     one = np.where(index - first >= 1, np.concatenate(([edge], row[:-1])), edge)
     two = np.where(index - first >= 2, np.concatenate(([edge, edge], row[:-2]))[:n], edge)
+    return one * ROWS[1] + two
+
+
+def features(history: np.ndarray) -> np.ndarray:
+    """Weight rows (by 3) of histories: bigram, skip, trigram."""
+    one, two = history // ROWS[1], history % ROWS[1]
     pair = (one * np.int64(2_654_435_761) + two * np.int64(40_503)) % 4_294_967_291 % ROWS[2]
     return np.stack([one, ROWS[0] + two, ROWS[0] + ROWS[1] + pair], axis=1)
 
 
 def log_classes(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Natural log of P(class | features), tokens by classes."""
+    """Natural log of P(class | features), histories by classes."""
     scores = weights[rows[:, 0]]
     scores += weights[rows[:, 1]]
     scores += weights[rows[:, 2]]
     scores += weights[-1]
-    scores -= scores.max(axis=1, keepdims=True)
     scores -= np.log(np.exp(scores).sum(axis=1, keepdims=True))
     return scores
 
 
+class Scorer:
+    """log P(class | history) for single classes; the normaliser of a history is worked out once."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+        self.norm = np.full(HISTORIES, np.nan, dtype=np.float32)
+
+    def __call__(self, history: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        w = self.weights
+        new = np.unique(history[np.isnan(self.norm[history])])
+        for a in range(0, len(new), CUT):
+            rows = features(new[a : a + CUT])
+            scores = w[rows[:, 0]]
+            for part in (w[rows[:, 1]], w[rows[:, 2]], w[-1]):
+                scores += part
+            self.norm[new[a : a + CUT]] = np.log(np.exp(scores).sum(axis=1))
+        rows = features(history)
+        chosen = w[rows[:, 0], kind]
+        for part in (w[rows[:, 1], kind], w[rows[:, 2], kind], w[-1, kind]):
+            chosen = chosen + part
+        return (chosen - self.norm[history]).astype(np.float64)
+
+
 def _rows_sum(rows: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
     """out[rows] += values, for repeated rows."""
     order = np.argsort(rows, kind="stable")
@@ -170,10 +202,6 @@ def _tokens_of(codes: list[np.ndarray]):
     return flat, start, lengths
 
 
-def _cuts(n: int):
-    return [(a, min(a + SLAB, n)) for a in range(0, n, SLAB)]
-
-
 def train_documents(df: DataFrame, key: str, text: str) -> DataFrame:
     """The texts that the model learns from: crc32 of the key as text is no multiple of 10."""
     name = F.col(f"`{key}`").cast("string").cast("binary")
@@ -232,25 +260,8 @@ def read_vocabulary(words: DataFrame, head: int = HEAD) -> Vocabulary:
     return Vocabulary(head_places, counts, total, int(kinds.sum()) + len(singles), class_log)
 
 
-def _summed(train: DataFrame, part, width: int) -> np.ndarray:
-    """Sum over all documents of ``part`` (texts -> int64 matrix of weight rows by ``width``).
-
-    Each task sends its rows in blocks; blocks are summed where they meet; the sum has a fixed size.
-    """
-    n_rows, block = sum(ROWS) + 1, 256
-
-    def run(batches):
-        total = None
-        for batch in batches:
-            found = part(batch.column(0).to_pylist())
-            total = found if total is None else total + found
-        if total is not None:
-            total = total.reshape(n_rows, width)
-            starts = [at for at in range(0, n_rows, block) if total[at : at + block].any()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(starts, pa.int32()), pa.array([total[at : at + block].tobytes() for at in starts], pa.binary())],
-                names=["at", "part"],
-            )
+def _add_parts(parts: DataFrame) -> np.ndarray:
+    """The sum of (at, part) blocks of weight rows; what reaches the driver has a fixed size."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         found = np.frombuffer(pdf["part"].iloc[0], np.int64).copy()
@@ -258,41 +269,67 @@ def _summed(train: DataFrame, part, width: int) -> np.ndarray:
             found += np.frombuffer(more, np.int64)
         return pd.DataFrame({"at": pdf["at"].iloc[:1], "part": [found.tobytes()]})
 
-    parts = train.mapInArrow(run, "at int, part binary")
     # Two rounds, so that no task gets the parts of all.
     salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
     once = salted.groupBy("at", "salt").applyInPandas(add, "at int, part binary")
-    out = np.zeros((n_rows, width), dtype=np.int64)
+    out = np.zeros((sum(ROWS) + 1, CLASSES), dtype=np.int64)
     for at, data in once.groupBy("at").applyInPandas(add, "at int, part binary").collect():
-        found = np.frombuffer(data, np.int64).reshape(-1, width)
+        found = np.frombuffer(data, np.int64).reshape(-1, CLASSES)
         out[at : at + len(found)] = found
     return out
 
 
+def _parts(total: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Blocks of weight rows that hold anything, with the place of their first row."""
+    block = 256
+    starts = [at for at in range(0, len(total), block) if total[at : at + block].any()]
+    return starts, [total[at : at + block].tobytes() for at in starts]
+
+
+def gather_statistics(train: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, DataFrame]:
+    """Counts of (weight row, class), and a table (history, times), over all training tokens."""
+    shared = train.sparkSession.sparkContext.broadcast(vocabulary.head)
+    n_rows = sum(ROWS) + 1
+
+    def run(batches):
+        encoder = Encoder(shared.value)
+        seen = np.zeros(n_rows * CLASSES, dtype=np.int64)
+        times = np.zeros(HISTORIES, dtype=np.int64)
+        for batch in batches:
+            for codes, _ in _slabs(batch.column(0).to_pylist(), encoder):
+                flat, start, _ = _tokens_of(codes)
+                _, kind, row = unpack(flat)
+                history = histories(row, start)
+                rows = features(history)
+                for f in range(rows.shape[1]):
+                    seen += np.bincount(rows[:, f] * CLASSES + kind, minlength=len(seen))
+                seen[-CLASSES:] += np.bincount(kind, minlength=CLASSES)
+                times += np.bincount(history, minlength=HISTORIES)
+        starts, parts = _parts(seen.reshape(n_rows, CLASSES))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(starts, pa.int32()), pa.array(parts, pa.binary()), pa.nulls(len(starts), pa.int32()), pa.nulls(len(starts), pa.int64())],
+            names=["at", "part", "history", "times"],
+        )
+        used = np.flatnonzero(times)
+        for a in range(0, len(used), SLAB):
+            some = used[a : a + SLAB]
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(times[some])],
+                names=["at", "part", "history", "times"],
+            )
+
+    both = saved(train.mapInArrow(run, "at int, part binary, history int, times long"), "lm-statistics")
+    shared.unpersist()
+    observed = _add_parts(both.where("at IS NOT NULL").select("at", "part"))
+    found = both.where("history IS NOT NULL").groupBy("history").agg(F.sum("times").alias("times"))
+    return observed, saved(found, "histories")
+
+
 def train(df: DataFrame, vocabulary: Vocabulary, steps: int = STEPS, rate: float = RATE) -> np.ndarray:
     """Weights (feature rows and a last row of biases, by classes) from ``df`` (text)."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary.head)
     n_rows = sum(ROWS) + 1
-    encoders: dict[int, Encoder] = {}
-
-    def encoder() -> Encoder:
-        if not encoders:
-            encoders[0] = Encoder(shared.value)
-        return encoders[0]
-
-    def observed(texts: list[bytes]) -> np.ndarray:
-        out = np.zeros(n_rows * CLASSES, dtype=np.int64)
-        for codes, _ in _slabs(texts, encoder()):
-            flat, start, _ = _tokens_of(codes)
-            _, kind, row = unpack(flat)
-            rows = features(row, start)
-            for f in range(rows.shape[1]):
-                out += np.bincount(rows[:, f] * CLASSES + kind, minlength=len(out))
-            out[-CLASSES:] += np.bincount(kind, minlength=CLASSES)
-        return out.reshape(n_rows, CLASSES)
-
-    seen = _summed(df, observed, CLASSES)
+    seen, found = gather_statistics(df, vocabulary)
     uses = seen.sum(axis=1, keepdims=True)
     usual = (seen[-1] + 1.0) / (seen[-1].sum() + CLASSES)
     weights = np.log((seen + PRIOR * usual) / (uses + PRIOR)) - np.log(usual)
@@ -300,27 +337,28 @@ def train(df: DataFrame, vocabulary: Vocabulary, steps: int = STEPS, rate: float
     weights[-1] = np.log(usual)
 
     for _ in range(steps):
-        current = spark.sparkContext.broadcast(weights.astype(np.float32))
+        current = spark.sparkContext.broadcast(np.clip(weights, -BOUND, BOUND).astype(np.float32))
 
-        def expected(texts: list[bytes], current=current) -> np.ndarray:
+        def expected(batches, current=current):
             total = np.zeros((n_rows, CLASSES), dtype=np.int64)
-            for codes, _ in _slabs(texts, encoder()):
-                flat, start, _ = _tokens_of(codes)
-                rows = features(unpack(flat)[2], start)
-                for a, b in _cuts(len(flat)):
-                    # Fixed point makes sums free of order; SLAB * FIXED stays within 32 bits.
-                    chance = np.rint(np.exp(log_classes(current.value, rows[a:b])) * FIXED).astype(np.int32)
+            for batch in batches:
+                history, times = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+                for a in range(0, len(history), CUT):
+                    rows = features(history[a : a + CUT])
+                    # Fixed point makes sums free of order.
+                    chance = np.rint(np.exp(log_classes(current.value, rows)) * FIXED).astype(np.int64)
+                    chance *= times[a : a + CUT, None]
                     for f in range(rows.shape[1]):
-                        _rows_sum(rows[a:b, f], chance, total)
-                    total[-1] += chance.sum(axis=0, dtype=np.int64)
-            return total
+                        _rows_sum(rows[:, f], chance, total)
+                    total[-1] += chance.sum(axis=0)
+            starts, parts = _parts(total)
+            yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int32()), pa.array(parts, pa.binary())], names=["at", "part"])
 
-        model = _summed(df, expected, CLASSES) / FIXED
+        model = _add_parts(found.mapInArrow(expected, "at int, part binary")) / FIXED
         # The gradient, scaled row by row by how often the feature is used.
         weights += rate * (seen - model - weights * 0.01) / (model + PRIOR)
         current.unpersist()
-    shared.unpersist()
-    return weights.astype(np.float32)
+    return np.clip(weights, -BOUND, BOUND).astype(np.float32)
 
 
 def score(
@@ -337,13 +375,13 @@ def score(
             head, counts, class_log, w = shared.value
             # Within its class a single word is sure; others have their smoothed share.
             log_count = np.log10(counts + SMOOTH)
-            encoders[0] = (Encoder(head), log_count, class_log, w)
+            encoders[0] = (Encoder(head), log_count, class_log, Scorer(w))
         return encoders[0]
 
     def run(batches):
         """A row with part sums for every text, and one for each of its distinct tail words."""
         for batch in batches:
-            encode, log_count, class_log, w = state()
+            encode, log_count, class_log, scorer = state()
             texts = batch.column(1).to_pylist()
             n_known = np.zeros(len(texts), dtype=np.int64)
             n_tokens = np.zeros(len(texts), dtype=np.int64)
@@ -352,11 +390,7 @@ def score(
             for codes, where in _slabs(texts, encode):
                 flat, start, lengths = _tokens_of(codes)
                 place, kind, row = unpack(flat)
-                rows = features(row, start)
-                chosen = np.empty(len(flat))
-                for a, b in _cuts(len(flat)):
-                    found = log_classes(w, rows[a:b])
-                    chosen[a:b] = found[np.arange(b - a), kind[a:b]]
+                chosen = scorer(histories(row, start), kind)
                 known = place >= 0
                 head_log = np.where(known, log_count[np.where(known, place, 0)], 0.0) if len(log_count) else np.zeros(len(flat))
                 inside = np.where(kind < SINGLES, 0.0, head_log - class_log[kind])

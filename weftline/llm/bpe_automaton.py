@@ -160,6 +160,33 @@ class TokenizationAutomaton:
         return path
 
 
+class PlainSplitter:
+    """Pre-splits chunks of plain Latin letters, digits and marks without the library.
+
+    Such chunks are in normal form and hold no white space, so lower case and the split pattern are
+    all that the tokenizer file asks for; a file that asks for something else is not served.
+    """
+
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+    def __init__(self, spec: dict):
+        asked = json.dumps([spec["normalizer"], spec["pre_tokenizer"]])
+        parts = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        self.serves = parts == ["NFC", "Replace", "Lowercase"] and json.dumps(self.PATTERN) in asked and "ByteLevel" in asked
+        self.letters = byte_letters()
+        self.plain = re.compile("[!-~¡-¬®-įı-ɏ]+")
+        self.split = regex.compile(self.PATTERN)
+
+    def words(self, text: str) -> list[str] | None:
+        """Words in byte letters, or None for what is not plain."""
+        if not (self.serves and self.plain.fullmatch(text)):
+            return None
+        letters = self.letters
+        return [
+            w if w.isascii() else "".join([letters[b] for b in w.encode()]) for w in self.split.findall(text.lower())
+        ]
+
+
 class WordCodec:
     """Encodes and decodes whole texts as the tokenizer file at ``path`` asks."""
 
@@ -177,22 +204,17 @@ class WordCodec:
             raise ValueError("only files without decoder and unknown token are supported")
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
-        self.letters = byte_letters()
+        self.plain = PlainSplitter(spec)
         self.word = Memo(self.automaton.encode, cache_entries // 8)
         self.chunk = Memo(self._chunk, cache_entries)
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.plain = re.compile("[!-~¡-¬®-įı-ɏ]+")
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
     def words(self, text: str) -> list[str]:
         """Pre-split words of a stretch without special tokens, in byte letters."""
-        if self.plain.fullmatch(text):
-            letters = self.letters
-            return [
-                w if w.isascii() else "".join([letters[b] for b in w.encode()])
-                for w in self.split.findall(text.lower())
-            ]
-        return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
+        words = self.plain.words(text)
+        if words is None:
+            words = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
+        return words
 
     def ids(self, text: str) -> list[int]:
         found: list[int] = []

@@ -13,8 +13,11 @@ task leaves exactly one whole file.  The index (which document starts where) is
 
 from __future__ import annotations
 
+import json
 import os
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.bpe_automaton import word_model_path
+from weftline.llm.bpe_automaton import PlainSplitter, word_model_path
 from weftline.llm.common import Memo, append_columns, saved, scratch_path, text_bytes
 
 CACHE_ENTRIES = 400_000
@@ -36,7 +39,9 @@ SEQUENCES_A_BATCH = 64
 class LibraryEncoder:
     """Identifiers by the tokenizers library, called once for each chunk not in the cache.
 
-    The tokenizer must drop white space, so that chunks between white space stand alone.
+    The tokenizer must drop white space, so that chunks between white space stand alone.  Plain
+    Latin chunks go to the library's model word by word; all others, and those that could hold a
+    special token, go through its whole encoder.
     """
 
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
@@ -46,14 +51,24 @@ class LibraryEncoder:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        self.kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.width = int(self.kind[2])
-        self.encode = tokenizer.encode
+        self.kind = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array(self.kind).itemsize
+        self.encode, self.tokenize = tokenizer.encode, tokenizer.model.tokenize
+        with open(path, encoding="utf-8") as file:
+            self.plain = PlainSplitter(json.load(file))
         self.chunk = Memo(self._chunk, cache_entries)
 
     def _chunk(self, chunk: bytes) -> bytes:
-        ids = self.encode(chunk.decode(), add_special_tokens=False).ids
-        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+        text = chunk.decode()
+        words = None if b"<|" in chunk else self.plain.words(text)
+        if words is None:
+            ids = self.encode(text, add_special_tokens=False).ids
+        else:
+            ids = [t.id for w in words for t in self.tokenize(w)]
+        packed = array(self.kind, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def ids(self, text: bytes) -> bytes:
         return b"".join(map(self.chunk.__getitem__, text.split()))
@@ -66,7 +81,7 @@ def encoder(path: str) -> LibraryEncoder:
 
 
 def sequence_schema(kind: str, length: int) -> pa.Schema:
-    value = pa.uint16() if kind == "<u2" else pa.uint32()
+    value = pa.uint16() if kind == "H" else pa.uint32()
     return pa.schema([("ids", pa.list_(value, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
@@ -76,7 +91,8 @@ class SequenceWriter:
     def __init__(self, sink, kind: str, length: int, batch: int = SEQUENCES_A_BATCH):
         self.schema = sequence_schema(kind, length)
         self.writer = pa.ipc.new_file(sink, self.schema)
-        self.kind, self.length, self.full = kind, length, length * batch
+        self.kind, self.width = f"<u{array(kind).itemsize}", array(kind).itemsize
+        self.length, self.full = length, length * batch
         self.waiting: list[bytes] = []
         self.waiting_ids = 0
         self.written = 0
@@ -85,7 +101,7 @@ class SequenceWriter:
         """Appends identifiers; returns their position in the file."""
         start = self.written + self.waiting_ids
         self.waiting.append(ids)
-        self.waiting_ids += len(ids) // int(self.kind[2])
+        self.waiting_ids += len(ids) // self.width
         if self.waiting_ids >= self.full:
             flat = np.frombuffer(b"".join(self.waiting), dtype=self.kind)
             whole = len(flat) // self.full * self.full

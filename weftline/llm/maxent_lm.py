@@ -49,12 +49,12 @@ PRIOR = 30.0
 #: Units of a gradient part.
 FIXED = 1 << 16
 #: Tokens handled at once, and histories whose classes are worked out at once.
-SLAB = 1 << 20
+SLAB = 1 << 18
 CUT = 1 << 14
 #: Bound of a weight: scores stay within what 32-bit exponentials hold.
 BOUND = 20.0
 #: Distinct words that a task counts before it sends them on.
-COUNT_ENTRIES = 400_000
+COUNT_ENTRIES = 300_000
 END = b""  # no word is empty, so the end token takes this name
 
 
@@ -92,7 +92,7 @@ class Encoder:
     A code carries all that the model needs: class and feature row.
     """
 
-    def __init__(self, head: dict[bytes, int], entries: int = 200_000):
+    def __init__(self, head: dict[bytes, int], entries: int = 150_000):
         self.head = head
         self.code = Memo(self._code, entries)
 
@@ -233,8 +233,20 @@ def count_words(train: DataFrame) -> DataFrame:
 
 
 def read_vocabulary(words: DataFrame, head: int = HEAD) -> Vocabulary:
-    """The ``head`` most frequent words (ties by word) and the sums over all of ``words``."""
-    top = words.orderBy(F.desc("count"), "word").limit(head).toPandas()
+    """The most frequent words, at most ``head``, and the sums over all of ``words``.
+
+    A histogram of counts on a log scale (a few thousand steps at most) says from which step on
+    the words fit the table, so no more than ``head`` of them go to the driver.
+    """
+    step = F.floor(F.log2("count") * 64).cast("int")
+    fits, least = 0, None
+    for row in words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
+        fits += row["n"]
+        if fits > head:
+            break
+        least = row["step"]
+    top = words.where(step >= least if least is not None else F.lit(False)).toPandas()
+    top = top.sort_values("word", kind="stable").sort_values("count", ascending=False, kind="stable")
     top_words = [bytes(w) for w in top["word"]]
     singles = set(top_words[:SINGLES])
 

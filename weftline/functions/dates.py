@@ -49,4 +49,4 @@ def parse_commit_date(value: Column) -> Column:
 
 
 def days_between(a: Column, b: Column) -> Column:
-    return F.abs(F.unix_micros(a) - F.unix_micros(b)) / 86_400e6
+    return F.abs(F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 86_400e6

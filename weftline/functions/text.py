@@ -86,7 +86,7 @@ def parameter_count(code: Column, name: Column) -> Column:
 def return_type(code: Column, name: Column) -> Column:
     """The last token before ``name(`` that is no modifier; annotations do not count."""
     pattern = F.concat(F.lit(r"(?s)\A(.*?)\b"), quoted(name), F.lit(r"\s*\("))
-    before = F.regexp_replace(F.regexp_extract(blank(code), pattern, 1), r"@\w+(?:\([^)]*\))?", " ")
+    before = F.regexp_replace(F.call_function("regexp_extract", blank(code), pattern, F.lit(1)), r"@\w+(?:\([^)]*\))?", " ")
     words = F.regexp_extract_all(before, F.lit(r"([A-Za-z_$][\w$]*(?:\[\])*|[A-Za-z_$][\w$]*<[^>]+>)"), F.lit(1))
     # Trailing modifiers go: keep what follows the last word that is none.
     modifiers = F.array(*[F.lit(m) for m in MODIFIERS])

@@ -66,6 +66,8 @@ def expand_calls(edges: DataFrame, methods: DataFrame, depth: int = MAX_DEPTH) -
             .where("__rank = 1")
             .drop("__rank")
         )
+        # Used three times below; without a cut every level would compute all before it again.
+        hops = cut_lineage(hops)
         found.append(hops.select("__start", "__edge", F.lit(level).alias("__depth")))
         reached = reached.unionByName(hops.select("__start", F.col("__next").alias("__seen")))
         frontier = hops.where("NOT __next_main").select("__start", F.col("__next").alias("__at"))

@@ -36,7 +36,7 @@ def signature_scores(calls: DataFrame, declared: DataFrame, closure: DataFrame)
 
     calls: call_id, name, params; declared: name, signature, params.
     """
-    same = calls.join(declared.withColumnRenamed("params", "__declared"), "name")
+    same = calls.select("call_id", "name", "params").join(declared.withColumnRenamed("params", "__declared"), "name")
     same = same.where(F.size("params") == F.size("__declared"))
     none = same.where(F.size("params") == 0).select("call_id", "signature", F.lit(0.6).alias("score"))
     zipped = F.posexplode(F.arrays_zip(F.col("__declared").alias("declared"), F.col("params").alias("given")))

@@ -36,7 +36,7 @@ SMELLS = """SELECT concat('t', CAST(event_id % 1500 AS STRING)) AS url, CASE WHE
   CASE WHEN event_id % 13 = 0 THEN 'bad' WHEN event_id % 17 = 0 THEN '0' ELSE CAST(1 + user_id % 90 AS STRING) END AS loc,
   CAST(event_id AS BIGINT) AS _ord FROM {events}"""
 #: Tests with united smells, a revision group and a project.
-TESTS = """SELECT concat('t', CAST(event_id % 4000 AS STRING)) AS from_url, concat('p', CAST(event_id % 4000 % 6 AS STRING)) AS project,
+TESTS = """SELECT concat('t', CAST(event_id % 4000 AS STRING)) AS from_url, concat('p', CAST(event_id % 4000 % 5 AS STRING)) AS project,
   CASE WHEN event_id % 4000 % 37 = 0 AND event_id > 6000 THEN 'AHTR'
     ELSE CASE event_id % 4000 % 3 WHEN 0 THEN 'NTR' WHEN 1 THEN 'ATR' ELSE 'HTR' END END AS rg_all,
   CASE WHEN event_type = 'view' THEN '' WHEN event_type = 'click' AND event_id % 4 = 0 THEN 'click error' ELSE event_type END AS smells,

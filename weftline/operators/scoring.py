@@ -41,14 +41,18 @@ def name_containment(function: Column, test: Column) -> Column:
     return F.when((function != "") & F.contains(F.lower(test), function), 1).otherwise(0)
 
 
-def lcs_both(function: Column, test: Column) -> Column:
-    subject = test_subject(test)
-    longest = F.greatest(F.length(function), F.length(subject))
-    return F.when(longest > 0, lcs(function, subject) / longest).otherwise(F.lit(0.0))
+def common_length(function: Column, test: Column) -> Column:
+    """Longest common subsequence of a function's name and what a test's name is about."""
+    return lcs(function, test_subject(test))
+
 
+def lcs_both(function: Column, test: Column, common: Column) -> Column:
+    longest = F.greatest(F.length(function), F.length(test_subject(test)))
+    return F.when(longest > 0, common / longest).otherwise(F.lit(0.0))
 
-def lcs_unit(function: Column, test: Column) -> Column:
-    return F.when(function != "", lcs(function, test_subject(test)) / F.length(function)).otherwise(F.lit(0.0))
+
+def lcs_unit(function: Column, common: Column) -> Column:
+    return F.when(function != "", common / F.length(function)).otherwise(F.lit(0.0))
 
 
 def levenshtein_score(function: Column, test: Column) -> Column:
@@ -68,15 +72,17 @@ def inverse_frequency(callers: Column, tests: Column) -> Column:
 
 
 def candidate_pairs(candidates: DataFrame, test: str = "from_url", function: str = "to_url") -> DataFrame:
-    """One row a (test, function): names as last seen, least depth, whether it stands before an assertion."""
+    """One row a (test, function): least depth, whether it stands before an assertion, last-seen names."""
     has = set(candidates.columns)
     depth = call_depth(F.col("to_call_depth")) if "to_call_depth" in has else F.lit(1)
     before = F.coalesce(text.number(F.col("to_lcba")) > 0, F.lit(False)) if "to_lcba" in has else F.lit(False)
-    names = {}
-    for key, name in ((test, "from_name"), (function, "to_name")):
-        names[name] = candidates.groupBy(key).agg(F.max_by(F.lower(F.coalesce(F.col(name), F.lit(""))), ORD).alias(name))
-    pairs = candidates.groupBy(test, function).agg(F.min(depth).alias("depth"), F.max(before).alias("before_assert"))
-    return pairs.join(names["from_name"], test).join(names["to_name"], function)
+    lower = lambda c: F.struct(F.col(ORD).alias("o"), F.lower(F.coalesce(F.col(c), F.lit(""))).alias("n"))
+    return candidates.groupBy(test, function).agg(
+        F.min(depth).alias("depth"),
+        F.max(before).alias("before_assert"),
+        F.max(lower("from_name")).alias("__from"),
+        F.max(lower("to_name")).alias("__to"),
+    )
 
 
 def pair_scores(
@@ -84,29 +90,35 @@ def pair_scores(
 ) -> DataFrame:
     """All technique scores of every (test, function) pair, unrounded.
 
-    ``by`` separates projects: tests are counted within. Counts come from aggregations that are
-    joined back, so a function that every test calls is not gathered.
+    ``by`` separates projects: tests are counted within. What concerns a function comes from an
+    aggregation that is joined back, so a function that every test calls is not gathered; what
+    concerns a test, which calls a bounded number of functions, comes from windows over it.
     """
     source = candidates if not by else candidates.withColumns(
         {k: F.concat_ws("\x1f", *by, k) for k in (test, function)}
     )
     pairs = candidate_pairs(source, test, function)
-    a_test = pairs.groupBy(test).agg(F.count(F.lit(1)).alias("__functions"))
-    a_function = pairs.groupBy(function).agg(F.count(F.lit(1)).alias("__callers"))
+    last = lambda c: F.max(c)["n"]
+    a_function = pairs.groupBy(function).agg(F.count(F.lit(1)).alias("__callers"), last("__to").alias("to_name"))
+    tests = pairs.select(test).distinct()
     if by:
         project = lambda c: F.substring_index(c, "\x1f", len(by))
-        tests = a_test.groupBy(project(F.col(test)).alias("__project")).agg(F.count(F.lit(1)).alias("__tests"))
-        pairs = pairs.withColumn("__project", project(F.col(test))).join(tests, "__project").drop("__project")
+        sizes = tests.groupBy(project(F.col(test)).alias("__project")).agg(F.count(F.lit(1)).alias("__tests"))
+        pairs = pairs.withColumn("__project", project(F.col(test))).join(sizes, "__project").drop("__project")
     else:
-        pairs = pairs.crossJoin(F.broadcast(a_test.agg(F.count(F.lit(1)).alias("__tests"))))  # one row
-    rows = pairs.join(a_test, test).join(a_function, function)
+        pairs = pairs.crossJoin(F.broadcast(tests.agg(F.count(F.lit(1)).alias("__tests"))))  # one row
+    own = Window.partitionBy(test)
+    rows = pairs.join(a_function, function).withColumns(
+        {"__functions": F.count(F.lit(1)).over(own), "from_name": F.max("__from").over(own)["n"]}
+    )
+    rows = rows.withColumn("__common", common_length(F.col("to_name"), F.col("from_name")))
     name, other = F.col("to_name"), F.col("from_name")
     fall = F.pow(F.lit(discount), F.col("depth") - 1)
     base = {
         "tech_nc": name_equality(name, other).cast("double"),
         "tech_ncc": name_containment(name, other).cast("double"),
-        "tech_lcs_b": lcs_both(name, other) * fall,
-        "tech_lcs_u": lcs_unit(name, other) * fall,
+        "tech_lcs_b": lcs_both(name, other, F.col("__common")) * fall,
+        "tech_lcs_u": lcs_unit(name, F.col("__common")) * fall,
         "tech_leven": levenshtein_score(name, other) * fall,
         "tech_lcba": F.col("before_assert").cast("double"),
         "tech_tarantula": suspiciousness(F.col("__callers"), F.col("__tests")) * fall,

@@ -40,7 +40,7 @@ from weftline.llm.common import Memo, append_columns, text_bytes
 
 WORD_END = "</w>"
 #: Entries of one generation of the chunk cache, and of the transition table, in a Python worker.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 250_000
 TABLE_ENTRIES = 1_000_000
 NO_TOKEN = -1
 

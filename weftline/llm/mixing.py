@@ -205,7 +205,8 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
         ).where("__copies > 0"),
         "copies",
     )
-    rows = df.join(by_key, F.col(f"`{key}`").eqNullSafe(F.col("__key")), "inner")
+    # Always a shuffle: the keys grow with the input, so the plan is the same at every size.
+    rows = df.join(by_key.hint("merge"), F.col(f"`{key}`").eqNullSafe(F.col("__key")), "inner")
     once = rows.where("__rows = 1")
     order = Window.partitionBy("__key").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
     often = rows.where("__rows > 1").withColumn("__at", F.row_number().over(order) - 1)

@@ -311,7 +311,8 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     found = near_duplicates(df, key, text)
     kept = found.where(F.col(key).eqNullSafe(F.col("component_id")))
     kept = saved(kept.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__rows")), "kept")
-    stay = df.join(kept, df[key].eqNullSafe(kept["__key"]), "inner").drop("__key")
+    # Always a shuffle: the kept keys grow with the input, so the plan is the same at every size.
+    stay = df.join(kept.hint("merge"), df[key].eqNullSafe(kept["__key"]), "inner").drop("__key")
     once = stay.where("__rows = 1").drop("__rows")
     often = stay.where("__rows > 1").drop("__rows")
     digest = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])

@@ -94,10 +94,9 @@ class PieceCounter:
                     r = get(text[left:stop])
                     if r is not None:
                         push(pairs, (r, left, stop))
-        # Only single characters can be outside the vocabulary.
-        extra = sum(len(c.encode()) - 1 for c in set(text) if c not in rank and len(c.encode()) > 1) and sum(
-            len(c.encode()) - 1 for c in text if c not in rank
-        )
+        # Only single characters can be outside the vocabulary; each falls back to its bytes.
+        outside = {c for c in set(text) if c not in rank}
+        extra = sum(len(c.encode()) - 1 for c in text if c in outside) if outside else 0
         return n - merges + extra
 
     def count(self, text: bytes) -> int:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe_automaton, mixing, quality_rules, simhash
+from weftline.llm import bpe_automaton, mixing, quality_rules, shingle_sets
 from weftline.llm.common import read_table, saved
 
 
@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near duplicates (five-word shingles, 0.8) the document with the smallest doc_id stays."""
+    return shingle_sets.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

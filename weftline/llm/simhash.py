@@ -303,6 +303,41 @@ def near_duplicates(
     return join_counted(rows, saved(placed, "placed"), "fingerprint", "rows").withColumnRenamed("key", key)
 
 
+def text_digest(text: str) -> Column:
+    """64 bits that stand for a text; a null text has one of its own."""
+    return F.xxhash64(F.col(f"`{text}`"))
+
+
+def first_rows(df: DataFrame, rows: DataFrame, roots: DataFrame, key: str, text: str) -> DataFrame:
+    """One row of ``df`` for each component of groups.
+
+    ``rows`` has key, digest (of the text) and group of every row of ``df``; ``roots`` (node, root)
+    joins groups to components.  The row with the smallest key stays, null last, then with the
+    least digest; rows that agree in both are told apart by the hash of all columns.
+    """
+    told = rows.groupBy("group", "key", "digest").agg(F.count(F.lit(1)).alias("rows"))
+    place = F.struct(F.col("key").isNull().alias("last"), "key", "digest", "rows")
+    best = told.groupBy("group").agg(F.min(place).alias("best"))
+    rooted = best.join(roots.withColumnRenamed("node", "group").hint("merge"), "group", "left")
+    kept = rooted.groupBy(F.coalesce("root", "group").alias("root")).agg(F.min("best").alias("best"))
+    kept = saved(
+        kept.select(F.col("best.key").alias("__key"), F.col("best.digest").alias("__digest"), F.col("best.rows").alias("__rows")),
+        "kept",
+    )
+    # Always a shuffle: the kept rows grow with the input, so the plan is the same at every size.
+    same = F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (text_digest(text) == F.col("__digest"))
+    stay = df.join(kept.hint("merge"), same, "inner")
+    once = stay.where("__rows = 1").drop("__key", "__digest", "__rows")
+    row = [F.col(f"`{c}`") for c in df.columns]
+    picked = (
+        stay.where("__rows > 1")
+        .groupBy("__key", "__digest")
+        .agg(F.min_by(F.struct(*row), F.xxhash64(*row)).alias("__row"))
+        .select("__row.*")
+    )
+    return once.unionByName(picked)
+
+
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` without near duplicates: of each component the row with the smallest key.
 

@@ -125,7 +125,8 @@ def _fly(rows: DataFrame, size_of_block: int, level: int, land: bool, seed: int)
     schema = rows.schema
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "size", "chance"], kind="stable", na_position="first")
+        by = ["key", "size", "chance", *(["digest"] if "digest" in pdf else [])]
+        pdf = pdf.sort_values(by, kind="stable", na_position="first")
         number, block = int(pdf["source_number"].iloc[0]), int(pdf["block"].iloc[0])
         draws = np.random.default_rng([seed, level, number, block])
         found = flight(pdf["chance"].to_numpy(), pdf["size"].to_numpy(dtype=np.float64), draws, land)
@@ -135,7 +136,11 @@ def _fly(rows: DataFrame, size_of_block: int, level: int, land: bool, seed: int)
 
 
 def mix_units(units: DataFrame, targets: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """``units`` (key, source, size) with source_size, target and copies (int)."""
+    """``units`` (key, source, size) with source_size, target and copies (int).
+
+    A column digest, where there is one, tells apart documents of one key and is kept with the source.
+    """
+    told = ["digest", "source"] if "digest" in units.columns else []
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     blocks = F.greatest(F.ceil(F.col("rows") / block), F.lit(1)).cast("long")
     joined = join_counted(units, targets.withColumns({"share": share, "blocks": blocks}), "source", "rows")
@@ -148,6 +153,7 @@ def mix_units(units: DataFrame, targets: DataFrame, block: int = BLOCK, seed: in
         F.pmod(F.xxhash64("key", "size"), F.col("blocks")).alias("block"),
         F.floor("share").cast("int").alias("whole"),
         (F.col("share") - F.floor("share")).alias("chance"),
+        *told,
     )
     most = targets.agg(F.max("rows")).first()[0] or 0
     blocks_left = -(-most // block)
@@ -166,7 +172,7 @@ def mix_units(units: DataFrame, targets: DataFrame, block: int = BLOCK, seed: in
     for more in settled[1:]:
         out = out.unionByName(more)
     return out.select(
-        "key", "size", "source_size", "target", (F.col("whole") + F.col("chance").cast("int")).alias("copies")
+        "key", "size", "source_size", "target", (F.col("whole") + F.col("chance").cast("int")).alias("copies"), *told
     )
 
 
@@ -188,27 +194,47 @@ def take(
     named = df.select(
         F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text")
     )
-    units = saved(word_counts(named, keep=["key", "source"]), "sizes")
+    return _taken(named, ["key", "source"], weights, repeat, seed)
+
+
+def _taken(named: DataFrame, keep: list[str], weights: tuple[int, ...], repeat: int, seed: int) -> DataFrame:
+    units = saved(word_counts(named, keep=keep), "sizes")
     targets = saved(source_targets(units, "source", weights, repeat), "targets")
     return mix_units(units, targets, seed=seed)
 
 
-def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+def mix(
+    df: DataFrame,
+    key: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+    weights: tuple[int, ...] = WEIGHTS,
+    repeat: int = REPEAT,
+    seed: int = SEED,
+) -> DataFrame:
     """The mix itself: every row of ``df`` as often as it is taken.
 
-    Rows that share a key share their copies as evenly as whole numbers allow.
+    Draws are joined back by key, source and the text's digest.  Rows that share all three share
+    their copies as evenly as whole numbers allow.
     """
-    taken = take(df, key, source, text, **options)
-    by_key = saved(
-        taken.groupBy(F.col("key").alias("__key")).agg(
+    digest = F.xxhash64(F.col(f"`{text}`"))
+    named = df.select(
+        F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"),
+        digest.alias("digest"),
+    )
+    taken = _taken(named, ["key", "source", "digest"], weights, repeat, seed)
+    identity = ["__key", "__source", "__digest"]
+    by_row = saved(
+        taken.groupBy(*[F.col(c.strip("_")).alias(c) for c in identity]).agg(
             F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")
         ).where("__copies > 0"),
         "copies",
     )
-    # Always a shuffle: the keys grow with the input, so the plan is the same at every size.
-    rows = df.join(by_key.hint("merge"), F.col(f"`{key}`").eqNullSafe(F.col("__key")), "inner")
+    # Always a shuffle: the rows grow with the input, so the plan is the same at every size.
+    same = F.col(f"`{key}`").eqNullSafe(F.col("__key")) & F.col(f"`{source}`").eqNullSafe(F.col("__source"))
+    rows = df.join(by_row.hint("merge"), same & (digest == F.col("__digest")), "inner")
     once = rows.where("__rows = 1")
-    order = Window.partitionBy("__key").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    order = Window.partitionBy(*identity).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
     often = rows.where("__rows > 1").withColumn("__at", F.row_number().over(order) - 1)
     share = F.floor(F.col("__copies") / F.col("__rows"))
     spare = (F.col("__at") < F.col("__copies") - share * F.col("__rows")).cast("long")

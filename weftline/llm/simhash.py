@@ -339,24 +339,16 @@ def first_rows(df: DataFrame, rows: DataFrame, roots: DataFrame, key: str, text:
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` without near duplicates: of each component the row with the smallest key.
+    """The rows of ``df`` without near duplicates: of each component one row with the smallest key.
 
-    Where several rows have that key, one of them stays, chosen by the hash of its text.
+    Null keys come last; where several rows have that key, the one with the least text digest stays.
     """
-    found = near_duplicates(df, key, text)
-    kept = found.where(F.col(key).eqNullSafe(F.col("component_id")))
-    kept = saved(kept.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__rows")), "kept")
-    # Always a shuffle: the kept keys grow with the input, so the plan is the same at every size.
-    stay = df.join(kept.hint("merge"), df[key].eqNullSafe(kept["__key"]), "inner").drop("__key")
-    once = stay.where("__rows = 1").drop("__rows")
-    often = stay.where("__rows > 1").drop("__rows")
-    digest = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    picked = (
-        often.groupBy(F.col(f"`{key}`").alias("__key"))
-        .agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), digest).alias("__row"))
-        .select("__row.*")
+    named = df.select(
+        F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), text_digest(text).alias("digest")
     )
-    return once.unionByName(picked)
+    rows = saved(fingerprints(named, keep=["key", "digest"]), "fingerprints")
+    roots = saved(components(near_links(rows.select("fingerprint").distinct())), "roots")
+    return first_rows(df, rows.select("key", "digest", F.col("fingerprint").alias("group")), roots, key, text)
 
 
 def query(documents: DataFrame) -> DataFrame:

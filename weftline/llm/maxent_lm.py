@@ -40,8 +40,8 @@ HEAD = 1 << 17
 SINGLES, ENDINGS = 32, 32
 CLASSES = SINGLES + ENDINGS
 #: Rows of the weights of each feature: ids of the most frequent words, then hashes.
-OWN_ROWS = 1536
-ROWS = (2048, 2048, 4096)
+OWN_ROWS = 3072
+ROWS = (4096, 4096, 8192)
 HISTORIES = ROWS[0] * ROWS[1]
 STEPS = 4
 RATE = 0.6
@@ -153,11 +153,12 @@ class Scorer:
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights
-        self.norm = np.full(HISTORIES, np.nan, dtype=np.float32)
+        # 0 where not worked out; memory is taken only for the histories met.
+        self.norm = np.zeros(HISTORIES, dtype=np.float32)
 
     def __call__(self, history: np.ndarray, kind: np.ndarray) -> np.ndarray:
         w = self.weights
-        new = np.unique(history[np.isnan(self.norm[history])])
+        new = np.unique(history[self.norm[history] == 0])
         for a in range(0, len(new), CUT):
             rows = features(new[a : a + CUT])
             scores = w[rows[:, 0]]
@@ -316,7 +317,8 @@ def gather_statistics(train: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndar
                 for f in range(rows.shape[1]):
                     seen += np.bincount(rows[:, f] * CLASSES + kind, minlength=len(seen))
                 seen[-CLASSES:] += np.bincount(kind, minlength=CLASSES)
-                times += np.bincount(history, minlength=HISTORIES)
+                met, often = np.unique(history, return_counts=True)
+                times[met] += often
         starts, parts = _parts(seen.reshape(n_rows, CLASSES))
         yield pa.RecordBatch.from_arrays(
             [pa.array(starts, pa.int32()), pa.array(parts, pa.binary()), pa.nulls(len(starts), pa.int32()), pa.nulls(len(starts), pa.int64())],

@@ -1,9 +1,11 @@
 """Chat formatting by quotation linking, with DataFrame operations only.
 
 Every message is parsed into passages: runs of lines of one quote level (the number of ``>`` in
-front).  Level 0 is the message's own text.  Own texts, their paragraphs and their lines are
-normalised (white space collapsed, lower case) and hashed; quoted passages of one conversation
-are joined to the earliest earlier message that holds the same passage.  A message replies to the
+front).  Level 0 is the message's own text.  Own texts, their runs between quotes, their paragraphs
+and their lines are normalised (white space collapsed, lower case) and hashed; quoted passages of
+one conversation are joined to the earliest earlier message that holds the same passage.  Where a
+whole passage has no match, its paragraphs are joined in the same way, and where none of them has
+one, its lines; the latest message among the matches is the passage's.  A message replies to the
 latest message among its outermost linked quotes, else among its deeper ones, else to the message
 before it.
 
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import saved
 
 PREFIX = r"^(?:[ \t]*>)+[ \t]?"
+PARAGRAPH = r"\n\s*\n"
 
 
 def normalised(text: Column) -> Column:
@@ -74,15 +77,28 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         "at",
         F.filter(F.col("passages"), lambda p: p["level"] > 0).alias("quotes"),
         own_text(F.col("passages")).alias("own"),
+        F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["content"]).alias("runs"),
+    )
+    # Each quoted passage whole (0), by paragraph (1) and by line (2).
+    cuts = F.array(
+        F.struct(F.lit(0).alias("cut"), F.array(F.col("q.content")).alias("parts")),
+        F.struct(F.lit(1).alias("cut"), F.split("q.content", PARAGRAPH).alias("parts")),
+        F.struct(F.lit(2).alias("cut"), F.split("q.content", r"\n").alias("parts")),
     )
     quoted = (
-        named.select("conv_id", "at", F.explode("quotes").alias("q"))
-        .select("conv_id", "at", F.col("q.level").alias("level"), normalised(F.col("q.content")).alias("passage"))
+        named.select("conv_id", "at", F.posexplode("quotes").alias("quote", "q"))
+        .select("conv_id", "at", "quote", F.col("q.level").alias("level"), F.explode(cuts).alias("c"))
+        .select("conv_id", "at", "quote", "level", F.col("c.cut").alias("cut"), F.explode("c.parts").alias("part"))
+        .select("conv_id", "at", "quote", "level", "cut", normalised(F.col("part")).alias("passage"))
         .where("passage <> ''")
-        .select("conv_id", "at", "level", F.sha2("passage", 256).alias("digest"))
+        .select("conv_id", "at", "quote", "level", "cut", F.sha2("passage", 256).alias("digest"))
     )
     units = F.array_union(
-        F.array(F.col("own")), F.array_union(F.split("own", r"\n\s*\n"), F.split("own", r"\n"))
+        F.array_union(F.array(F.col("own")), F.col("runs")),
+        F.array_union(
+            F.array_union(F.split("own", PARAGRAPH), F.flatten(F.transform("runs", lambda r: F.split(r, PARAGRAPH)))),
+            F.split("own", r"\n"),
+        ),
     )
     # One row for each passage of a conversation, summed up before it moves.
     originals = (
@@ -93,8 +109,12 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         .agg(F.min("at").alias("first_at"))
     )
     same = quoted["conv_id"].eqNullSafe(originals["conv_id"]) & (quoted["digest"] == originals["digest"])
-    linked = quoted.join(originals, same & (originals["first_at"] < quoted["at"])).select(
-        quoted["conv_id"], "at", "level", "first_at"
+    parts = quoted.join(originals, same & (originals["first_at"] < quoted["at"])).select(
+        quoted["conv_id"], "at", "quote", "level", "cut", "first_at"
+    )
+    # The coarsest cut that matches speaks for the passage.
+    linked = parts.groupBy("conv_id", "at", "quote", "level").agg(
+        F.max_by("first_at", F.struct(-F.col("cut"), F.col("first_at"))).alias("first_at")
     )
     # Outermost quotes first, then the latest message.
     return linked.groupBy("conv_id", "at").agg(

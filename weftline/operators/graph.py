@@ -138,19 +138,26 @@ def degrees(edges: DataFrame, methods: DataFrame, source: str = "from_url", targ
     return methods.join(both, key)
 
 
-def closure(pairs: DataFrame, child: str = "child", parent: str = "parent", most: int = 64) -> DataFrame:
-    """(child, ancestor, level): all ancestors at their least distance; cycles end by themselves."""
+def closure(pairs: DataFrame, child: str = "child", parent: str = "parent", most: int | None = None) -> DataFrame:
+    """(child, ancestor, level): all ancestors at their least distance; cycles end by themselves.
+
+    Levels go on until one finds no new pair, or up to ``most`` where it is given.
+    """
     found = pairs.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).distinct().withColumn("level", F.lit(1))
     found = found.where("child <> ancestor")
     up = found.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("next"))
-    last = found
-    for level in range(2, most + 1):
+    last, level = found, 1
+    while most is None or level < most:
+        level += 1
         fresh = last.join(up, "ancestor").select("child", F.col("next").alias("ancestor")).distinct().where("child <> ancestor")
         fresh = fresh.join(found, ["child", "ancestor"], "left_anti").withColumn("level", F.lit(level))
         fresh = cut_lineage(fresh)
         if fresh.isEmpty():
             break
         found, last = found.unionByName(fresh), fresh
+        # Keeps the union of levels short however deep the graph is.
+        if level % 16 == 0:
+            found = cut_lineage(found)
     return found
 
 

@@ -32,19 +32,69 @@ def library():
 def test_counts_match_the_library():
     path = token_count.piece_model_path()
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    counter = token_count.PieceCounter(path, cache_entries=64)
+    counter = token_count.PieceCounter(path, cache_bytes=16_000)
     for text in CASES + random_texts(1500):
         assert counter.count(text.encode()) == len(model.encode(text)), repr(text)
 
 
 def test_automaton_matches_the_library(library):
-    codec = bpe_automaton.WordCodec(bpe_automaton.word_model_path(), cache_entries=64)
+    codec = bpe_automaton.WordCodec(bpe_automaton.word_model_path(), cache_bytes=16_000)
     for text in CASES + random_texts(1500):
         ids = library.encode(text, add_special_tokens=False).ids
-        found, labels, packed = codec.encode_text(text.encode())
+        found, packed = codec.encode_text(text.encode())
         assert [int(i) for i in found.split()] == ids, repr(text)
         assert np.frombuffer(packed, "<i4").tolist() == ids
-        assert labels.decode() == library.decode(ids, skip_special_tokens=False), repr(text)
+        assert codec.decode_packed(packed).decode() == library.decode(ids, skip_special_tokens=False), repr(text)
+
+
+def merged_by_gadgets(merges, vocabulary):
+    """The arcs of the automaton, gadget by gadget on a full matrix."""
+    arcs = np.ones((len(vocabulary), len(vocabulary)), dtype=bool)
+    live = [i for t, i in vocabulary.items() if len(t) == 1]
+    for u, v in merges:
+        i, j, k = vocabulary[u], vocabulary[v], vocabulary[u + v]
+        arcs[k, live] = arcs[j, live]
+        arcs[i, j] = False
+        live.append(k)
+        arcs[live, k] = arcs[live, i]
+    return arcs
+
+
+def test_compiled_arcs_are_those_of_the_gadgets():
+    draw = random.Random(3)
+    for _ in range(40):
+        tokens, merges = ["a", "b", "c"], []
+        while len(merges) < 40:
+            pair = (draw.choice(tokens), draw.choice(tokens))
+            if "".join(pair) not in tokens:
+                merges.append(pair)
+                tokens.append("".join(pair))
+        vocabulary = {t: i for i, t in enumerate(draw.sample(tokens, len(tokens)))}
+        automaton = bpe_automaton.TokenizationAutomaton(vocabulary, merges)
+        arcs = merged_by_gadgets(merges, vocabulary)
+        found = [[automaton.arc(x, y) for y in range(len(tokens))] for x in range(len(tokens))]
+        assert np.array_equal(found, arcs)
+
+
+def test_caches_are_bounded_in_bytes(library):
+    """Long chunks are not kept, and many short ones take no more than the bound."""
+    codec = bpe_automaton.WordCodec(bpe_automaton.word_model_path(), cache_bytes=100_000)
+    counter = token_count.PieceCounter(token_count.piece_model_path(), cache_bytes=100_000)
+    encoder = token_files.LibraryEncoder(token_files.word_model_path(), cache_bytes=100_000)
+    draw = random.Random(9)
+    for _ in range(30):
+        chunk = "".join(draw.choice("abcdefghij") for _ in range(10_000))
+        ids = library.encode(chunk, add_special_tokens=False).ids
+        assert np.frombuffer(codec.encode_text(chunk.encode())[1], "<i4").tolist() == ids
+        assert np.frombuffer(encoder.ids(chunk.encode()), "<u2").tolist() == ids
+        counter.count(chunk.encode())
+    for memo in (codec.chunk, codec.word, counter.spaced, encoder.chunk):
+        assert not memo and not memo.old
+    for k in range(5000):
+        for work in (codec.encode_text, counter.count, encoder.ids):
+            work(b"w%d" % k)
+    for memo in (codec.chunk, codec.word, counter.spaced, encoder.chunk):
+        assert 0 < len(memo) + len(memo.old) < 1000
 
 
 def test_automaton_on_small_vocabularies():

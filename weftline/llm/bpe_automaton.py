@@ -1,33 +1,42 @@
 """BPE encoding and decoding with a tokenization automaton.
 
 The automaton reads token sequences: its states are the tokens (what was read last), and an arc
-from x to y says that y may follow x in a correct tokenization.  It starts with one symbol per
-state and all arcs present.  Each merge (u, v), in rank order, applies one gadget:
+from x to y, labelled y, says that y may follow x in a correct tokenization.  It starts with one
+symbol per state and all arcs present.  Each merge (u, v), in rank order, applies one gadget:
 
-* the arc v leaves state u (u, v would have been merged);
 * a new state uv gets the arcs that state v has at that time;
+* the arc v leaves state u (u, v would have been merged);
 * wherever an arc u leads, an arc uv leads as well.
 
-Rows are not copied out (49 thousand states times as many arcs): a gadget stores its two halves
-and its time, and an arc is looked up by following the halves back, then kept in the transition
-table, so every arc is resolved once.  For every pre-split word there is exactly one accepted
-path; the encoder finds it by keeping, for each prefix, the state that the prefix ends in, and
-trying the tokens that end at the next symbol against the table.  Decoding emits the labels of
-the path's arcs as the tokenizer file's decoder does.
+``compile_arcs`` writes the result out as a table.  Labels are numbered so that a label is followed
+by those that the third rule laid beside it, the latest first: what one merge takes from a state is
+then one interval of labels, and a state lacks the union of its intervals.  States that lack the
+same labels share a row of the table, and labels that the same states lack share a column, so that
+49 thousand states and labels take 20 MB of bits.  The table is compiled once, on the driver, and
+sent to the workers; it is bounded by the vocabulary.
+
+Labels are spelled by one trie, which is the symbols' transition table: from a position the encoder
+runs through it symbol by symbol, takes the longest label with an arc, and backs up over a state
+that leads nowhere, which it never enters again.  Each word has exactly one accepted path.  Decoding
+emits the labels of a path's arcs as the tokenizer file's decoder does.
 
 Words are pre-split by the tokenizer file's own normaliser and pre-tokeniser; plain Latin chunks
 take a shorter way with the same result.  White space separates chunks, so the chunks of a text
-are encoded one by one, with a bounded cache in each Python worker.  Strings of special tokens
-inside a chunk give their own identifiers, as the library does by default.
+are encoded one by one, with caches bounded in bytes in each Python worker.  Strings of special
+tokens inside a chunk give their own identifiers, as the library does by default.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
-from collections.abc import Sequence
+from array import array
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +47,11 @@ from pyspark.sql import types as T
 
 from weftline.llm.common import Memo, append_columns, text_bytes
 
-WORD_END = "</w>"
-#: Entries of one generation of the chunk cache, and of the transition table, in a Python worker.
-CACHE_ENTRIES = 250_000
-TABLE_ENTRIES = 1_000_000
-NO_TOKEN = -1
+#: Keys of a trie node beside its symbols.
+INNER, LAST = 0, 1
+#: Bytes of one generation of the chunk cache and of the word cache of a Python worker.
+CHUNK_BYTES = 64 << 20
+WORD_BYTES = 24 << 20
 
 
 def word_model_path() -> str:
@@ -64,99 +73,188 @@ def byte_letters() -> list[str]:
     return letters
 
 
+@dataclass(frozen=True)
+class ArcTable:
+    """The compiled arcs: a row of bits for the states that share it, a column for the labels that
+    share it; a bit is 1 where the arc is absent.  ``row`` has the place of each state's row in
+    ``absent``, ``column`` the column of each label.  ``idle`` has the tokens that no word gives, as
+    their halves never met when their merge's turn came."""
+
+    absent: bytes
+    row: array
+    column: array
+    idle: frozenset[int]
+
+
+def compile_arcs(vocabulary: dict[str, int], merges: list[tuple[str, str]]) -> ArcTable:
+    """Applies the gadget of every merge in rank order and writes out the arcs."""
+    size = max(vocabulary.values()) + 1
+    gadgets, built = [], [0] * size
+    beside: list[list[int]] = [[] for _ in range(size)]  # labels laid beside a label, by time
+    for time, (u, v) in enumerate(merges, 1):
+        i, j, k = vocabulary[u], vocabulary[v], vocabulary[u + v]
+        if built[k]:
+            raise ValueError(f"two merges make {u + v!r}; the automaton needs one")
+        if max(built[i], built[j]) >= time:
+            raise ValueError("a merge uses a token that is not built yet")
+        built[k] = time
+        gadgets.append((i, j, k))
+        beside[i].append(k)
+    place, stop = [0] * size, [0] * size
+    at = 0
+    todo = [(y, False) for y in range(size - 1, -1, -1) if not built[y]]
+    while todo:
+        y, done = todo.pop()
+        if done:
+            stop[y] = at
+            continue
+        place[y] = at
+        at += 1
+        todo.append((y, True))
+        todo += [(k, False) for k in beside[y]]  # the latest comes off first
+
+    # What each merge takes: label v and those laid beside it no earlier than the merge.
+    none = np.zeros((0, 3), dtype=np.int32)
+    own: list[list[tuple[int, int, int]]] = [[] for _ in range(size)]
+    for time, (i, j, _) in enumerate(gadgets, 1):
+        later = next((k for k in beside[j] if built[k] >= time), None)
+        own[i].append((time, place[j], place[j] + 1 if later is None else stop[later]))
+    taken = [np.array(o, dtype=np.int32) if o else none for o in own]
+    idle = set()
+    for time, (i, j, k) in enumerate(gadgets, 1):
+        before = taken[i][: np.searchsorted(taken[i][:, 0], time)]
+        if {i, j} & idle or ((before[:, 1] <= place[j]) & (place[j] < before[:, 2])).any():
+            idle.add(k)
+        inherited = taken[j][: np.searchsorted(taken[j][:, 0], time)]
+        taken[k] = np.concatenate([inherited, taken[k]]) if len(taken[k]) else inherited
+
+    rows: dict[bytes, int] = {}
+    row, parts = array("i"), []
+    for t in taken:
+        order = np.argsort(t[:, 1], kind="stable")
+        start, end = t[order, 1], np.maximum.accumulate(t[order, 2]) if len(t) else t[:, 2]
+        new = np.ones(len(t), dtype=bool)
+        new[1:] = start[1:] > end[:-1]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(t))[: len(first)] - 1
+        union = np.stack([start[first], end[last]])
+        found = rows.setdefault(union.tobytes(), len(rows))
+        if found == len(parts):
+            parts.append(union)
+        row.append(found)
+
+    # Labels that the same rows lack share a column: sums of random row numbers tell them apart.
+    draws = np.random.default_rng(1).integers(0, 1 << 63, (2, len(parts)), dtype=np.uint64)
+    step = np.zeros((2, size + 1), dtype=np.uint64)
+    for k, union in enumerate(parts):
+        step[:, union[0]] += draws[:, k, None]
+        step[:, union[1]] -= draws[:, k, None]
+    sums = np.cumsum(step, axis=1)[:, :size]
+    _, shown, column = np.unique(sums, axis=1, return_index=True, return_inverse=True)
+    lacks = []
+    for union in parts:
+        step = np.zeros(size + 1, dtype=np.int8)
+        step[union[0]] += 1
+        step[union[1]] -= 1
+        lacks.append(np.packbits(np.cumsum(step, dtype=np.int8)[shown].view(bool), bitorder="little").tobytes())
+    column = column.reshape(-1)[np.array(place)]
+    return ArcTable(b"".join(lacks), array("i", np.array(row) * len(lacks[0])), array("i", column.tolist()), frozenset(idle))
+
+
 class TokenizationAutomaton:
     """The automaton of a vocabulary and its ordered merges.
 
     ``vocabulary`` maps token strings to identifiers; ``end`` is the suffix that marks the last
-    symbol of a word ("" for none).
+    symbol of a word ("" for none); ``arcs`` is the compiled table, made here if not given.
     """
 
-    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], end: str = ""):
+    def __init__(
+        self, vocabulary: dict[str, int], merges: list[tuple[str, str]], end: str = "", arcs: ArcTable | None = None
+    ):
         self.end = end
         self.label = {i: t for t, i in vocabulary.items()}
-        size = max(self.label) + 1
-        #: The gadget of each state: its halves, and the time it was built (0: a single symbol).
-        self.first, self.second, self.built = [-1] * size, [-1] * size, [0] * size
-        #: When the arc of a merge left its state.
-        self.removed: dict[tuple[int, int], int] = {}
-        made: set[int] = set()
-        for time, (u, v) in enumerate(merges, 1):
-            i, j, k = vocabulary[u], vocabulary[v], vocabulary[u + v]
-            if k in made:
-                raise ValueError(f"two merges make {u + v!r}; the automaton needs one")
-            made.add(k)
-            if max(self.built[i], self.built[j]) >= time:
-                raise ValueError("a merge uses a token that is not built yet")
-            self.first[k], self.second[k], self.built[k] = i, j, time
-            self.removed[i, j] = time
-        #: Tokens by their spelling inside a word and at its end; every shorter ending of a
-        #: spelling is there too, as NO_TOKEN, so that the search for longer tokens can stop.
-        self.inner: dict[str, int] = {}
-        self.last: dict[str, int] = {} if end else self.inner
+        self.arcs = arcs or compile_arcs(vocabulary, merges)
+        made = {u + v for u, v in merges}
+        #: Labels of whole words, and the trie of all labels: INNER of a node has the (length, label)
+        #: of all labels on the way to it, longest first, LAST the label of a word's end there.
+        self.whole: dict[str, int] = {}
+        self.trie: dict = {}
+        inner = {}
         for token, i in vocabulary.items():
-            if end and token.endswith(end) and len(token) > len(end):
-                body, table = token[: -len(end)], self.last
-            else:
-                body, table = token, self.inner
-            if len(body) == 1 or i in made:
-                table[body] = i
-                for cut in range(1, len(body)):
-                    table.setdefault(body[cut:], NO_TOKEN)
-        self.table: dict[int, bool] = {}
+            last = bool(end) and token.endswith(end) and len(token) > len(end)
+            body = token[: -len(end)] if last else token
+            if i in self.arcs.idle or len(body) > 1 and token not in made:
+                continue
+            node = self.trie
+            for symbol in body:
+                node = node.setdefault(symbol, {})
+            if last or not end:
+                node[LAST] = self.whole[body] = i
+            if not last:
+                inner[body] = i
+        todo = [(self.trie, "", ())]
+        while todo:
+            node, body, on_the_way = todo.pop()
+            if body in inner:
+                on_the_way = ((len(body), inner[body]), *on_the_way)
+            todo += [(node[c], body + c, on_the_way) for c in node if c != LAST]
+            node[INNER] = on_the_way
+        self._row = self.arcs.row.tolist()
+        self._byte = [c >> 3 for c in self.arcs.column]
+        self._bit = [1 << (c & 7) for c in self.arcs.column]
+        self._ends = frozenset(self.whole.values())
+        self._longest = max(map(len, [*inner, *self.whole]), default=1)
 
     def arc(self, x: int, y: int) -> bool:
-        """Whether y may follow x once all gadgets are applied."""
-        key = x << 32 | y
-        found = self.table.get(key)
-        if found is None:
-            if len(self.table) >= TABLE_ENTRIES:
-                self.table.clear()
-            found = self.table[key] = self._resolve(x, y)
-        return found
-
-    def _resolve(self, x: int, y: int) -> bool:
-        built, now = self.built, len(self.removed) + 1
-        # "now" is the time just before which the arc is asked for.
-        while True:
-            gone = self.removed.get((x, y))
-            if gone is not None and gone < now:
-                return False
-            a, b = built[x], built[y]
-            if a == 0 and b == 0:
-                return True
-            if a > b:  # state x took over the arcs of its second half when it was built
-                x, now = self.second[x], a
-            elif b > a:  # arc y was laid beside the arc of its first half when it was built
-                # A pair of equal halves lost that arc in the same gadget, before the new one.
-                twin = self.first[y] == self.second[y] == x
-                if twin:
-                    return False
-                y, now = self.first[y], b
-            else:  # x = y: the gadget's own state, beside the arc from second half to first
-                x, y, now = self.second[x], self.first[y], a
+        """Whether y may follow x."""
+        return not self.arcs.absent[self._row[x] + self._byte[y]] & self._bit[y]
 
     def encode(self, symbols: str) -> list[int]:
         """The one accepted path for a pre-split word, as identifiers."""
-        n = len(symbols)
-        ends = [NO_TOKEN] * (n + 1)
-        starts = [0] * (n + 1)
-        arc = self.arc
-        for stop in range(1, n + 1):
-            get = (self.last if stop == n else self.inner).get
-            for start in range(stop - 1, -1, -1):
-                token = get(symbols[start:stop])
-                if token is None:
+        whole = self.whole.get(symbols)
+        if whole is not None:
+            return [whole]
+        absent, rows, byte, bit = self.arcs.absent, self._row, self._byte, self._bit
+        ends, longest = self._ends, self._longest
+        n, at, state, path = len(symbols), 0, None, []
+        passed: list[tuple] = []  # position, state and the labels not yet tried there
+        dead: set[tuple[int, int]] = set()
+        row = 0
+        while at < n:
+            # The symbols' transitions, as far as a label can be spelled.
+            node = self.trie
+            for symbol in symbols[at : at + longest]:
+                after = node.get(symbol)
+                if after is None:
+                    labels = iter(node[INNER])
                     break
-                if token >= 0 and (start == 0 or (ends[start] >= 0 and arc(ends[start], token))):
-                    ends[stop], starts[stop] = token, start
+                node = after
+            else:
+                labels = iter(node[INNER])
+                if LAST in node and n - at <= longest:
+                    labels = chain(((n - at, node[LAST]),), labels)
+            while True:
+                for length, label in labels:
+                    stop = at + length
+                    if state is not None and absent[row + byte[label]] & bit[label]:
+                        continue
+                    if stop == n and label not in ends or dead and (stop, label) in dead:
+                        continue
                     break
-        if ends[n] < 0:
-            raise ValueError(f"{symbols!r} has symbols outside the alphabet")
-        path, stop = [], n
-        while stop > 0:
-            path.append(ends[stop])
-            stop = starts[stop]
-        path.reverse()
+                else:
+                    if not passed:
+                        raise ValueError(f"{symbols[:80]!r} has symbols outside the alphabet")
+                    dead.add((at, state))
+                    at, state, labels = passed.pop()
+                    path.pop()
+                    if state is not None:
+                        row = rows[state]
+                    continue
+                break
+            passed.append((at, state, labels))
+            path.append(label)
+            at, state = stop, label
+            row = rows[label]
         return path
 
 
@@ -190,23 +288,22 @@ class PlainSplitter:
 class WordCodec:
     """Encodes and decodes whole texts as the tokenizer file at ``path`` asks."""
 
-    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, cache_bytes: int = CHUNK_BYTES, arcs: ArcTable | None = None):
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        model = spec["model"]
-        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        vocabulary, merges, spec = model_parts(path)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.automaton = TokenizationAutomaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
-        self.label = {**self.automaton.label, **{i: t for t, i in self.special.items()}}
-        if spec["decoder"] is not None or model["unk_token"] is not None:
+        end = spec["model"].get("end_of_word_suffix") or ""
+        self.automaton = TokenizationAutomaton(vocabulary, merges, end, arcs)
+        if spec["decoder"] is not None or spec["model"]["unk_token"] is not None:
             raise ValueError("only files without decoder and unknown token are supported")
+        self.label = {**self.automaton.label, **{i: t for t, i in self.special.items()}}
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.plain = PlainSplitter(spec)
-        self.word = Memo(self.automaton.encode, cache_entries // 8)
-        self.chunk = Memo(self._chunk, cache_entries)
+        weigh = lambda found: 120 + len(found[0]) + len(found[1])
+        self.word = Memo(self._word, min(cache_bytes, WORD_BYTES), weigh)
+        self.chunk = Memo(self._chunk, cache_bytes, weigh)
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
 
     def words(self, text: str) -> list[str]:
@@ -216,41 +313,78 @@ class WordCodec:
             words = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
         return words
 
-    def ids(self, text: str) -> list[int]:
-        found: list[int] = []
-        encode = self.automaton.encode
+    def _word(self, word: str) -> tuple[bytes, bytes]:
+        """Decimal identifiers of a pre-split word, joined by spaces, and packed ones."""
+        return self._written(self.automaton.encode(word))
+
+    @staticmethod
+    def _written(ids: list[int]) -> tuple[bytes, bytes]:
+        return " ".join(map(str, ids)).encode(), array("i", ids).tobytes()
+
+    def _chunk(self, chunk: bytes) -> tuple[bytes, bytes]:
+        """The same for a chunk between white space."""
+        text = chunk.decode()
+        found = []
+        word_ids = self.word.__getitem__
         stretches = self.cut.split(text) if "<|" in text else (text,)
         for stretch in stretches:
             if stretch in self.special:
-                found.append(self.special[stretch])
+                found.append(self._written([self.special[stretch]]))
             elif stretch:
-                for word in self.words(stretch):
-                    found += self.word[word] if len(word) < 6 else encode(word)
-        return found
-
-    def _chunk(self, chunk: bytes) -> tuple[bytes, bytes, bytes]:
-        """Identifiers and arc labels of a chunk, each joined by spaces, and packed identifiers."""
-        ids = self.ids(chunk.decode())
-        packed = b"".join([i.to_bytes(4, "little") for i in ids])
-        return " ".join(map(str, ids)).encode(), self.decode(ids).encode(), packed
+                found += map(word_ids, self.words(stretch))
+        if len(found) == 1:
+            return found[0]
+        return b" ".join([ids for ids, _ in found]), b"".join([packed for _, packed in found])
 
     def decode(self, ids) -> str:
         """The labels of the path, joined as the library joins tokens where no decoder is set."""
-        label = self.label
-        return " ".join([label[i] for i in ids])
+        return " ".join(map(self.label.__getitem__, ids))
 
-    def encode_text(self, text: bytes) -> tuple[bytes, bytes, bytes]:
-        """Decimal identifiers, decoded text and packed identifiers of a whole UTF-8 text."""
+    def encode_text(self, text: bytes) -> tuple[bytes, bytes]:
+        """Decimal identifiers and packed identifiers of a whole UTF-8 text."""
         if not text.strip():
-            return b"", b"", b""
-        ids, labels, packed = zip(*map(self.chunk.__getitem__, text.split()))
-        return b" ".join(filter(None, ids)), b" ".join(filter(None, labels)), b"".join(packed)
+            return b"", b""
+        ids, packed = zip(*map(self.chunk.__getitem__, text.split()))
+        return b" ".join(filter(None, ids)), b"".join(packed)
+
+    def decode_packed(self, packed: bytes) -> bytes:
+        """The decoded text of packed identifiers, in UTF-8."""
+        return self.decode(array("i", packed)).encode()
+
+
+def model_parts(path: str) -> tuple[dict[str, int], list[tuple[str, str]], dict]:
+    """Vocabulary, ordered merges and the whole specification of a tokenizer file."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]]
+    return spec["model"]["vocab"], merges, spec
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> WordCodec:
-    """The codec of this Python worker, with its caches."""
-    return WordCodec(path)
+def arc_table(path: str) -> ArcTable:
+    """The compiled table of the tokenizer file, worked out once in the driver."""
+    return compile_arcs(*model_parts(path)[:2])
+
+
+#: The codecs of this Python worker, with their caches.
+_CODECS: dict[str, WordCodec] = {}
+
+
+def codec(path: str, arcs: ArcTable | None = None) -> WordCodec:
+    if path not in _CODECS:
+        _CODECS.clear()
+        _CODECS[path] = WordCodec(path, arcs=arcs)
+        # The tables stay for good and hold no cycles; the collector need not walk them.
+        gc.collect()
+        gc.freeze()
+    return _CODECS[path]
+
+
+def _codec_starter(df: DataFrame, model_path: str | None) -> Callable[[], WordCodec]:
+    """Gives the codec in a worker; the compiled table travels there once, as a broadcast."""
+    path = model_path or word_model_path()
+    shared = df.sparkSession.sparkContext.broadcast(arc_table(path))
+    return lambda: codec(path, shared.value)
 
 
 def encode(
@@ -262,17 +396,16 @@ def encode(
     A null or empty text has no identifiers; texts are taken whole; repeated rows are encoded
     each; an empty table gives an empty table; input columns named like the results are replaced.
     """
-    path = model_path or word_model_path()
+    shared_codec = _codec_starter(df, model_path)
 
     def start():
-        encode_text = codec(path).encode_text
+        of = shared_codec()
 
         def work(texts: list[bytes]):
-            found = [encode_text(t) for t in texts]
-            flat = np.frombuffer(b"".join([packed for _, _, packed in found]), dtype="<i4")
-            ends = np.cumsum([0, *[len(packed) // 4 for _, _, packed in found]])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            return lists, np.diff(ends).tolist(), *_hashes(found)
+            found, flat = _digests(of, texts, True)
+            ends = np.cumsum([0, *found[0]])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, "<i4")))
+            return lists, *found
 
         return work
 
@@ -283,16 +416,28 @@ def encode(
 DIGEST = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
 
 
-def _hashes(found) -> tuple[list[str], list[str]]:
-    return tuple([hashlib.sha256(f[k]).hexdigest() for f in found] for k in (0, 1))
+def _digests(of: WordCodec, texts: list[bytes], packed: bool = False):
+    """n_tokens and the two hashes of every text, and all packed identifiers if asked for.
+
+    Each text is encoded, and its identifiers are decoded.
+    """
+    counts, ids_sha, text_sha, kept = [], [], [], []
+    for text in texts:
+        ids, flat = of.encode_text(text)
+        counts.append(len(flat) // 4)
+        ids_sha.append(hashlib.sha256(ids).hexdigest())
+        text_sha.append(hashlib.sha256(of.decode_packed(flat)).hexdigest())
+        if packed:
+            kept.append(flat)
+    return (counts, ids_sha, text_sha), b"".join(kept)
 
 
 def decode(df: DataFrame, ids: str = "token_ids", model_path: str | None = None) -> DataFrame:
     """``df`` with decoded_text for every row; a null list gives null, an empty one ""."""
-    path = model_path or word_model_path()
+    shared_codec = _codec_starter(df, model_path)
 
     def start():
-        emit = codec(path).decode
+        emit = shared_codec().decode
         return lambda rows: ([None if r is None else emit(r) for r in rows],)
 
     return append_columns(df, [F.col(ids)], [("decoded_text", T.StringType())], start)
@@ -305,16 +450,11 @@ def digest(
 
     Encodes and decodes in one pass; a null text counts as empty (0 tokens, hashes of "").
     """
-    path = model_path or word_model_path()
+    shared_codec = _codec_starter(df, model_path)
 
     def start():
-        encode_text = codec(path).encode_text
-
-        def work(texts: list[bytes]):
-            found = [encode_text(t) for t in texts]
-            return [len(packed) // 4 for _, _, packed in found], *_hashes(found)
-
-        return work
+        of = shared_codec()
+        return lambda texts: _digests(of, texts)[0]
 
     return append_columns(df, [text_bytes(text)], DIGEST, start, keep)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,38 +21,62 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; a local one is made only where none is set."""
+    """The folder shared by driver and executors; a local one is made only for a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/weftline-scratch"
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
+    """A fresh path in the shared folder, removed at the end of the enclosing ``scratch_scope``,
+    or else when the driver's JVM ends."""
     path = f"{scratch_root(spark)}/weftline-{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    store, hadoop = _store(spark, path)
+    store.deleteOnExit(hadoop)
+    for made in _SCOPES[-1:]:
+        made.append(path)
     return path
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
+#: The paths made within each open ``scratch_scope``.
+_SCOPES: list[list[str]] = []
+
+
+def _store(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Deletes what was written to scratch paths inside, for work whose result is written outside."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes the files at ``path``, which nothing reads any more."""
+    store, hadoop = _store(spark, path)
+    store.delete(hadoop, True)
+
+
+def saved(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends there."""
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = path or scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files behind a table made by ``saved`` once nothing reads them any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def text_bytes(column: str | Column) -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     column = F.col(column) if isinstance(column, str) else column
@@ -114,25 +139,38 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     }[kind.typeName()]
 
 
+#: Bytes of one generation of a chunk cache in a Python worker, and the longest key that is kept.
+CACHE_BYTES = 40 << 20
+LONGEST_KEY = 256
+#: What an entry takes besides its key and value: headers of both and the table's slot.
+ENTRY_BYTES = 220
+
+
 class Memo(dict):
-    """A bounded two-generation cache: ``memo[key]`` computes what is missing.
+    """A cache of two generations, bounded in bytes: ``memo[key]`` computes what is missing.
 
-    When ``limit`` entries are new, they become the old generation and the former old one goes;
-    an old entry that is asked for again moves to the new one.
+    Keys are str or bytes.  When the new generation holds ``limit`` bytes, it becomes the old one
+    and the former old one goes; an old entry that is asked for again moves to the new one.  Keys
+    beyond LONGEST_KEY characters are worked out each time.  ``weigh`` gives the bytes of a value.
     """
 
-    def __init__(self, compute: Callable, limit: int):
+    def __init__(self, compute: Callable, limit: int = CACHE_BYTES, weigh: Callable | None = None):
         super().__init__()
-        self.compute, self.limit, self.old = compute, limit, {}
+        self.compute, self.limit, self.weigh, self.old = compute, limit, weigh, {}
+        self.held = 0
 
     def __missing__(self, key):
+        if len(key) > LONGEST_KEY:
+            return self.compute(key)
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self) >= self.limit:
+        if self.held >= self.limit:
             self.old = dict(self)
             self.clear()
+            self.held = 0
         self[key] = value
+        self.held += len(key) + ENTRY_BYTES + (self.weigh(value) if self.weigh else 0)
         return value
 
 

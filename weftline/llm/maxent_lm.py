@@ -92,9 +92,9 @@ class Encoder:
     A code carries all that the model needs: class and feature row.
     """
 
-    def __init__(self, head: dict[bytes, int], entries: int = 150_000):
+    def __init__(self, head: dict[bytes, int], cache_bytes: int = 40 << 20):
         self.head = head
-        self.code = Memo(self._code, entries)
+        self.code = Memo(self._code, cache_bytes)
 
     def _code(self, word: bytes) -> int:
         place = self.head.get(word)

@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from weftline.llm.common import Memo, append_columns, text_bytes
 
 SPACE = "▁"
-#: Entries of one generation of the chunk cache of a Python worker.
-CACHE_ENTRIES = 400_000
+#: Bytes of one generation of the chunk cache of a Python worker.
+CACHE_BYTES = 64 << 20
 
 
 def piece_model_path() -> str:
@@ -38,7 +38,7 @@ def piece_model_path() -> str:
 class PieceCounter:
     """Counts the tokens of texts under the sentencepiece BPE model at ``path``."""
 
-    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -53,8 +53,8 @@ class PieceCounter:
         longer = [p for p in pieces if len(p) > 1]
         self.lines_apart = not any("\n" in p for p in longer) and "\n" not in pieces
         self.words_apart = not any(SPACE in p.lstrip(SPACE) for p in longer)
-        self.bare = Memo(lambda w: self.merge(w.decode()), cache_entries // 8)
-        self.spaced = Memo(lambda w: self.merge(SPACE + w.decode()), cache_entries)
+        self.bare = Memo(lambda w: self.merge(w.decode()), cache_bytes // 8)
+        self.spaced = Memo(lambda w: self.merge(SPACE + w.decode()), cache_bytes)
         self.runs = re.compile(SPACE + "+[^" + SPACE + "]*|[^" + SPACE + "]+")
 
     def merge(self, text: str) -> int:

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from weftline.llm.bpe_automaton import PlainSplitter, word_model_path
 from weftline.llm.common import Memo, append_columns, saved, scratch_path, text_bytes
 
-CACHE_ENTRIES = 400_000
+CACHE_BYTES = 80 << 20
 SEQUENCE = 2048
 SEQUENCES_A_BATCH = 64
 
@@ -44,7 +44,7 @@ class LibraryEncoder:
     special token, go through its whole encoder.
     """
 
-    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -56,7 +56,7 @@ class LibraryEncoder:
         self.encode, self.tokenize = tokenizer.encode, tokenizer.model.tokenize
         with open(path, encoding="utf-8") as file:
             self.plain = PlainSplitter(json.load(file))
-        self.chunk = Memo(self._chunk, cache_entries)
+        self.chunk = Memo(self._chunk, cache_bytes, len)
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()

@@ -1,5 +1,6 @@
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -12,17 +13,20 @@ from weftline.llm import simhash, topk_search
 
 def plain_top(rows, k=10):
     vectors = [
-        (i, [math.floor(1024 * float(x)) for x in v])
+        (i, [math.floor(1024 * Fraction(float(x))) for x in v])
         for i, v in rows
         if i is not None and v and all(x is not None and math.isfinite(x) for x in v)
     ]
-    vectors = sorted({(i, tuple(v)) for i, v in vectors})
-    out = set()
-    for i, q in vectors:
-        if i % 100 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in vectors if j != i and len(v) == len(q))
-            out |= {(i, r, j, -s) for r, (s, j) in enumerate(scored[:k], 1)}
-    return out
+    out = []
+    for i in sorted({i for i, _ in vectors if i % 100 == 0}):
+        scored = sorted(
+            (-sum(a * b for a, b in zip(q, v)), j)
+            for n, q in vectors
+            for j, v in vectors
+            if n == i and j != i and len(v) == len(q)
+        )
+        out += [(i, r, j, max(-(1 << 63), min(-s, (1 << 63) - 1))) for r, (s, j) in enumerate(scored[:k], 1)]
+    return sorted(out)
 
 
 def vectors(n, width=6, seed=2):
@@ -30,14 +34,35 @@ def vectors(n, width=6, seed=2):
     return [(i, [float(x) for x in np.round(draw.normal(size=width), 1)]) for i in range(n)]
 
 
+def found_top(df, **more):
+    found = topk_search.top_k(topk_search.whole_vectors(df, "vec_id", "embedding"), F.col("id") % 100 == 0, **more)
+    return sorted(tuple(r) for r in found.collect())
+
+
 @pytest.mark.parametrize("shard", [64, 8192])
 def test_top_k_matches_brute_force(spark, shard):
-    rows = vectors(900) + [(1000 + i, [0.5] * 6) for i in range(300)] + [(5, vectors(6)[5][1])]
+    rows = vectors(900) + [(1000 + i, [0.5] * 6) for i in range(300)] + [(5, vectors(6)[5][1])] * 3 + [(300, [0.1] * 6)]
     rows += [(2001, None), (2100, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2200, [math.inf] * 6), (2300, [math.nan] * 6), (None, [1.0] * 6)]
+    rows += [(3000 + i, [float(i), 1.0]) for i in range(250)] + [(4000, [1.0] * 9)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    rows = [(r[0], r[1]) for r in df.collect()]
-    found = topk_search.top_k(topk_search.integer_vectors(df, "vec_id", "embedding"), F.col("id") % 100 == 0, shard=shard)
-    assert {tuple(r) for r in found.collect()} == plain_top(rows)
+    assert found_top(df, shard=shard) == plain_top([(r[0], r[1]) for r in df.collect()])
+
+
+def test_top_k_of_large_components(spark):
+    """Scores beyond what 64-bit floats hold, beyond 64 bits, and beyond what a float's exponent holds."""
+    rows = vectors(420) + [(501, [3e6] * 6), (502, [3e6, 3e6, 3e6, 3e6, 3e6, 3000000.001])]
+    assert found_top(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard=64) == plain_top(rows)
+    rows += [(500 + 100 * i, [(-7.0) ** (2 * i + 9)] * 6) for i in range(1, 8)] + [(1301, [1e300, -1e300, 1.7e308, 1.0, 2.0, 0.0])]
+    assert found_top(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard=64) == plain_top(rows)
+
+
+def test_queries_visit_few_cells(spark):
+    """On separate clusters a query is kept from most shards, and a repeated vector splits over tasks."""
+    draw = np.random.default_rng(8)
+    middles = draw.normal(size=(40, 3)) * 50
+    rows = [(i, [float(x) for x in middles[i % 40] + draw.normal(size=3)]) for i in range(4000)]
+    rows += [(100 * i, [1.0, 1.0, 1.0]) for i in range(41, 60)] * 2
+    assert found_top(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard=100) == plain_top(rows)
 
 
 def test_top_k_edges(spark):

@@ -36,31 +36,94 @@ def quote_level(line: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_extract(line, PREFIX, 0), "[^>]", ""))
 
 
-def parsed(messages: DataFrame, text: str = "text") -> DataFrame:
-    """``messages`` with passages: an array of (level, content), runs of lines of one level."""
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n")
-    leveled = F.transform(
+def leveled_lines(text: Column) -> Column:
+    """The lines of a text as an array of (level, content)."""
+    lines = F.split(F.coalesce(text, F.lit("")), r"\r?\n")
+    return F.transform(
         lines, lambda x: F.struct(quote_level(x).alias("level"), F.regexp_replace(x, PREFIX, "").alias("content"))
     )
-    empty = "CAST(array() AS array<struct<level:int,content:string>>)"
-    # Runs are joined over line ends: (done passages, the passage that is open).
-    opened = F.struct(F.expr(empty).alias("done"), F.lit(-1).alias("level"), F.expr("CAST(array() AS array<string>)").alias("lines"))
-
-    def closed(state: Column) -> Column:
-        passage = F.struct(state["level"].alias("level"), F.array_join(state["lines"], "\n").alias("content"))
-        return F.when(state["level"] >= 0, F.concat(state["done"], F.array(passage))).otherwise(state["done"])
-
-    def step(state: Column, line: Column) -> Column:
-        same = state["level"] == line["level"]
-        return F.struct(
-            F.when(same, state["done"]).otherwise(closed(state)).alias("done"),
-            line["level"].alias("level"),
-            F.when(same, F.concat(state["lines"], F.array(line["content"])))
-            .otherwise(F.array(line["content"]))
-            .alias("lines"),
-        )
 
-    return messages.withColumn("passages", F.aggregate(leveled, opened, step, closed))
+
+def passages_of(lines: Column) -> Column:
+    """Runs of lines of one level as an array of (level, content), each line read once or twice.
+
+    ``lines`` must be a column of a table, not an expression, which every line would work out anew.
+    """
+    places = F.sequence(F.lit(0), F.size(lines) - 1)
+    starts = F.filter(places, lambda i: (i == 0) | (F.get(lines, i)["level"] != F.get(lines, i - 1)["level"]))
+    ends = F.concat(F.slice(starts, 2, F.size(lines)), F.array(F.size(lines)))
+    return F.transform(
+        F.arrays_zip(starts.alias("start"), ends.alias("end")),
+        lambda run: F.struct(
+            F.get(lines, run["start"])["level"].alias("level"),
+            F.array_join(
+                F.transform(F.slice(lines, run["start"] + 1, run["end"] - run["start"]), lambda x: x["content"]), "\n"
+            ).alias("content"),
+        ),
+    )
+
+
+#: Rows that one task numbers: conversations beyond it are numbered by several.
+BLOCK = 4096
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with ``name``: gapless places from 0 within each conv_id by ``order``.
+
+    Rows are sorted by ranges of (conv_id, order), so a long conversation lies in several
+    partitions; what each partition holds of a conversation is counted, and the counts before it
+    are added.  Rows equal in all of this are dealt by a number of their own.
+    """
+    # The number stays the same when a task runs again, as the table behind ``rows`` is a file.
+    own = F.monotonically_increasing_id()
+    sort = [F.col("conv_id").asc_nulls_first(), *order, F.col("__own").asc()]
+    spread = rows.withColumn("__own", own).repartitionByRange(*sort).sortWithinPartitions(*sort)
+    placed = saved(
+        spread.withColumn("__row", F.monotonically_increasing_id())
+        .withColumn("__part", F.shiftright("__row", 33))
+        .drop("__own"),
+        "sorted",
+    )
+    # One row for each conversation and partition.
+    before = Window.partitionBy("conv_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (
+        placed.groupBy("conv_id", "__part")
+        .agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+        .withColumn("__base", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
+        .select(F.col("conv_id").alias("__conv"), F.col("__part").alias("__p"), "__first", "__base", "__rows")
+    )
+    # A conversation has as many rows here as it has partitions, so its rows stay spread.
+    same = placed["conv_id"].eqNullSafe(parts["__conv"]) & (placed["__part"] == parts["__p"])
+    joined = placed.join(parts, same)
+    return joined.withColumn(name, F.col("__base") + F.col("__row") - F.col("__first")).drop(
+        "__row", "__part", "__conv", "__p", "__first", "__base", "__rows"
+    )
+
+
+def last_so_far(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """``rows`` (conv_id, at) with ``name``: the greatest non-null ``value`` at or before each place.
+
+    Blocks of BLOCK places are worked out by themselves and take over the greatest of those before.
+    """
+    blocks = rows.withColumn("__block", F.floor(F.col("at") / BLOCK)).withColumn("__value", value)
+    so_far = Window.partitionBy("conv_id", "__block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("conv_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = (
+        blocks.groupBy("conv_id", "__block")
+        .agg(F.max("__value").alias("__top"))
+        .select(F.col("conv_id").alias("__conv"), F.col("__block").alias("__b"), F.max("__top").over(before).alias("__before"))
+        .where("__before IS NOT NULL")
+    )
+    within = blocks.withColumn("__within", F.max("__value").over(so_far))
+    same = within["conv_id"].eqNullSafe(tops["__conv"]) & (within["__block"] == tops["__b"])
+    return within.join(tops, same, "left").withColumn(name, F.greatest("__within", "__before")).drop(
+        "__block", "__value", "__within", "__conv", "__b", "__before"
+    )
+
+
+def escaped(text: Column) -> Column:
+    """A text whose own "<|" cannot be read as a mark of a block."""
+    return F.replace(text, F.lit("<|"), F.lit("<\\|"))
 
 
 def own_text(passages: Column) -> Column:
@@ -157,7 +220,7 @@ def link_conversations(
 
     position runs from 0 in reply order within the conversation, parent_position is the position of
     the message replied to (null for the first); content is the text without quotes, formatted the
-    content in a role-marked block.  Messages are ordered by turn, then role and text (nulls first);
+    content in a role-marked block, where "<|" of role or content is written "<\\|".  Messages are ordered by turn, then role and text (nulls first);
     repeated rows are messages of their own.  A null conv_id is a conversation like any other, a
     null text is empty, a null role is written "user".  An empty table gives an empty result; other
     columns play no part.
@@ -166,8 +229,9 @@ def link_conversations(
         F.col(f"`{conv}`").alias("conv_id"), F.col(f"`{turn}`").alias("turn"),
         F.col(f"`{role}`").alias("role"), F.col(f"`{text}`").alias("text"),
     )
-    in_turn = Window.partitionBy("conv_id").orderBy("turn", "role", F.xxhash64("text"))
-    placed = parsed(named.withColumn("at", F.row_number().over(in_turn).cast("long") - 1))
+    turns = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("hash").asc()]
+    parsed = saved(named.withColumn("lines", leveled_lines(F.col("text"))).withColumn("hash", F.xxhash64("text")).drop("text"), "lines")
+    placed = numbered(parsed, turns, "at").withColumn("passages", passages_of(F.col("lines")))
     rows = saved(
         placed.select(
             "conv_id", "turn", "role", "at", "passages",
@@ -181,9 +245,9 @@ def link_conversations(
     joined = left.join(right, left["conv_id"].eqNullSafe(right["c"]) & (left["at"] == right["a"]), "left").drop("c", "a")
     # A link to the message just before is the default, too.
     branch = F.col("parent_at").isNotNull() & (F.col("parent_at") < F.col("at") - 1)
-    so_far = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    whole = last_so_far(joined, F.when(branch, F.col("at")), "segment")
     tree = saved(
-        joined.withColumn("segment", F.coalesce(F.max(F.when(branch, F.col("at"))).over(so_far), F.lit(0).cast("long")))
+        whole.withColumn("segment", F.coalesce("segment", F.lit(0).cast("long")))
         .withColumn("n_linked", F.coalesce("n_linked", F.lit(0).cast("long")))
         .withColumn("parent_at", F.when(F.col("at") > 0, F.coalesce("parent_at", F.col("at") - 1))),
         "tree",
@@ -196,14 +260,15 @@ def link_conversations(
     ordered = ordered.withColumn(
         "path", F.coalesce("path", F.expr("CAST(array() AS array<struct<back:bigint,start:bigint>>)"))
     )
-    walk = Window.partitionBy("conv_id").orderBy("path", "at")
-    walked = saved(ordered.withColumn("position", F.row_number().over(walk) - 1).drop("path"), "walk")
+    walked = saved(numbered(saved(ordered, "paths"), [F.col("path").asc(), F.col("at").asc()], "position").drop("path"), "walk")
     parents = walked.select(F.col("conv_id").alias("c"), F.col("at").alias("a"), F.col("position").alias("parent_position"))
     found = walked.join(parents, walked["conv_id"].eqNullSafe(parents["c"]) & (walked["parent_at"] == parents["a"]), "left")
     found = found.drop("c", "a")
     texts = rows.select(F.col("conv_id").alias("c"), F.col("at").alias("a"), own_text(F.col("passages")).alias("content"))
     full = found.join(texts, found["conv_id"].eqNullSafe(texts["c"]) & (found["at"] == texts["a"])).drop("c", "a")
-    block = F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), F.col("content"), F.lit("\n<|end|>\n"))
+    block = F.concat(
+        F.lit("<|"), escaped(F.coalesce("role", F.lit("user"))), F.lit("|>\n"), escaped(F.col("content")), F.lit("\n<|end|>\n")
+    )
     return full.select(
         "conv_id", "turn", "role", "position", "parent_position", "max_level", "n_quotes", "n_linked", "content",
         block.alias("formatted"),

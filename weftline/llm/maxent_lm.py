@@ -1,27 +1,36 @@
 """LM scoring with a hashed maximum-entropy model.
 
-P(word | history) = P(class | history) * P(word | class).  The class of a word is a softmax over
-hashed features of the history: the word before (bigram), the one before that (skip), and the
+P(word | history) = P(class | history) * P(word | class, context).  The class of a word is a softmax
+over hashed features of the history: the word before (bigram), the one before that (skip), and the
 pair (trigram).  The SINGLES most frequent tokens are classes of their own; any other word falls
-into a class by a hash of its ending, so unseen words have a class, too.  Within a class words
-are drawn by their smoothed counts, which is the maximum-entropy model of that factor; a class
-keeps one smoothed place for all unseen words, so probabilities sum to 1 over the vocabulary and it.
+into a class by a hash of its ending, so unseen words have a class, too.  Within a class words are
+drawn by a softmax of two features: the word itself, whose weight is the log of its smoothed count,
+and the pair of the word and the class of the word before (its context).  A class keeps one
+smoothed place for all unseen words, so probabilities sum to 1 over the vocabulary and it.
 
 Training: exact token counts first; then one pass over all training texts sums up what the
-gradient needs: how often each feature meets each class, and how often each history occurs.  A
-history is a pair of weight rows, so there are at most HISTORIES of them, however large the corpus.
-Weights start from the counts and take full-batch gradient steps; a step is distributed over the
-histories.  Every task adds up its part in fixed point and parts are summed by weight row, so the
-result does not depend on how documents are dealt.  Weights have a fixed size and are broadcast.
-
-Scoring: a task handles the HEAD most frequent words with a broadcast table of bounded size.  The
-counts of all other words come from a join on the word: each document sends its tail words once.
-Both base and model need only the sum of log(count + 0.1) over them.
+gradient needs: how often each feature meets each class, how often each history occurs, and how
+often each frequent word follows each context.  A history is a pair of weight rows, so there are at
+most HISTORIES of them, however large the corpus; the tables of words and of pairs grow with it.
+Weights start from the counts and take full-batch gradient steps.  A step of the classes' weights is
+distributed over the histories; the pairs' weights are trained class by class.  Every task adds up
+its part in fixed point and parts are summed by weight row, so the result does not depend on how
+documents are dealt.  What is broadcast has a fixed size: the classes' weights, and the weights of
+pairs of the HEAD most frequent words.
+
+Scoring: a task handles the HEAD most frequent words with broadcast tables.  The counts of all other
+words come from a join on the word: each document sends its tail words once.  Both base and model
+need only the sum of log(count + 0.1) over them.
+
+A long text is read piece by piece; a piece takes along the two tokens before it.
 """
 
 from __future__ import annotations
 
+import gc
 import math
+import re
+import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -53,8 +62,17 @@ SLAB = 1 << 18
 CUT = 1 << 14
 #: Bound of a weight: scores stay within what 32-bit exponentials hold.
 BOUND = 20.0
+#: Contexts of the second factor: the class of the word before, or none.
+CONTEXTS = CLASSES + 1
+#: Steps, smoothing and shrinking of the weights of pairs.
+PAIR_STEPS = 8
+PAIR_PRIOR = 2.0
+PAIR_SHRINK = 0.05
+#: Bytes of a text that are split into tokens at once.
+PIECE = 1 << 20
 #: Distinct words that a task counts before it sends them on.
 COUNT_ENTRIES = 300_000
+SPACE = re.compile(rb"[ \t-\r]")
 END = b""  # no word is empty, so the end token takes this name
 
 
@@ -64,6 +82,19 @@ def tokens(text: bytes) -> list[bytes]:
     return words
 
 
+def pieces(text: bytes):
+    """The tokens of a text, at most about PIECE bytes at a time."""
+    at = 0
+    while len(text) - at > PIECE:
+        space = SPACE.search(text, at + PIECE)
+        if space is None:
+            break
+        if words := text[at : space.end()].lower().split():
+            yield words
+        at = space.end()
+    yield tokens(text[at:])
+
+
 def ending(word: bytes) -> int:
     return zlib.crc32(word[-3:])
 
@@ -82,8 +113,34 @@ class Vocabulary:
     distinct: int
     class_log: np.ndarray  # log10 of each class's denominator
 
-    def __post_init__(self):
-        self.singles = min(SINGLES, len(self.head))
+
+@dataclass
+class Model:
+    """What training learns: weights of the classes (feature rows and a last row of biases, by
+    classes), weights of pairs (contexts by head places), log10 of what the words of a class sum to
+    (contexts by classes), and the mean negative log10 probability of a class before each step and
+    after the last."""
+
+    weights: np.ndarray
+    pairs: np.ndarray
+    sums: np.ndarray
+    losses: list[float]
+
+
+#: What this Python worker keeps between tasks: the state of one model, by its name.
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make):
+    """The state ``name`` of this worker, made once; that of an earlier model goes first.
+
+    Its parts refer to each other, so without the collector they would stay until it happens to run.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        _KEPT[name] = make()
+    return _KEPT[name]
 
 
 class Encoder:
@@ -180,27 +237,52 @@ def _rows_sum(rows: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
     out[sorted_rows[starts]] += np.add.reduceat(values[order], starts, axis=0)
 
 
+@dataclass
+class Slab:
+    """Codes of pieces of texts, put together; ``start`` marks the first token of each piece."""
+
+    codes: np.ndarray
+    start: np.ndarray
+    counted: np.ndarray  # False for the tokens that a piece takes along
+    text: list[int]  # the text of each piece
+    first: np.ndarray  # where each piece starts
+    words: list[list[bytes]]  # of each piece, without those taken along
+
+
 def _slabs(texts: list[bytes], encoder: Encoder):
-    """(codes of texts, their numbers), whole texts put together up to about SLAB tokens."""
-    codes, where, size = [], [], 0
+    """Slabs of about SLAB tokens over all texts."""
+    codes, lead, where, words, size = [], [], [], [], 0
+
+    def slab():
+        lengths = np.array([len(c) for c in codes])
+        first = np.cumsum(lengths) - lengths
+        start = np.zeros(lengths.sum(), dtype=bool)
+        start[first] = True
+        counted = np.ones(len(start), dtype=bool)
+        for at, n in zip(first, lead):
+            counted[at : at + n] = False
+        return Slab(np.concatenate(codes), start, counted, where, first, words)
+
     for k, text in enumerate(texts):
-        found = encoder.codes(tokens(text))
-        codes.append(found)
-        where.append(k)
-        size += len(found)
-        if size >= SLAB:
-            yield codes, where
-            codes, where, size = [], [], 0
+        before = None
+        for part in pieces(text):
+            found = encoder.codes(part)
+            lead.append(0 if before is None else len(before))
+            codes.append(found if before is None else np.concatenate([before, found]))
+            before = codes[-1][-2:]
+            where.append(k)
+            words.append(part)
+            size += len(found)
+            if size >= SLAB:
+                yield slab()
+                codes, lead, where, words, size = [], [], [], [], 0
     if codes:
-        yield codes, where
+        yield slab()
 
 
-def _tokens_of(codes: list[np.ndarray]):
-    flat = np.concatenate(codes)
-    lengths = np.array([len(c) for c in codes])
-    start = np.zeros(len(flat), dtype=bool)
-    start[np.cumsum(lengths) - lengths] = True
-    return flat, start, lengths
+def contexts(kind: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The context of each token from the tokens' own classes."""
+    return np.where(start, CLASSES, np.concatenate(([CLASSES], kind[:-1])))
 
 
 def train_documents(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -223,10 +305,11 @@ def count_words(train: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(tokens(text))
-                if len(seen) > COUNT_ENTRIES:
-                    yield sent()
-                    seen.clear()
+                for words in pieces(text):
+                    seen.update(words)
+                    if len(seen) > COUNT_ENTRIES:
+                        yield sent()
+                        seen.clear()
         if seen:
             yield sent()
 
@@ -273,7 +356,7 @@ def read_vocabulary(words: DataFrame, head: int = HEAD) -> Vocabulary:
     return Vocabulary(head_places, counts, total, int(kinds.sum()) + len(singles), class_log)
 
 
-def _add_parts(parts: DataFrame) -> np.ndarray:
+def _add_parts(parts: DataFrame, rows: int) -> np.ndarray:
     """The sum of (at, part) blocks of weight rows; what reaches the driver has a fixed size."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -285,7 +368,7 @@ def _add_parts(parts: DataFrame) -> np.ndarray:
     # Two rounds, so that no task gets the parts of all.
     salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
     once = salted.groupBy("at", "salt").applyInPandas(add, "at int, part binary")
-    out = np.zeros((sum(ROWS) + 1, CLASSES), dtype=np.int64)
+    out = np.zeros((rows, CLASSES), dtype=np.int64)
     for at, data in once.groupBy("at").applyInPandas(add, "at int, part binary").collect():
         found = np.frombuffer(data, np.int64).reshape(-1, CLASSES)
         out[at : at + len(found)] = found
@@ -299,129 +382,239 @@ def _parts(total: np.ndarray) -> tuple[list[int], list[bytes]]:
     return starts, [total[at : at + block].tobytes() for at in starts]
 
 
-def gather_statistics(train: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, DataFrame]:
-    """Counts of (weight row, class), and a table (history, times), over all training tokens."""
+N_ROWS = sum(ROWS) + 1
+
+
+def _added(sums: tuple[np.ndarray, np.ndarray], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values with how often they were met, ``values`` added."""
+    met, often = np.unique(values, return_counts=True)
+    both = np.concatenate([sums[0], met])
+    order = np.argsort(both, kind="stable")
+    both, times = both[order], np.concatenate([sums[1], often])[order]
+    first = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+    return both[first], np.add.reduceat(times, first) if len(first) else times
+
+
+def gather_statistics(train: DataFrame, vocabulary: Vocabulary, name: str) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """Over all training tokens: counts of (weight row, class) and, below them, of (context, class);
+    a table (history, times); a table (pair, times) of contexts and places in the head."""
     shared = train.sparkSession.sparkContext.broadcast(vocabulary.head)
-    n_rows = sum(ROWS) + 1
+    n_rows = N_ROWS + CONTEXTS
+    nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder = kept(f"{name}-words", lambda: Encoder(shared.value))
         seen = np.zeros(n_rows * CLASSES, dtype=np.int64)
-        times = np.zeros(HISTORIES, dtype=np.int64)
+        sums = {"history": nothing, "pair": nothing}
+
+        def sent():
+            for column, (values, times) in sums.items():
+                for a in range(0, len(values), SLAB):
+                    some, often = values[a : a + SLAB], times[a : a + SLAB]
+                    empty = pa.nulls(len(some), pa.int64())
+                    keys = {"history": empty, "pair": empty, column: pa.array(some)}
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary()), *keys.values(), pa.array(often)],
+                        names=["at", "part", "history", "pair", "times"],
+                    )
+
         for batch in batches:
-            for codes, _ in _slabs(batch.column(0).to_pylist(), encoder):
-                flat, start, _ = _tokens_of(codes)
-                _, kind, row = unpack(flat)
-                history = histories(row, start)
+            for slab in _slabs(batch.column(0).to_pylist(), encoder):
+                place, kind, row = unpack(slab.codes)
+                context = contexts(kind, slab.start)[slab.counted]
+                history = histories(row, slab.start)[slab.counted]
+                place, kind = place[slab.counted], kind[slab.counted]
                 rows = features(history)
                 for f in range(rows.shape[1]):
                     seen += np.bincount(rows[:, f] * CLASSES + kind, minlength=len(seen))
-                seen[-CLASSES:] += np.bincount(kind, minlength=CLASSES)
-                met, often = np.unique(history, return_counts=True)
-                times[met] += often
+                seen[(N_ROWS - 1) * CLASSES : N_ROWS * CLASSES] += np.bincount(kind, minlength=CLASSES)
+                seen += np.bincount((N_ROWS + context) * CLASSES + kind, minlength=len(seen))
+                sums["history"] = _added(sums["history"], history)
+                inner = place >= SINGLES
+                sums["pair"] = _added(sums["pair"], context[inner] * HEAD + place[inner])
+                if max(len(v) for v, _ in sums.values()) > 16 * SLAB:
+                    yield from sent()
+                    sums = {"history": nothing, "pair": nothing}
         starts, parts = _parts(seen.reshape(n_rows, CLASSES))
+        empty = pa.nulls(len(starts), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(starts, pa.int32()), pa.array(parts, pa.binary()), pa.nulls(len(starts), pa.int32()), pa.nulls(len(starts), pa.int64())],
-            names=["at", "part", "history", "times"],
+            [pa.array(starts, pa.int32()), pa.array(parts, pa.binary()), empty, empty, empty],
+            names=["at", "part", "history", "pair", "times"],
         )
-        used = np.flatnonzero(times)
-        for a in range(0, len(used), SLAB):
-            some = used[a : a + SLAB]
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(times[some])],
-                names=["at", "part", "history", "times"],
-            )
+        yield from sent()
 
-    both = saved(train.mapInArrow(run, "at int, part binary, history int, times long"), "lm-statistics")
+    both = saved(train.mapInArrow(run, "at int, part binary, history long, pair long, times long"), "lm-statistics")
     shared.unpersist()
-    observed = _add_parts(both.where("at IS NOT NULL").select("at", "part"))
-    found = both.where("history IS NOT NULL").groupBy("history").agg(F.sum("times").alias("times"))
-    return observed, saved(found, "histories")
+    observed = _add_parts(both.where("at IS NOT NULL").select("at", "part"), n_rows)
+    tables = []
+    for column in ("history", "pair"):
+        found = both.where(f"{column} IS NOT NULL").groupBy(column).agg(F.sum("times").alias("times"))
+        tables.append(saved(found, column))
+    return observed, *tables
 
 
-def train(df: DataFrame, vocabulary: Vocabulary, steps: int = STEPS, rate: float = RATE) -> np.ndarray:
-    """Weights (feature rows and a last row of biases, by classes) from ``df`` (text)."""
-    spark = df.sparkSession
-    n_rows = sum(ROWS) + 1
-    seen, found = gather_statistics(df, vocabulary)
+def train_classes(spark, seen: np.ndarray, found: DataFrame, steps: int, rate: float) -> tuple[np.ndarray, list[float]]:
+    """Weights of the classes from the counts of (weight row, class) and the histories; the losses."""
     uses = seen.sum(axis=1, keepdims=True)
     usual = (seen[-1] + 1.0) / (seen[-1].sum() + CLASSES)
     weights = np.log((seen + PRIOR * usual) / (uses + PRIOR)) - np.log(usual)
     weights *= 0.5  # the three features overlap
     weights[-1] = np.log(usual)
+    losses = []
 
-    for _ in range(steps):
+    for step in range(steps + 1):
         current = spark.sparkContext.broadcast(np.clip(weights, -BOUND, BOUND).astype(np.float32))
 
         def expected(batches, current=current):
-            total = np.zeros((n_rows, CLASSES), dtype=np.int64)
+            # The last row sums the logs of the normalisers.
+            total = np.zeros((N_ROWS + 1, CLASSES), dtype=np.int64)
             for batch in batches:
                 history, times = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 1))
                 for a in range(0, len(history), CUT):
                     rows = features(history[a : a + CUT])
+                    logs = log_classes(current.value, rows)
+                    often = times[a : a + CUT]
+                    norm = np.rint((current.value[rows].sum(axis=1) + current.value[-1] - logs)[:, 0] * FIXED)
+                    total[-1, 0] += int(norm.astype(np.int64) @ often)
                     # Fixed point makes sums free of order.
-                    chance = np.rint(np.exp(log_classes(current.value, rows)) * FIXED).astype(np.int64)
-                    chance *= times[a : a + CUT, None]
+                    chance = np.rint(np.exp(logs) * FIXED).astype(np.int64)
+                    chance *= often[:, None]
                     for f in range(rows.shape[1]):
                         _rows_sum(rows[:, f], chance, total)
-                    total[-1] += chance.sum(axis=0)
+                    total[N_ROWS - 1] += chance.sum(axis=0)
             starts, parts = _parts(total)
             yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int32()), pa.array(parts, pa.binary())], names=["at", "part"])
 
-        model = _add_parts(found.mapInArrow(expected, "at int, part binary")) / FIXED
-        # The gradient, scaled row by row by how often the feature is used.
-        weights += rate * (seen - model - weights * 0.01) / (model + PRIOR)
+        model = _add_parts(found.mapInArrow(expected, "at int, part binary"), N_ROWS + 1) / FIXED
+        norms, model = model[-1, 0], model[:-1]
+        losses.append(float((norms - (seen * current.value).sum()) / max(seen[-1].sum(), 1) / math.log(10)))
         current.unpersist()
-    return np.clip(weights, -BOUND, BOUND).astype(np.float32)
+        if step < steps:
+            # The gradient, scaled row by row by how often the feature is used.
+            weights += rate * (seen - model - weights * 0.01) / (model + PRIOR)
+    return np.clip(weights, -BOUND, BOUND).astype(np.float32), losses
+
+
+def pair_weights(observed: np.ndarray, mass: np.ndarray, met: np.ndarray, whole: float) -> np.ndarray:
+    """Weights of the pairs of one class, contexts by words, by full-batch gradient steps.
+
+    ``observed`` counts the pairs, ``mass`` has the smoothed count of each word, ``met`` how often
+    each context meets the class, ``whole`` what all words of the class sum to.
+    """
+    usual = met[:, None] * (mass / whole)
+    weights = np.log((observed + PAIR_PRIOR) / (usual + PAIR_PRIOR))
+    weights[observed == 0] = 0.0
+    for _ in range(PAIR_STEPS):
+        risen = mass * np.exp(weights)
+        sums = whole + (risen - mass).sum(axis=1, keepdims=True)
+        model = met[:, None] * risen / sums
+        step = (observed - model - PAIR_SHRINK * weights) / (model + PAIR_PRIOR)
+        # A pair never met keeps weight 0, so that weights are as many as pairs.
+        weights = np.where(observed > 0, np.clip(weights + RATE * step, -BOUND, BOUND), 0.0)
+    return weights
+
+
+def train_pairs(found: DataFrame, vocabulary: Vocabulary, met: np.ndarray) -> np.ndarray:
+    """Weights of pairs, contexts by head places; each class is trained by a task of its own."""
+    spark = found.sparkSession
+    head = vocabulary.head
+    kind = unpack(Encoder(head).codes(list(head)))[1].astype(np.int32)
+    whole = 10.0**vocabulary.class_log
+    shared = spark.sparkContext.broadcast((kind, vocabulary.counts + SMOOTH, met, whole))
+
+    def of_class(batches):
+        """Adds the class of each pair."""
+        for batch in batches:
+            place = batch.column(0).to_numpy() % HEAD
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value[0][place]), *batch.columns], names=["kind", "pair", "times"])
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, counts, met_, whole_ = shared.value
+        k = int(pdf["kind"].iloc[0])
+        pair = pdf["pair"].to_numpy()
+        places, column = np.unique(pair % HEAD, return_inverse=True)
+        observed = np.zeros((CONTEXTS, len(places)))
+        observed[pair // HEAD, column] = pdf["times"]
+        weights = pair_weights(observed, counts[places], met_[:, k].astype(float), whole_[k])
+        values = weights[pair // HEAD, column].astype("<f4")
+        return pd.DataFrame({"pair": [pair.astype("<i8").tobytes()], "weight": [values.tobytes()]})
+
+    out = np.zeros((CONTEXTS, max(len(head), 1)), dtype=np.float32)
+    learned = found.mapInArrow(of_class, "kind int, pair long, times long")
+    # At most CONTEXTS x HEAD pairs.
+    for row in learned.groupBy("kind").applyInPandas(learn, "pair binary, weight binary").toLocalIterator():
+        pair = np.frombuffer(row["pair"], "<i8")
+        out[pair // HEAD, pair % HEAD] = np.frombuffer(row["weight"], "<f4")
+    shared.unpersist()
+    return out
+
+
+def class_sums(vocabulary: Vocabulary, pairs: np.ndarray) -> np.ndarray:
+    """log10 of what the words of each class sum to in each context."""
+    kind = unpack(Encoder(vocabulary.head).codes(list(vocabulary.head)))[1]
+    mass = vocabulary.counts + SMOOTH
+    sums = np.tile(10.0**vocabulary.class_log, (CONTEXTS, 1))
+    for context in range(CONTEXTS if len(kind) else 0):
+        sums[context] += np.bincount(kind, mass * np.expm1(pairs[context].astype(np.float64)), minlength=CLASSES)
+    sums[:, :SINGLES] = 1.0
+    return np.log10(sums)
+
+
+def train(df: DataFrame, vocabulary: Vocabulary, steps: int = STEPS, rate: float = RATE, name: str = "") -> Model:
+    """The model of ``df`` (text)."""
+    seen, histories_, pairs_ = gather_statistics(df, vocabulary, name or uuid.uuid4().hex)
+    weights, losses = train_classes(df.sparkSession, seen[:N_ROWS], histories_, steps, rate)
+    pairs = train_pairs(pairs_, vocabulary, seen[N_ROWS:])
+    return Model(weights, pairs, class_sums(vocabulary, pairs), losses)
 
 
 def score(
-    df: DataFrame, words: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, key: str = "doc_id", text: str = "text"
+    df: DataFrame, words: DataFrame, vocabulary: Vocabulary, model: Model, key: str = "doc_id", text: str = "text", name: str = ""
 ) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``df``."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary.head, vocabulary.counts, vocabulary.class_log, weights))
+    parts_ = (vocabulary.head, vocabulary.counts, model.weights, model.pairs, model.sums)
+    shared = spark.sparkContext.broadcast(parts_)
     total, distinct = vocabulary.total, vocabulary.distinct
-    encoders: dict[int, tuple] = {}
+    name = name or uuid.uuid4().hex
 
     def state():
-        if not encoders:
-            head, counts, class_log, w = shared.value
-            # Within its class a single word is sure; others have their smoothed share.
-            log_count = np.log10(counts + SMOOTH)
-            encoders[0] = (Encoder(head), log_count, class_log, Scorer(w))
-        return encoders[0]
+        head, counts, weights, pairs, sums = shared.value
+        return Encoder(head), np.log10(counts + SMOOTH), pairs, sums, Scorer(weights)
 
     def run(batches):
         """A row with part sums for every text, and one for each of its distinct tail words."""
         for batch in batches:
-            encode, log_count, class_log, scorer = state()
+            encode, log_count, pairs, sums, scorer = kept(f"{name}-scores", state)
             texts = batch.column(1).to_pylist()
             n_known = np.zeros(len(texts), dtype=np.int64)
             n_tokens = np.zeros(len(texts), dtype=np.int64)
-            base, model = np.zeros(len(texts)), np.zeros(len(texts))
-            tail_row, tail_word, tail_count = [], [], []
-            for codes, where in _slabs(texts, encode):
-                flat, start, lengths = _tokens_of(codes)
-                place, kind, row = unpack(flat)
-                chosen = scorer(histories(row, start), kind)
+            base, model_ = np.zeros(len(texts)), np.zeros(len(texts))
+            tails: dict[int, Counter] = {}
+            for slab in _slabs(texts, encode):
+                place, kind, row = unpack(slab.codes)
+                context, counted = contexts(kind, slab.start), slab.counted
+                chosen = scorer(histories(row, slab.start), kind)
                 known = place >= 0
-                head_log = np.where(known, log_count[np.where(known, place, 0)], 0.0) if len(log_count) else np.zeros(len(flat))
-                inside = np.where(kind < SINGLES, 0.0, head_log - class_log[kind])
-                at = np.cumsum(lengths) - lengths
-                own = slice(where[0], where[-1] + 1)
-                n_tokens[own] = lengths
-                n_known[own] = np.add.reduceat(known.astype(np.int64), at)
-                base[own] = np.add.reduceat(head_log, at)
-                model[own] = np.add.reduceat(chosen / math.log(10) + inside, at)
-                for k, a, n in zip(where, at, lengths):
-                    tail = np.flatnonzero(~known[a : a + n])
-                    if len(tail):
-                        split = tokens(texts[k])
-                        found = Counter([split[i] for i in tail])
-                        tail_row += [k] * len(found)
-                        tail_word += found
-                        tail_count += found.values()
+                head_log = np.zeros(len(place))
+                head_log[known] = log_count[place[known]]
+                # Within its class a single word is sure; others have their share.
+                inside = np.where(kind < SINGLES, 0.0, head_log - sums[context, kind])
+                inner = place >= SINGLES
+                inside[inner] += pairs[context[inner], place[inner]] / math.log(10)
+                for out, value in ((n_tokens, counted), (n_known, known & counted)):
+                    np.add.at(out, slab.text, np.add.reduceat(value.astype(np.int64), slab.first))
+                for out, value in ((base, head_log), (model_, chosen / math.log(10) + inside)):
+                    np.add.at(out, slab.text, np.add.reduceat(np.where(counted, value, 0.0), slab.first))
+                tail = np.flatnonzero(~known & counted)
+                piece = np.searchsorted(slab.first, tail, side="right") - 1
+                ends = np.append(slab.first[1:], len(place))
+                for p, at in zip(piece.tolist(), (tail - ends[piece]).tolist()):
+                    # Counted from the end of the piece, where nothing is taken along.
+                    tails.setdefault(slab.text[p], Counter())[slab.words[p][at]] += 1
+            tail_row = [k for k, found in tails.items() for _ in found]
+            tail_word = [w for found in tails.values() for w in found]
+            tail_count = [c for found in tails.values() for c in found.values()]
             n, m = len(texts), len(tail_row)
             row_of = pa.concat_arrays([batch.column(0), batch.column(0).take(pa.array(tail_row, pa.int64()))])
             # No UTF-8 word starts with this byte; a name of its own keeps a text's row from
@@ -437,7 +630,7 @@ def score(
                     pa.array(np.concatenate([n_tokens, nothing]).astype(np.int64)),
                     pa.array(np.concatenate([n_known, nothing]).astype(np.int64)),
                     pa.array(np.concatenate([base, nothing])),
-                    pa.array(np.concatenate([model, nothing])),
+                    pa.array(np.concatenate([model_, nothing])),
                 ],
                 names=["row", "key", "word", "times", "n_tokens", "n_known", "base", "model"],
             )
@@ -481,9 +674,10 @@ def train_and_score(df: DataFrame, key: str = "doc_id", text: str = "text", head
     """
     learned = train_documents(df, key, text)
     words = saved(count_words(learned), "word-counts")
-    vocabulary = read_vocabulary(words, head)
-    weights = train(learned, vocabulary)
-    return score(df, words, vocabulary, weights, key, text)
+    vocabulary = read_vocabulary(words, min(head, HEAD))
+    name = uuid.uuid4().hex
+    model = train(learned, vocabulary, name=name)
+    return score(df, words, vocabulary, model, key, text, name)
 
 
 def query(documents: DataFrame) -> DataFrame:

@@ -92,7 +92,10 @@ def check_mix(rows, documents, slack):
 def test_mix_on_odd_rows(odd_documents, no_documents):
     documents = odd_documents.collect()
     rows = mixing.query(odd_documents).collect()
-    check_mix(rows, documents, lambda s: 2 * 60_000)
+    largest = Counter()
+    for r in documents:
+        largest[r["source"]] = max(largest[r["source"]], len((r["text"] or "").encode().split()))
+    check_mix(rows, documents, lambda s: 2 * largest[s])
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.query(odd_documents.repartition(5)).collect()), key=repr)
     assert mixing.query(no_documents).count() == 0
 
@@ -105,6 +108,18 @@ def test_mix_comes_near_its_targets(spark):
     check_mix(mixing.query(df).collect(), df.collect(), lambda s: 110)
 
 
+def test_equal_rows_spread_over_blocks_and_share_their_copies(spark):
+    """Most rows are one row: no task gets them all, and the mix still meets its targets."""
+    rows = [(None, "one two three", "a")] * 6000 + [(i, "w " * (i % 9), "b") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    taken = mixing.query(df).collect()
+    assert len(taken) == len(rows)
+    target = {r["target"] for r in taken if r["size"] == 3 and r["doc_id"] is None}.pop()
+    assert abs(sum(r["taken"] for r in taken if r["doc_id"] is None) - target) <= 6
+    mixed = Counter(r["source"] for r in mixing.mix(df).collect())
+    assert abs(mixed["a"] * 3 - target) <= 6
+
+
 def test_blocks_and_levels_balance(spark):
     units = spark.sql("SELECT id AS key, 1 + id % 9 AS size, 'a' AS source FROM range(5000)")
     targets = mixing.source_targets(units.unionByName(spark.sql("SELECT 0 AS key, 40000 AS size, 'b' AS source")))

@@ -125,7 +125,7 @@ def _fly(rows: DataFrame, size_of_block: int, level: int, land: bool, seed: int)
     schema = rows.schema
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = ["key", "size", "chance", *(["digest"] if "digest" in pdf else [])]
+        by = ["key", "size", "number", "chance", *(["digest"] if "digest" in pdf else [])]
         pdf = pdf.sort_values(by, kind="stable", na_position="first")
         number, block = int(pdf["source_number"].iloc[0]), int(pdf["block"].iloc[0])
         draws = np.random.default_rng([seed, level, number, block])
@@ -143,6 +143,10 @@ def mix_units(units: DataFrame, targets: DataFrame, block: int = BLOCK, seed: in
     told = ["digest", "source"] if "digest" in units.columns else []
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     blocks = F.greatest(F.ceil(F.col("rows") / block), F.lit(1)).cast("long")
+    names = [c for c in ("key", "source", "size", "digest") if c in units.columns]
+    equal = saved(units.groupBy(*names).agg(F.count(F.lit(1)).alias("times")), "equal-units")
+    # Equal units are told apart by a number, so that they spread over blocks like any others.
+    units = _unrolled(equal, "times", "number")
     joined = join_counted(units, targets.withColumns({"share": share, "blocks": blocks}), "source", "rows")
     rows = joined.select(
         F.col("key"),
@@ -150,7 +154,8 @@ def mix_units(units: DataFrame, targets: DataFrame, block: int = BLOCK, seed: in
         "source_size",
         "target",
         "source_number",
-        F.pmod(F.xxhash64("key", "size"), F.col("blocks")).alias("block"),
+        "number",
+        F.pmod(F.xxhash64("key", "size", "number"), F.col("blocks")).alias("block"),
         F.floor("share").cast("int").alias("whole"),
         (F.col("share") - F.floor("share")).alias("chance"),
         *told,
@@ -233,13 +238,38 @@ def mix(
     # Always a shuffle: the rows grow with the input, so the plan is the same at every size.
     same = F.col(f"`{key}`").eqNullSafe(F.col("__key")) & F.col(f"`{source}`").eqNullSafe(F.col("__source"))
     rows = df.join(by_row.hint("merge"), same & (digest == F.col("__digest")), "inner")
-    once = rows.where("__rows = 1")
-    order = Window.partitionBy(*identity).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-    often = rows.where("__rows > 1").withColumn("__at", F.row_number().over(order) - 1)
+    once = _repeated(rows.where("__rows = 1"), F.col("__copies")).select(*[F.col(f"`{c}`") for c in df.columns])
+    # Rows that agree in all columns are counted; the kinds share the copies, and the first take the spare.
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    kinds = (
+        rows.where("__rows > 1")
+        .withColumn("__kind", F.xxhash64(row))
+        .groupBy(*identity, "__kind")
+        .agg(F.first(row).alias("__row"), F.count(F.lit(1)).alias("__times"), F.first("__copies").alias("__copies"), F.first("__rows").alias("__rows"))
+    )
+    before = Window.partitionBy(*identity).orderBy("__kind").rowsBetween(Window.unboundedPreceding, -1)
     share = F.floor(F.col("__copies") / F.col("__rows"))
-    spare = (F.col("__at") < F.col("__copies") - share * F.col("__rows")).cast("long")
-    often = often.withColumn("__copies", share + spare).drop("__at")
-    return _repeated(once.unionByName(often), F.col("__copies")).select(*[F.col(f"`{c}`") for c in df.columns])
+    spare = F.col("__copies") - share * F.col("__rows") - F.coalesce(F.sum("__times").over(before), F.lit(0))
+    extra = F.least(F.greatest(spare, F.lit(0)), F.col("__times"))
+    kinds = kinds.withColumn("__taken", share * F.col("__times") + extra).where("__taken > 0")
+    often = _unrolled(kinds, "__taken", "__number").select("__row.*")
+    return once.unionByName(often)
+
+
+#: Copies that one row gives in one task.
+RUN = 1024
+
+
+def _unrolled(df: DataFrame, times: str, number: str) -> DataFrame:
+    """Each row of ``df`` ``times`` (dropped) times, with ``number`` from 0; many copies of one row
+    are made by many tasks."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    few = df.where(F.col(times) <= RUN).withColumn("__run", zero)
+    many = df.where(F.col(times) > RUN)
+    many = many.withColumn("__run", F.explode(F.sequence(zero, F.col(times) - 1, F.lit(RUN).cast("long")))).repartition("__run")
+    last = F.least(F.col(times), F.col("__run") + RUN) - one
+    both = few.unionByName(many).withColumn(number, F.explode(F.sequence(F.col("__run"), last)))
+    return both.drop("__run", times)
 
 
 def _repeated(df: DataFrame, copies: Column) -> DataFrame:

@@ -17,6 +17,7 @@ by round; no link, component or fingerprint goes to the driver.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,12 @@ from weftline.llm.common import append_columns, join_counted, saved, text_bytes
 SHINGLE = 3
 SEED = 42
 DISTANCE = 3
-#: More groups: fewer chance candidates and more grids (6 give 20 grids, 8 give 56).
+#: Fewest groups; more of them mean fewer chance candidates and more grids (6 give 20, 8 give 56).
 GROUPS = 6
+#: Bits of information in the count of a two-bit segment of a random fingerprint, and chance members
+#: of a cell that cost as much as the row that brings a fingerprint there.
+COUNT_BITS = 1.5
+CHANCE = 16
 #: Members of a grid cell that one task compares at once.
 CELL = 4096
 #: Cells up to this size are compared many at a time.
@@ -50,13 +55,21 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     if len(words) < shingle:
         return xxh64_intdigest(b" ".join(words), SEED)
     total = len(words) - shingle + 1
+
+    def slabs():
+        for at in range(0, total, SLAB):
+            slab = words[at : at + SLAB + shingle - 1]
+            yield np.array(
+                [xxh64_intdigest(b" ".join(s), SEED) for s in zip(*[slab[k:] for k in range(shingle)])], dtype="<u8"
+            )
+
+    return majority(slabs(), total)
+
+
+def majority(slabs, total: int) -> int:
+    """The bits set in over half of ``total`` 64-bit hashes, which come in arrays."""
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, total, SLAB):
-        slab = words[at : at + SLAB + shingle - 1]
-        hashes = np.array(
-            [xxh64_intdigest(b" ".join(s), SEED) for s in zip(*[slab[k:] for k in range(shingle)])],
-            dtype="<u8",
-        )
+    for hashes in slabs:
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int32)
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
@@ -98,6 +111,17 @@ def grid_masks(distance: int = DISTANCE, groups: int = GROUPS) -> list[int]:
     return masks
 
 
+def groups_for(prints: int, distance: int = DISTANCE) -> int:
+    """The number of groups that takes the least work for so many fingerprints."""
+
+    def work(groups: int) -> float:
+        edges = [32 * g // groups for g in range(groups + 1)]
+        kept = sorted(b - a for a, b in zip(edges, edges[1:]))[: groups - distance]
+        return comb(groups, distance) * (1 + prints / 2 ** (COUNT_BITS * sum(kept)) / CHANCE)
+
+    return min(range(max(GROUPS, distance + 1), 17), key=work)
+
+
 def near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
     """Whether fingerprints are within ``distance`` bits: the Manhattan bound, then exactly."""
     low = np.uint64(LOW_BITS)
@@ -201,12 +225,13 @@ def _link_batch(links, cells, passed) -> pa.RecordBatch:
 
 
 def near_links(
-    prints: DataFrame, distance: int = DISTANCE, groups: int = GROUPS, cell: int = CELL
+    prints: DataFrame, distance: int = DISTANCE, groups: int | None = None, cell: int = CELL
 ) -> DataFrame:
     """Links (a, b) that join exactly what all links between distinct fingerprints join.
 
-    ``prints`` has each fingerprint once.
+    ``prints`` has each fingerprint once; ``groups`` is chosen by their number if not given.
     """
+    groups = groups or groups_for(prints.count(), distance)
     counts = bit_counts(F.col("fingerprint"))
     cells = F.array(
         *[F.xxhash64(F.lit(k), counts.bitwiseAND(F.lit(m))) for k, m in enumerate(grid_masks(distance, groups))]
@@ -275,7 +300,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, groups: int = GROUPS
+    df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, groups: int | None = None
 ) -> DataFrame:
     """key, fingerprint (long) and component_id for every row of ``df``.
 

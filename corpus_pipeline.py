@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import bpe_automaton, mixing, quality_rules, shingle_sets
-from weftline.llm.common import read_table, saved
+from weftline.llm.common import discard, read_table, saved, scratch_path, scratch_scope
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, 0.8) the document with the smallest doc_id stays."""
+    """Of each group of near duplicates (operator 9 over five-word shingles, a similarity of 0.8 by
+    their sets) the document with the smallest doc_id stays."""
     return shingle_sets.keep_one(docs)
 
 
@@ -44,7 +45,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The stages one after the other; what a stage wrote goes once the next has been written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch_path(spark, f"stage-{name}")
+        with scratch_scope(spark):
+            docs = saved(stage(spark, docs, sf_dir), name, path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs

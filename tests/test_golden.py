@@ -394,7 +394,7 @@ def test_classification(spark):
     files = spark.createDataFrame([("p", "core/src/test/java/A.java"), ("p", "core/src/main/java/B.java"), ("p", "core/src/main/resources/c.txt"), ("p", "core/target/generated-sources/D.java"), ("p", "docs/src/main/java/E.java")], "project string, file string")
     modules = spark.createDataFrame([("p", ""), ("p", "core"), ("p", "docs")], "project string, module string")
     found = dict(rows(classification.classify_files(files, modules), "file", "artifact"))
-    wanted = ["#test-code", "#main-code", "#main-resource", "#main-code-generated", "#doc-module #main-code"]
+    wanted = ["#test-code", "#main-code", "#main-resource", "#main-code #main-code-generated", "#doc-module #main-code"]
     assert [found[f] for f, in rows(files.select("file"), "file")] == wanted
     merged = classification.merge_config({"a": ["x"], "f": False}, {"a": ["y", "x"], "f": True})
     assert merged == {"a": ["x", "y"], "f": True}

@@ -65,6 +65,10 @@ def smell_names(acronyms: dict[str, str]) -> dict[str, str]:
     return out
 
 
+#: Columns that a pivot over tools may make.
+MOST_TOOLS = 1000
+
+
 @dataclass
 class RunCounts:
     """What a run made anew, skipped, deleted and wrote."""
@@ -110,8 +114,8 @@ def remove_stale(spark: SparkSession, path: str, reason: str, counts: RunCounts)
 
 
 def plan_copies(projects: DataFrame, artifacts: DataFrame, source: str, destination: str) -> DataFrame:
-    """project x artifact with both paths. Two small tables."""
-    grid = projects.select("project").crossJoin(F.broadcast(artifacts.select("artifact").limit(1000)))
+    """project x artifact with both paths: every artifact for every project, so the grid is the result."""
+    grid = projects.select("project").join(artifacts.select("artifact"))
     path = lambda root: F.concat(F.lit(root.rstrip("/") + "/"), "artifact", F.lit("/"), "project", F.lit(".csv"))
     return grid.withColumns({"source": path(source), "destination": path(destination)})
 
@@ -136,13 +140,18 @@ def run_copies(spark: SparkSession, plan: Iterable, replace: bool = False, dry_r
 
 
 def project_index(projects: DataFrame, relations: dict[str, DataFrame], histories: DataFrame | None = None) -> DataFrame:
-    """Projects with row counts of each relation and of each tool's histories (0 where none)."""
+    """Projects with row counts of each relation and of each tool's histories (0 where none).
+
+    Tools become columns, so more than MOST_TOOLS of them are an error.
+    """
     out = projects
     for name, rows in relations.items():
         counts = rows.groupBy("project").agg(F.count(F.lit(1)).alias(name))
         out = out.join(counts, "project", "left").na.fill(0, [name])
     if histories is not None:
-        tools = sorted(r[0] for r in histories.select("tool").distinct().limit(100).collect())
+        tools = sorted(r[0] for r in histories.select("tool").distinct().limit(MOST_TOOLS + 1).collect())
+        if len(tools) > MOST_TOOLS:
+            raise ValueError(f"more than {MOST_TOOLS} tools")
         wide = histories.groupBy("project").pivot("tool", tools).agg(F.count(F.lit(1)))
         out = out.join(wide, "project", "left").na.fill(0, tools)
     return out

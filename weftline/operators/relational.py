@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import cut_lineage
+
 ORD = "_ord"
 
 
@@ -119,10 +121,24 @@ def append_after_group(df: DataFrame, more: DataFrame, keys: Sequence[str], grou
     ends = df.groupBy(group).agg(F.max(order).alias("__end"))
     placed = fresh.join(ends, group, "left").withColumn("__source", F.lit(1))
     own = df.withColumn("__end", F.col(order)).withColumn("__source", F.lit(0))
-    both = union_all([own, placed])
-    # Places within a group of few rows; the groups' starts come from their sizes.
-    place = Window.orderBy(F.col("__end").asc_nulls_last(), "__source", order)
-    return both.withColumn(order, F.row_number().over(place).cast("long") - 1).drop("__end", "__source")
+    return renumbered(union_all([own, placed]), [F.col("__end").asc_nulls_last(), F.col("__source").asc(), F.col(order).asc()], order).drop(
+        "__end", "__source"
+    )
+
+
+def renumbered(df: DataFrame, sort: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with ``name``: places from 0 in the order of ``sort``, by ranges rather than in one task.
+
+    What each partition holds is counted, one row a partition, and the counts before it are added.
+    """
+    placed = cut_lineage(
+        df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("__row", F.monotonically_increasing_id())
+    ).withColumn("__part", F.shiftright("__row", 33))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("__part").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    starts = starts.select("__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    joined = placed.join(F.broadcast(starts), "__part")
+    return joined.withColumn(name, F.col("__base") + F.col("__row") - F.col("__first")).drop("__row", "__part", "__first", "__base")
 
 
 def signature_urls(df: DataFrame, methods: DataFrame, signature: str, url: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import statistics, tags, text
 from weftline.operators.filters import CHANGE_TYPES
+from weftline.session import cut_lineage
 
 LEAST_ROWS = 30
 MARKERS = {"N": "negligible", "S": "small", "M": "medium", "L": "large"}
@@ -242,11 +243,18 @@ def value_at_marker(steps: DataFrame, markers: DataFrame, x: str, y: str, marker
     """y of the last step at or before each marker; the first y where there is none (as-of, backward)."""
     points = steps.select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.lit(None).cast("double").alias("__m"))
     asked = markers.select(F.col(marker).alias("__x"), F.lit(None).cast("double").alias("__y"), F.col(marker).alias("__m"))
-    back = Window.orderBy("__x", F.col("__m").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    # Ranges of x are looked through side by side; a range takes over the last y of those before it.
+    spread = points.unionByName(asked).withColumn("__asks", F.col("__m").isNotNull()).repartitionByRange("__x", "__asks")
+    rows = cut_lineage(spread.withColumn("__part", F.spark_partition_id()))
+    back = Window.partitionBy("__part").orderBy("__x", "__asks").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each range.
+    ends = rows.groupBy("__part").agg(F.max_by("__y", F.when(~F.col("__asks"), F.col("__x"))).alias("__end"))
+    ends = ends.select("__part", F.last("__end", True).over(before).alias("__before"))
     first = steps.agg(F.min_by(y, x).alias("__first"))
-    seen = points.unionByName(asked).withColumn("__last", F.last("__y", True).over(back)).where("__m IS NOT NULL")
+    seen = rows.withColumn("__last", F.last("__y", True).over(back)).where("__asks").join(F.broadcast(ends), "__part")
     return seen.crossJoin(F.broadcast(first)).select(  # one row
-        F.col("__m").alias(marker), F.coalesce("__last", "__first").alias(y)
+        F.col("__m").alias(marker), F.coalesce("__last", "__before", "__first").alias(y)
     )
 
 

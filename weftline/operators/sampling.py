@@ -8,6 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import tags
+from weftline.operators.relational import ORD, keep_first, union_all
+
 # Z of the supported confidence levels.
 Z = {0.90: 1.645, 0.95: 1.96, 0.99: 2.576}
 
@@ -61,7 +64,10 @@ def top_up(targets: dict[str, int], existing: dict[str, int], capacity: dict[str
 
 def seeded_sample(df: DataFrame, keys: Sequence[str], n: Column | int, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """n rows of each group, by the order of a seeded hash of the key: the same for any partitioning."""
-    order = Window.partitionBy(*by).orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)
+    place = [F.xxhash64(*keys, F.lit(seed)), *[F.col(k) for k in keys]]
+    if not by and isinstance(n, int):  # a top-n of all rows: each task keeps its own n first
+        return df.orderBy(*place).limit(n)
+    order = Window.partitionBy(*by).orderBy(*place)
     ranked = df.withColumn("__rank", F.row_number().over(order))
     return ranked.where(F.col("__rank") <= n).drop("__rank")
 
@@ -105,6 +111,33 @@ def rare_histories(histories: DataFrame, least: int, commits: str = "commits") -
     return histories.where(enough), histories.where(~enough)
 
 
+def test_pool(edges: DataFrame, methods: DataFrame, exclude: str | None = None) -> DataFrame:
+    """Test cases that call anything, in the order of their first call, without those whose artifact
+    matches ``exclude``: from_url, artifact, ordinal. methods: url, artifact."""
+    first = edges.groupBy("from_url").agg(F.min(ORD).alias(ORD))
+    known = methods.select(F.col("url").alias("from_url"), "artifact").dropDuplicates(["from_url"])
+    rows = first.join(known.where(tags.has_tag(F.col("artifact"), "test-case-method")), "from_url")
+    return rows if not exclude else rows.where(~F.rlike("artifact", F.lit(exclude)))
+
+
+def review_sample(population: DataFrame, keys: Sequence[str], seed: int, confidence: float = 0.95, margin: float = 0.05) -> DataFrame:
+    """A sample for review over all projects: its size by Cochran, shared out in proportion, drawn by project.
+
+    One row a project goes to the driver.
+    """
+    sizes = {r["project"]: r["n"] for r in population.groupBy("project").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shares = allocate(sizes, sample_size(sum(sizes.values()), confidence, margin))
+    wanted = population.sparkSession.createDataFrame(list(shares.items()) or [("", 0)], "project string, __wanted long")
+    rows = population.join(F.broadcast(wanted), "project")
+    return seeded_sample(rows, keys, F.col("__wanted"), seed, ["project"]).drop("__wanted")
+
+
+def barred(existing: DataFrame, rows: DataFrame, key: str = "url") -> DataFrame:
+    """The list of barred methods with ``rows`` added; the last row of each key counts."""
+    both = union_all([existing.withColumn("__source", F.lit(0)), rows.withColumn("__source", F.lit(1))])
+    return keep_first(both, [key], [F.desc("__source"), F.desc(ORD)]).drop("__source")
+
+
 def missing_methods(required: DataFrame, existing: DataFrame, barred: DataFrame, seed: int, key: str = "url") -> DataFrame:
     """Per project a seeded pick of required - existing methods, without known or barred ones.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,13 +72,16 @@ def inverse_frequency(callers: Column, tests: Column) -> Column:
     return F.ln(tests / callers)
 
 
-def candidate_pairs(candidates: DataFrame, test: str = "from_url", function: str = "to_url") -> DataFrame:
-    """One row a (test, function): least depth, whether it stands before an assertion, last-seen names."""
+def candidate_pairs(
+    candidates: DataFrame, test: str = "from_url", function: str = "to_url", by: Sequence[str] = ()
+) -> DataFrame:
+    """One row a (test, function) of a project: least depth, whether it stands before an assertion,
+    last-seen names."""
     has = set(candidates.columns)
     depth = call_depth(F.col("to_call_depth")) if "to_call_depth" in has else F.lit(1)
     before = F.coalesce(text.number(F.col("to_lcba")) > 0, F.lit(False)) if "to_lcba" in has else F.lit(False)
     lower = lambda c: F.struct(F.col(ORD).alias("o"), F.lower(F.coalesce(F.col(c), F.lit(""))).alias("n"))
-    return candidates.groupBy(test, function).agg(
+    return candidates.groupBy(*by, test, function).agg(
         F.min(depth).alias("depth"),
         F.max(before).alias("before_assert"),
         F.max(lower("from_name")).alias("__from"),
@@ -90,25 +94,17 @@ def pair_scores(
 ) -> DataFrame:
     """All technique scores of every (test, function) pair, unrounded.
 
-    ``by`` separates projects: tests are counted within. What concerns a function comes from an
+    ``by`` separates projects (null is one, too): tests are counted within. What concerns a function comes from an
     aggregation that is joined back, so a function that every test calls is not gathered; what
     concerns a test, which calls a bounded number of functions, comes from windows over it.
     """
-    source = candidates if not by else candidates.withColumns(
-        {k: F.concat_ws("\x1f", *by, k) for k in (test, function)}
-    )
-    pairs = candidate_pairs(source, test, function)
+    pairs = candidate_pairs(candidates, test, function, by)
     last = lambda c: F.max(c)["n"]
-    a_function = pairs.groupBy(function).agg(F.count(F.lit(1)).alias("__callers"), last("__to").alias("to_name"))
-    tests = pairs.select(test).distinct()
-    if by:
-        project = lambda c: F.substring_index(c, "\x1f", len(by))
-        sizes = tests.groupBy(project(F.col(test)).alias("__project")).agg(F.count(F.lit(1)).alias("__tests"))
-        pairs = pairs.withColumn("__project", project(F.col(test))).join(sizes, "__project").drop("__project")
-    else:
-        pairs = pairs.crossJoin(F.broadcast(tests.agg(F.count(F.lit(1)).alias("__tests"))))  # one row
-    own = Window.partitionBy(test)
-    rows = pairs.join(a_function, function).withColumns(
+    a_function = pairs.groupBy(*by, function).agg(F.count(F.lit(1)).alias("__callers"), last("__to").alias("to_name"))
+    # One row for each project.
+    tests = pairs.select(*by, test).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("__tests"))
+    own = Window.partitionBy(*by, test)
+    rows = null_safe(null_safe(pairs, tests, by), a_function, [*by, function]).withColumns(
         {"__functions": F.count(F.lit(1)).over(own), "from_name": F.max("__from").over(own)["n"]}
     )
     rows = rows.withColumn("__common", common_length(F.col("to_name"), F.col("from_name")))
@@ -124,33 +120,43 @@ def pair_scores(
         "tech_tarantula": suspiciousness(F.col("__callers"), F.col("__tests")) * fall,
         "tech_tfidf": F.ln(1 + 1 / F.col("__functions")) * inverse_frequency(F.col("__callers"), F.col("__tests")) * fall,
     }
-    scored = rows.select(test, function, "depth", *[v.alias(k) for k, v in base.items()])
-    of_test = Window.partitionBy(test)
+    scored = rows.select(*by, test, function, "depth", *[v.alias(k) for k, v in base.items()])
+    of_test = Window.partitionBy(*by, test)
     scale = lambda c: F.when(F.max(c).over(of_test) > 0, F.col(c) / F.max(c).over(of_test)).otherwise(F.col(c))
     scored = scored.withColumns({c: scale(c) for c in SCALED})
     mean = sum((F.col(c) for c in BASE[1:]), F.col(BASE[0])) / len(BASE)
     scored = scored.withColumn(COMBINED, mean)
-    scored = scored.withColumn(COMBINED, scale(COMBINED))
-    if by:
-        scored = scored.withColumns({k: F.substring_index(k, "\x1f", -1) for k in (test, function)})
-    return scored
+    return scored.withColumn(COMBINED, scale(COMBINED))
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys``, of which nulls are equal."""
+    other = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"__{k}"]) for k in keys], F.lit(True))
+    return left.join(other, same).drop(*[f"__{k}" for k in keys])
 
 
-def last_call(candidates: DataFrame, test: str = "from_url") -> DataFrame:
+def last_call(candidates: DataFrame, test: str = "from_url", by: Sequence[str] = ()) -> DataFrame:
     """``candidates`` with tech_lc: 1 on the last call of each test, by ordinal."""
-    last = candidates.groupBy(test).agg(F.max(ORD).alias("__last"))
-    marked = candidates.join(last, test).withColumn("tech_lc", (F.col(ORD) == F.col("__last")).cast("int"))
-    return marked.drop("__last")
+    last = F.max(ORD).over(Window.partitionBy(*by, test))
+    return candidates.withColumn("tech_lc", F.col(ORD).eqNullSafe(last).cast("int"))
 
 
-def score_candidates(candidates: DataFrame, columns: Sequence[str] = TECHNIQUES, discount: float = DISCOUNT) -> DataFrame:
-    """Every candidate row with its pair's scores, rounded to two digits; unselected techniques are null."""
-    scored = pair_scores(candidates, discount=discount)
+def score_candidates(
+    candidates: DataFrame, columns: Sequence[str] = TECHNIQUES, discount: float = DISCOUNT, by: Sequence[str] | None = None
+) -> DataFrame:
+    """Every candidate row with its pair's scores, rounded to two digits; unselected techniques are null.
+
+    Projects (a column project, where there is one, or ``by``) are scored each by itself.
+    """
+    by = [c for c in ("project",) if c in candidates.columns] if by is None else list(by)
+    scored = pair_scores(candidates, discount=discount, by=by)
     picked = [
         text.round_even(F.col(c)).alias(c) if c in columns else F.lit(None).cast("double").alias(c) for c in TECHNIQUES
     ]
     rows = candidates.drop(*[c for c in TECHNIQUES if c in candidates.columns])
-    return last_call(rows.join(scored.select("from_url", "to_url", *picked), ["from_url", "to_url"]))
+    keys = [*by, "from_url", "to_url"]
+    return last_call(null_safe(rows, scored.select(*keys, *picked), keys), by=by)
 
 
 def model_rank(invocations: DataFrame, test: str = "from_url", name: str = "name", score: str = "score") -> DataFrame:

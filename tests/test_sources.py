@@ -7,7 +7,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators.ingest import FAILED
+from weftline.operators.ingest import FAILED, SCANNED
 from weftline.sources import config, csv, history, store
 from weftline.streaming import ingest
 
@@ -115,11 +115,11 @@ def test_stores(spark):
 def test_stream_is_idempotent(spark, tmp_path):
     source, table, errors, checkpoint = (str(tmp_path / n) for n in ("in", "table", "errors", "state"))
     schema = "project string, file string, name string, _flag string, _error string"
-    spark.createDataFrame([("p", "a", "m", None, None), ("p", "b", None, FAILED, "boom")], schema).write.parquet(source)
+    spark.createDataFrame([("p", "a", "m", None, None), ("p", "a", None, SCANNED, None), ("p", "b", None, FAILED, "boom"), ("p", "d", "early", None, None)], schema).write.parquet(source)
     ingest.ingest(spark, source, schema, table, errors, checkpoint)
-    spark.createDataFrame([("p", "a", "again", None, None), ("p", "c", "n", None, None)], schema).write.mode("append").parquet(source)
+    spark.createDataFrame([("p", "a", "again", None, None), ("p", "c", "n", None, None), ("p", "d", "late", None, None)], schema).write.mode("append").parquet(source)
     ingest.ingest(spark, source, schema, table, errors, checkpoint)
-    assert sorted(r["name"] for r in spark.read.parquet(table).collect()) == ["m", "n"]
+    assert sorted(r["name"] for r in spark.read.parquet(table).collect()) == ["early", "late", "m", "n"]
     assert [r["_error"] for r in spark.read.parquet(errors).collect()] == ["boom"]
 
 

@@ -37,6 +37,11 @@ def may_publish(expected: DataFrame, cache: DataFrame, file: str = "file") -> bo
     return expected.select(file).join(cache.select(file), file, "left_anti").isEmpty()
 
 
+def flush_due(pending: int, waited: float, most: int = 10_000, longest: float | None = 900.0) -> bool:
+    """Whether what has been gathered should be written: rows enough, or waiting long enough."""
+    return pending > 0 and (pending >= most or (longest is not None and waited >= longest))
+
+
 def data_rows(cache: DataFrame) -> DataFrame:
     return cache.where("_flag IS NULL").drop("_flag", "_error")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text
 from weftline.operators.filters import select_named, test_to_production
-from weftline.operators.relational import attach_both, keep_first
+from weftline.operators.relational import ORD, attach_both, keep_first
 from weftline.operators.scoring import BASE, COMBINED, TECHNIQUES
 
 # Atomic strategies in order of priority, and the scores from which they select.
@@ -110,6 +110,16 @@ def select_links(links: DataFrame, strategy: str, exclusive: bool = False) -> Da
     return keep_first(kept, ["from_url", "to_url"]).drop("__targets")
 
 
+def tech_files(catalog: DataFrame, files: DataFrame, projects: Sequence[str] | None = None) -> DataFrame:
+    """The scored files that exist for the selected projects, in catalog order.
+
+    catalog: project, ordinal; files: path (named by project).
+    """
+    stem = F.url_decode(F.regexp_replace(F.substring_index("path", "/", -1), r"\.csv$", ""))
+    rows = catalog.select("project", ORD).join(files.withColumn("project", stem), "project")
+    return (rows if projects is None else rows.where(F.col("project").isin(*projects))).orderBy(ORD)
+
+
 def link_project(scored: DataFrame, methods: DataFrame, strategy: str) -> DataFrame:
     """Artifacts attached to both ends, test case to main code only, then the strategy's links.
 

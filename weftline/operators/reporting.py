@@ -92,6 +92,11 @@ def effect_order(table: DataFrame, pair: tuple[str, str] = ("HTR", "NTR")) -> Da
     return table.where(hit).groupBy("smell").agg(F.min("difference_pp").alias("difference_pp")).orderBy("difference_pp", "smell")
 
 
+def sort_any_case(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows by text keys whatever their case; names that differ in case only by code point."""
+    return rows.orderBy(*[F.lower(k) for k in keys], *keys)
+
+
 def projects_then_total(rows: DataFrame, total: str = "all") -> DataFrame:
     return rows.orderBy((F.col("project") == total).cast("int"), "project")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import dates, tags, text
 from weftline.operators.evaluation import PAIR
-from weftline.operators.relational import ORD, carry_values, union_all
+from weftline.operators.relational import ORD, append_after_group, carry_values, union_all
 
 LAGGED_DAYS = 7
 
@@ -88,6 +88,23 @@ def delete_pair(truth: DataFrame, from_url: str, to_url: str) -> DataFrame:
     return truth.where(~(F.col("from_url").eqNullSafe(from_url) & F.col("to_url").eqNullSafe(to_url)))
 
 
+def insert_candidate(truth: DataFrame, methods: DataFrame, from_url: str, to_url: str) -> DataFrame:
+    """A new row for a pair, after the test's last row: the test's own columns, the method's as to_ columns,
+    depth 1, not a candidate. A pair that is there, or an unknown test or method, is an error."""
+    own = truth.where(F.col("from_url") == from_url)
+    if not own.where(F.col("to_url") == to_url).isEmpty():
+        raise ValueError("the pair is there already")
+    method = methods.where(F.col("url") == to_url).orderBy(ORD).limit(1)
+    method = method.select([F.col(c).alias(f"to_{c}") for c in methods.columns if c != ORD and f"to_{c}" in truth.columns])
+    test = own.orderBy(F.desc(ORD)).limit(1).select(*[c for c in truth.columns if c.startswith("from_") or c in ("project", ORD)])
+    row = test.crossJoin(method).withColumns({"candidate": F.lit("0"), "to_call_depth": F.lit("1")})  # one row each
+    if row.isEmpty():
+        raise ValueError("no such test or method")
+    kinds = dict(truth.dtypes)
+    row = row.select(*[F.col(c).cast(kinds[c]).alias(c) for c in row.columns if c in kinds])
+    return append_after_group(truth, row, PAIR, "from_url")
+
+
 def rename_tag(truth: DataFrame, old: str, new: str, column: str = "tags") -> DataFrame:
     """Replaces a token in every tag list; nothing else changes."""
     tokens = F.split(text.blank(F.col(column)), " ")

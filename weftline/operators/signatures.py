@@ -79,6 +79,23 @@ def invocations_of(tests: DataFrame) -> DataFrame:
     )
 
 
+# Fields of a line of author results.
+AUTHOR_RESULT = "test_id string, invocations array<string>, recommended array<string>, truth array<string>"
+
+
+def read_author_results(spark, path: str) -> DataFrame:
+    """Author results from JSON lines, one row a test's invocation."""
+    return invocations_of(spark.read.schema(AUTHOR_RESULT).json(path))
+
+
+def with_bodies(rows: DataFrame, code: str = "code", test: str = "from_url") -> DataFrame:
+    """``rows`` as they are; an error, with how many, if tests have a blank body."""
+    blank = rows.where(F.trim(text.blank(F.col(code))) == "").select(test).distinct().count()
+    if blank:
+        raise ValueError(f"{blank} tests have no body")
+    return rows
+
+
 def label_lookup(truth: DataFrame) -> DataFrame:
     """Per test the positive URLs and the distinct signatures in order."""
     positive = F.when(text.number(F.col("label").cast("string")) == 1, F.col("to_url"))

@@ -407,7 +407,9 @@ def seeded_sample(t):
     return sampling.seeded_sample(t.customer, ["c_custkey"], 5, 7, ["c_nationkey"]).select("c_nationkey", "c_custkey")
 
 
-@query("classified_files", None)
+@query("classified_files", """SELECT 'p' AS project, concat(CASE WHEN p_partkey % 2 = 0 THEN 'core-test/' ELSE 'core/' END, CASE WHEN p_partkey % 3 = 0 THEN 'src/test/java/' ELSE 'src/main/java/' END, p_partkey, '.java') AS file,
+ CASE WHEN p_partkey % 2 = 0 THEN 'core-test' ELSE 'core' END AS module, CASE WHEN p_partkey % 3 = 0 THEN 'test-code' ELSE 'main-code' END AS kind,
+ concat(CASE WHEN p_partkey % 2 = 0 THEN '#test-module ' ELSE '' END, CASE WHEN p_partkey % 3 = 0 THEN '#test-code' ELSE '#main-code' END) AS artifact FROM {part}""")
 def classified_files(t):
     files = t.part.select(F.lit("p").alias("project"), F.concat(F.when(F.col("p_partkey") % 2 == 0, "core-test/").otherwise("core/"), F.when(F.col("p_partkey") % 3 == 0, "src/test/java/").otherwise("src/main/java/"), F.col("p_partkey").cast("string"), F.lit(".java")).alias("file"))
     modules = t.spark.createDataFrame([("p", ""), ("p", "core"), ("p", "core-test")], "project string, module string")

@@ -10,13 +10,13 @@ smoothed place for all unseen words, so probabilities sum to 1 over the vocabula
 
 Training: exact token counts first; then one pass over all training texts sums up what the
 gradient needs: how often each feature meets each class, how often each history occurs, and how
-often each frequent word follows each context.  A history is a pair of weight rows, so there are at
-most HISTORIES of them, however large the corpus; the tables of words and of pairs grow with it.
+often each of the PAIR_WORDS most frequent words follows each context.  A history is a pair of weight rows, so there are at
+most HISTORIES of them, however large the corpus; the table of words grows with it.
 Weights start from the counts and take full-batch gradient steps.  A step of the classes' weights is
 distributed over the histories; the pairs' weights are trained class by class.  Every task adds up
 its part in fixed point and parts are summed by weight row, so the result does not depend on how
 documents are dealt.  What is broadcast has a fixed size: the classes' weights, and the weights of
-pairs of the HEAD most frequent words.
+pairs.
 
 Scoring: a task handles the HEAD most frequent words with broadcast tables.  The counts of all other
 words come from a join on the word: each document sends its tail words once.  Both base and model
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Memo, saved, text_bytes
+from weftline.llm.common import Memo, discard, saved, scratch_path, text_bytes
 
 SMOOTH = 0.1
 #: Words whose counts are broadcast; the others are joined.
@@ -64,6 +64,8 @@ CUT = 1 << 14
 BOUND = 20.0
 #: Contexts of the second factor: the class of the word before, or none.
 CONTEXTS = CLASSES + 1
+#: Words, by frequency, whose pairs with contexts have weights; rarer ones are met too seldom to tell.
+PAIR_WORDS = 1 << 14
 #: Steps, smoothing and shrinking of the weights of pairs.
 PAIR_STEPS = 8
 PAIR_PRIOR = 2.0
@@ -397,7 +399,7 @@ def _added(sums: tuple[np.ndarray, np.ndarray], values: np.ndarray) -> tuple[np.
 
 def gather_statistics(train: DataFrame, vocabulary: Vocabulary, name: str) -> tuple[np.ndarray, DataFrame, DataFrame]:
     """Over all training tokens: counts of (weight row, class) and, below them, of (context, class);
-    a table (history, times); a table (pair, times) of contexts and places in the head."""
+    a table (history, times); a table (pair, times) of contexts and frequent words."""
     shared = train.sparkSession.sparkContext.broadcast(vocabulary.head)
     n_rows = N_ROWS + CONTEXTS
     nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -411,8 +413,8 @@ def gather_statistics(train: DataFrame, vocabulary: Vocabulary, name: str) -> tu
             for column, (values, times) in sums.items():
                 for a in range(0, len(values), SLAB):
                     some, often = values[a : a + SLAB], times[a : a + SLAB]
-                    empty = pa.nulls(len(some), pa.int64())
-                    keys = {"history": empty, "pair": empty, column: pa.array(some)}
+                    empty = pa.nulls(len(some), pa.int32())
+                    keys = {"history": empty, "pair": empty, column: pa.array(some, pa.int32())}
                     yield pa.RecordBatch.from_arrays(
                         [pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary()), *keys.values(), pa.array(often)],
                         names=["at", "part", "history", "pair", "times"],
@@ -430,26 +432,28 @@ def gather_statistics(train: DataFrame, vocabulary: Vocabulary, name: str) -> tu
                 seen[(N_ROWS - 1) * CLASSES : N_ROWS * CLASSES] += np.bincount(kind, minlength=CLASSES)
                 seen += np.bincount((N_ROWS + context) * CLASSES + kind, minlength=len(seen))
                 sums["history"] = _added(sums["history"], history)
-                inner = place >= SINGLES
-                sums["pair"] = _added(sums["pair"], context[inner] * HEAD + place[inner])
+                inner = (place >= SINGLES) & (place < PAIR_WORDS)
+                sums["pair"] = _added(sums["pair"], context[inner] * PAIR_WORDS + place[inner])
                 if max(len(v) for v, _ in sums.values()) > 16 * SLAB:
                     yield from sent()
                     sums = {"history": nothing, "pair": nothing}
         starts, parts = _parts(seen.reshape(n_rows, CLASSES))
-        empty = pa.nulls(len(starts), pa.int64())
+        empty = pa.nulls(len(starts), pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(starts, pa.int32()), pa.array(parts, pa.binary()), empty, empty, empty],
+            [pa.array(starts, pa.int32()), pa.array(parts, pa.binary()), empty, empty, pa.nulls(len(starts), pa.int64())],
             names=["at", "part", "history", "pair", "times"],
         )
         yield from sent()
 
-    both = saved(train.mapInArrow(run, "at int, part binary, history long, pair long, times long"), "lm-statistics")
+    path = scratch_path(train.sparkSession, "lm-statistics")
+    both = saved(train.mapInArrow(run, "at int, part binary, history int, pair int, times long"), "lm-statistics", path)
     shared.unpersist()
     observed = _add_parts(both.where("at IS NOT NULL").select("at", "part"), n_rows)
     tables = []
     for column in ("history", "pair"):
         found = both.where(f"{column} IS NOT NULL").groupBy(column).agg(F.sum("times").alias("times"))
         tables.append(saved(found, column))
+    discard(train.sparkSession, path)
     return observed, *tables
 
 
@@ -525,34 +529,34 @@ def train_pairs(found: DataFrame, vocabulary: Vocabulary, met: np.ndarray) -> np
     def of_class(batches):
         """Adds the class of each pair."""
         for batch in batches:
-            place = batch.column(0).to_numpy() % HEAD
+            place = batch.column(0).to_numpy() % PAIR_WORDS
             yield pa.RecordBatch.from_arrays([pa.array(shared.value[0][place]), *batch.columns], names=["kind", "pair", "times"])
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         _, counts, met_, whole_ = shared.value
         k = int(pdf["kind"].iloc[0])
         pair = pdf["pair"].to_numpy()
-        places, column = np.unique(pair % HEAD, return_inverse=True)
+        places, column = np.unique(pair % PAIR_WORDS, return_inverse=True)
         observed = np.zeros((CONTEXTS, len(places)))
-        observed[pair // HEAD, column] = pdf["times"]
+        observed[pair // PAIR_WORDS, column] = pdf["times"]
         weights = pair_weights(observed, counts[places], met_[:, k].astype(float), whole_[k])
-        values = weights[pair // HEAD, column].astype("<f4")
+        values = weights[pair // PAIR_WORDS, column].astype("<f4")
         return pd.DataFrame({"pair": [pair.astype("<i8").tobytes()], "weight": [values.tobytes()]})
 
-    out = np.zeros((CONTEXTS, max(len(head), 1)), dtype=np.float32)
-    learned = found.mapInArrow(of_class, "kind int, pair long, times long")
-    # At most CONTEXTS x HEAD pairs.
+    out = np.zeros((CONTEXTS, min(max(len(head), 1), PAIR_WORDS)), dtype=np.float32)
+    learned = found.mapInArrow(of_class, "kind int, pair int, times long")
+    # At most CONTEXTS x PAIR_WORDS pairs.
     for row in learned.groupBy("kind").applyInPandas(learn, "pair binary, weight binary").toLocalIterator():
         pair = np.frombuffer(row["pair"], "<i8")
-        out[pair // HEAD, pair % HEAD] = np.frombuffer(row["weight"], "<f4")
+        out[pair // PAIR_WORDS, pair % PAIR_WORDS] = np.frombuffer(row["weight"], "<f4")
     shared.unpersist()
     return out
 
 
 def class_sums(vocabulary: Vocabulary, pairs: np.ndarray) -> np.ndarray:
     """log10 of what the words of each class sum to in each context."""
-    kind = unpack(Encoder(vocabulary.head).codes(list(vocabulary.head)))[1]
-    mass = vocabulary.counts + SMOOTH
+    kind = unpack(Encoder(vocabulary.head).codes(list(vocabulary.head)[:PAIR_WORDS]))[1]
+    mass = vocabulary.counts[:PAIR_WORDS] + SMOOTH
     sums = np.tile(10.0**vocabulary.class_log, (CONTEXTS, 1))
     for context in range(CONTEXTS if len(kind) else 0):
         sums[context] += np.bincount(kind, mass * np.expm1(pairs[context].astype(np.float64)), minlength=CLASSES)
@@ -600,7 +604,7 @@ def score(
                 head_log[known] = log_count[place[known]]
                 # Within its class a single word is sure; others have their share.
                 inside = np.where(kind < SINGLES, 0.0, head_log - sums[context, kind])
-                inner = place >= SINGLES
+                inner = (place >= SINGLES) & (place < PAIR_WORDS)
                 inside[inner] += pairs[context[inner], place[inner]] / math.log(10)
                 for out, value in ((n_tokens, counted), (n_known, known & counted)):
                     np.add.at(out, slab.text, np.add.reduceat(value.astype(np.int64), slab.first))

@@ -120,8 +120,7 @@ class Vocabulary:
 class Model:
     """What training learns: weights of the classes (feature rows and a last row of biases, by
     classes), weights of pairs (contexts by head places), log10 of what the words of a class sum to
-    (contexts by classes), and the mean negative log10 probability of a class before each step and
-    after the last."""
+    (contexts by classes), and the mean negative log10 probability of a class before each step."""
 
     weights: np.ndarray
     pairs: np.ndarray
@@ -466,7 +465,7 @@ def train_classes(spark, seen: np.ndarray, found: DataFrame, steps: int, rate: f
     weights[-1] = np.log(usual)
     losses = []
 
-    for step in range(steps + 1):
+    for _ in range(steps):
         current = spark.sparkContext.broadcast(np.clip(weights, -BOUND, BOUND).astype(np.float32))
 
         def expected(batches, current=current):
@@ -493,9 +492,8 @@ def train_classes(spark, seen: np.ndarray, found: DataFrame, steps: int, rate: f
         norms, model = model[-1, 0], model[:-1]
         losses.append(float((norms - (seen * current.value).sum()) / max(seen[-1].sum(), 1) / math.log(10)))
         current.unpersist()
-        if step < steps:
-            # The gradient, scaled row by row by how often the feature is used.
-            weights += rate * (seen - model - weights * 0.01) / (model + PRIOR)
+        # The gradient, scaled row by row by how often the feature is used.
+        weights += rate * (seen - model - weights * 0.01) / (model + PRIOR)
     return np.clip(weights, -BOUND, BOUND).astype(np.float32), losses
 
 

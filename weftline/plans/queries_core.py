@@ -161,11 +161,11 @@ def stable_shards(t):
 
 @query(
     "commit_dates",
-    """SELECT o_orderkey AS id, 'dmy' AS date_order, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 75 MINUTE AS parsed FROM {orders} WHERE day(o_orderdate) > 12""",
+    """SELECT o_orderkey AS id, 'dmy' AS date_order, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 75 MINUTE AS parsed FROM {orders}""",
 )
 def commit_dates(t):
     value = F.date_format("o_orderdate", "dd/MM/yyyy, '01:15 AM'")
-    return t.orders.where(F.dayofmonth("o_orderdate") > 12).select(
+    return t.orders.select(
         F.col("o_orderkey").alias("id"), dates.date_order(value).alias("date_order"), dates.parse_commit_date(value).cast("timestamp_ntz").alias("parsed")
     )
 
@@ -216,11 +216,11 @@ def lookup_last(t):
 @query(
     "compare_full_outer",
     """SELECT coalesce(a.k, b.k) AS k, a.v AS v_left, b.v AS v_right, CASE WHEN b.k IS NULL THEN 'left_only' WHEN a.k IS NULL THEN 'right_only' ELSE 'both' END AS side
- FROM (SELECT doc_id AS k, quality AS v FROM {labels} WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT doc_id AS k, toxic AS v FROM {labels} WHERE doc_id % 4 <> 0) b ON a.k = b.k""",
+ FROM (SELECT doc_id AS k, quality AS v FROM {labels} WHERE toxic = 0) a FULL JOIN (SELECT doc_id AS k, toxic AS v FROM {labels} WHERE quality = 0 OR toxic = 1) b ON a.k = b.k""",
 )
 def compare_full_outer(t):
-    a = t.labels.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("k"), F.col("quality").alias("v"))
-    b = t.labels.where("doc_id % 4 <> 0").select(F.col("doc_id").alias("k"), F.col("toxic").alias("v"))
+    a = t.labels.where("toxic = 0").select(F.col("doc_id").alias("k"), F.col("quality").alias("v"))
+    b = t.labels.where("quality = 0 OR toxic = 1").select(F.col("doc_id").alias("k"), F.col("toxic").alias("v"))
     return relational.compare_full(a, b, ["k"], "v")
 
 
@@ -297,8 +297,9 @@ def reverse_edges(t):
     return graph.reverse_edges(rows, ["url", "name"], ["to_lcba"])
 
 
-CHAIN = "SELECT 'p' AS project, concat('n', CAST(o_custkey % 300 AS STRING)) AS from_url, concat('n', CAST(o_orderkey % 300 AS STRING)) AS to_url, CAST(o_orderkey AS BIGINT) AS _ord FROM {orders} WHERE o_orderkey % 31 = 0 AND o_custkey % 300 < o_orderkey % 300"
-NODES = "SELECT concat('n', CAST(n_nationkey * 12 + r_regionkey AS STRING)) AS url, CASE WHEN (n_nationkey * 12 + r_regionkey) % 5 = 0 THEN '#main-code' ELSE '#test-code' END AS artifact FROM {nation} CROSS JOIN {region}"
+#: Edges from greater to smaller numbers, one for each order; numbers of orders and customers share the nodes.
+CHAIN = "SELECT 'p' AS project, concat('n', CAST(greatest(o_orderkey, o_custkey) AS STRING)) AS from_url, concat('n', CAST(least(o_orderkey, o_custkey) AS STRING)) AS to_url, CAST(o_orderkey AS BIGINT) AS _ord FROM {orders} WHERE o_orderkey <> o_custkey"
+NODES = "SELECT concat('n', CAST(o_orderkey AS STRING)) AS url, CASE WHEN o_orderkey % 5 = 0 THEN '#main-code' ELSE '#test-code' END AS artifact FROM {orders}"
 
 
 @query(
@@ -382,9 +383,9 @@ def display_positions(t):
     return t.part.select(F.col("p_partkey").alias("id"), revisions.display_position(F.col("p_size"), revisions.tick_values(50)).alias("x"))
 
 
-@query("value_at_markers", "WITH s AS (SELECT CAST(event_id AS DOUBLE) * 10 AS x, value AS y FROM {events} WHERE event_id % 97 = 5), m AS (SELECT DISTINCT CAST(l_partkey * 31 AS DOUBLE) AS marker FROM {lineitem}) SELECT m.marker, coalesce((SELECT arg_max(y, x) FROM s WHERE s.x <= m.marker), (SELECT arg_min(y, x) FROM s)) AS y FROM m")
+@query("value_at_markers", "WITH s AS (SELECT CAST(event_id AS DOUBLE) * 10 + 5 AS x, value AS y FROM {events}), m AS (SELECT DISTINCT CAST(l_partkey * 31 AS DOUBLE) AS marker FROM {lineitem}) SELECT m.marker, coalesce(s.y, (SELECT arg_min(y, x) FROM s)) AS y FROM m ASOF LEFT JOIN s ON m.marker >= s.x")
 def value_at_markers(t):
-    steps = t.events.where("event_id % 97 = 5").select((F.col("event_id").cast("double") * 10).alias("x"), F.col("value").alias("y"))
+    steps = t.events.select((F.col("event_id").cast("double") * 10 + 5).alias("x"), F.col("value").alias("y"))
     markers = t.lineitem.select((F.col("l_partkey") * 31).cast("double").alias("marker")).distinct()
     return revisions.value_at_marker(steps, markers, "x", "y")
 
@@ -416,10 +417,11 @@ def classified_files(t):
     return classification.classify_files(files, modules)
 
 
-@query("open_files", "SELECT DISTINCT concat('f', CAST(user_id AS VARCHAR)) AS file FROM {events} WHERE user_id NOT IN (SELECT user_id FROM {events} WHERE event_type <> 'error' AND event_id % 5 = 0)")
+@query("open_files", "SELECT concat('f', CAST(event_id // 2 AS VARCHAR)) AS file FROM {events} GROUP BY 1 HAVING bool_and(event_type = 'error')")
 def open_files(t):
-    cache = t.events.where("event_id % 5 = 0").select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), F.when(F.col("event_type") == "error", ingest.FAILED).alias("_flag"))
-    return ingest.open_files(t.events.select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file")), cache)
+    file = F.concat(F.lit("f"), F.floor(F.col("event_id") / 2).cast("string")).alias("file")
+    cache = t.events.select(file, F.when(F.col("event_type") == "error", ingest.FAILED).alias("_flag"))
+    return ingest.open_files(t.events.select(file), cache)
 
 
 @query("smell_cells", f"SELECT _ord, len(list_filter(regexp_split_to_array(smell, '\\s+'), lambda s: s <> '')) AS n, smell = 'error' AS is_error FROM ({SMELLS}) s")

@@ -94,16 +94,16 @@ def merge_members(t):
     return store.merge_members(a, b)
 
 
-@query("failed_files", "SELECT user_id AS file FROM {events} WHERE event_id % 5 = 0 GROUP BY 1 HAVING bool_and(event_type = 'error')")
+@query("failed_files", "SELECT event_id // 2 AS file FROM {events} GROUP BY 1 HAVING bool_and(event_type = 'error')")
 def failed_files(t):
-    cache = t.events.where("event_id % 5 = 0").select(F.col("user_id").alias("file"), F.when(F.col("event_type") == "error", ingest.FAILED).alias("_flag"))
+    cache = t.events.select(F.floor(F.col("event_id") / 2).alias("file"), F.when(F.col("event_type") == "error", ingest.FAILED).alias("_flag"))
     return ingest.failed_files(cache)
 
 
-@query("appended_rows", "SELECT user_id AS file, event_id FROM {events} WHERE event_id % 10 = 0 UNION ALL SELECT user_id, event_id FROM {events} WHERE event_id % 10 = 3 AND user_id NOT IN (SELECT user_id FROM {events} WHERE event_id % 10 = 0)")
+@query("appended_rows", "SELECT event_id // 3 AS file, event_id FROM {events} WHERE event_type = 'click' UNION ALL SELECT event_id // 3, event_id FROM {events} WHERE event_type <> 'click' AND event_id // 3 NOT IN (SELECT event_id // 3 FROM {events} WHERE event_type = 'click')")
 def appended_rows(t):
-    rows = t.events.select(F.col("user_id").alias("file"), "event_id", F.lit(None).cast("string").alias("_flag"))
-    return ingest.appended(rows.where("event_id % 10 = 0"), rows.where("event_id % 10 = 3")).select("file", "event_id")
+    rows = t.events.select(F.floor(F.col("event_id") / 3).alias("file"), "event_id", "event_type", F.lit(None).cast("string").alias("_flag"))
+    return ingest.appended(rows.where("event_type = 'click'"), rows.where("event_type <> 'click'")).select("file", "event_id")
 
 
 @query("missing_methods", None)
@@ -132,10 +132,9 @@ def change_comparison(t):
     return review.change_comparison(pair, ["ch_all", "ch_diff"]).withColumn("from_url", F.lit("t1"))
 
 
-@query("renamed_tags", f"SELECT _ord, replace(artifact, '#main-code', '#prod') AS artifact FROM ({METHODS}) m WHERE artifact LIKE '#main-code%' AND artifact NOT LIKE '% %'")
+@query("renamed_tags", f"SELECT _ord, array_to_string(list_transform(string_split(artifact, ' '), lambda x: CASE WHEN x = '#main-code' THEN '#prod' ELSE x END), ' ') AS artifact FROM ({METHODS}) m")
 def renamed_tags(t):
-    rows = t.sql(METHODS).where("artifact LIKE '#main-code%' AND artifact NOT LIKE '% %'")
-    return review.rename_tag(rows, "#main-code", "#prod", "artifact").select("_ord", "artifact")
+    return review.rename_tag(t.sql(METHODS), "#main-code", "#prod", "artifact").select("_ord", "artifact")
 
 
 @query("deleted_pairs", f"SELECT from_url, to_url, _ord FROM ({EDGES}) e WHERE from_url <> 't7' AND NOT (from_url = 't9' AND to_url = 'm9')")

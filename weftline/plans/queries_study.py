@@ -68,9 +68,13 @@ def link_model_column(t):
     return linking.select_links(t.sql(TECH), "testlinker").select("from_url", "to_url", "_ord")
 
 
-@query("link_one_target", f"SELECT from_url, to_url, _ord FROM ({TECH}) x WHERE from_url IN (SELECT from_url FROM ({EDGES}) y GROUP BY 1 HAVING count(DISTINCT to_url) = 1) {FIRST_PAIR}")
+#: Tests that call few methods.
+CALLERS = "SELECT concat('t', CAST(l_orderkey AS STRING)) AS from_url, concat('m', CAST(l_suppkey % 3 AS STRING)) AS to_url, CAST(l_linenumber AS BIGINT) * 1000000000 + CAST(l_orderkey AS BIGINT) AS _ord FROM {lineitem}"
+
+
+@query("link_one_target", f"SELECT from_url, to_url, min(_ord) AS _ord FROM ({CALLERS}) x WHERE from_url IN (SELECT from_url FROM ({CALLERS}) y GROUP BY 1 HAVING count(DISTINCT to_url) = 1) GROUP BY 1, 2")
 def link_one_target(t):
-    return linking.select_links(t.sql(TECH), "omc").select("from_url", "to_url", "_ord")
+    return linking.select_links(t.sql(CALLERS), "omc").select("from_url", "to_url", "_ord")
 
 
 @query("link_union_of_stages", f"SELECT from_url, to_url, _ord FROM ({TECH}) x WHERE tech_nc > 0 OR tech_tfidf >= 0.9 {FIRST_PAIR}")
@@ -372,10 +376,10 @@ def project_progress(t):
     return review.project_progress(rows)
 
 
-@query("timelines", """SELECT commit, a.ts AS ts_left, b.ts AS ts_right, greatest(coalesce(a.ts, b.ts), coalesce(b.ts, a.ts)) AS ts FROM (SELECT event_id AS commit, ts FROM {events} WHERE user_id < 40) a FULL JOIN (SELECT event_id AS commit, ts FROM {events} WHERE event_type = 'click' AND user_id < 80) b USING (commit)""")
+@query("timelines", """SELECT commit, a.ts AS ts_left, b.ts AS ts_right, greatest(coalesce(a.ts, b.ts), coalesce(b.ts, a.ts)) AS ts FROM (SELECT event_id AS commit, ts FROM {events} WHERE event_type <> 'error') a FULL JOIN (SELECT event_id AS commit, ts FROM {events} WHERE event_type <> 'view') b USING (commit)""")
 def timelines(t):
     rows = t.events.select(F.col("event_id").alias("commit"), "ts", F.col("event_id").alias("place"), "user_id", "event_type")
-    a, b = rows.where("user_id < 40"), rows.where("event_type = 'click' AND user_id < 80")
+    a, b = rows.where("event_type <> 'error'"), rows.where("event_type <> 'view'")
     return review.timeline(a, b).select("commit", "ts_left", "ts_right", "ts")
 
 
@@ -421,10 +425,10 @@ def label_lookup(t):
     return signatures.label_lookup(rows).select("from_url", "urls")
 
 
-@query("call_targets", """WITH c AS (SELECT l_orderkey % 500 AS call_id, l_partkey, l_linenumber AS level, l_suppkey, l_extendedprice AS o FROM {lineitem} WHERE l_quantity > 10)
+@query("call_targets", """WITH c AS (SELECT l_orderkey % 500 AS call_id, l_partkey, l_linenumber AS level, l_suppkey, l_extendedprice AS o FROM {lineitem})
  SELECT call_id, l_partkey FROM c WHERE l_suppkey % 3 = 1 QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY level, CASE WHEN l_partkey % 2 = 0 THEN 350 ELSE 50 END DESC, o) = 1""")
 def call_targets(t):
-    c = t.lineitem.where("l_quantity > 10").select(
+    c = t.lineitem.select(
         (F.col("l_orderkey") % 500).alias("call_id"), "l_partkey", F.lit(1).alias("direction"), F.col("l_linenumber").alias("level"), F.col("l_extendedprice").alias("_ord"),
         (F.col("l_suppkey") % 3).alias("c_arity"), F.lit(1).alias("e_arity"), F.lit("a").alias("e_fqn"), F.when(F.col("l_partkey") % 2 == 0, "a").otherwise("b").alias("c_fqn"),
         F.lit("x").alias("c_file"), F.lit("y").alias("e_file"), F.lit("f(").alias("c_fqs"), F.lit("g(").alias("e_fqs"),

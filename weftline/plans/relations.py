@@ -23,7 +23,7 @@ FROM {part}"""
 #: Labels of test-production pairs: ground truth.
 TRUTH = """SELECT DISTINCT concat('p', CAST(l_suppkey % 4 AS STRING)) AS project,
   concat('t', CAST(l_orderkey % 3000 AS STRING)) AS from_url, concat('m', CAST(l_partkey % 400 AS STRING)) AS to_url
-FROM {lineitem} WHERE l_orderkey % 7 = 0 AND l_quantity > 25"""
+FROM {lineitem} WHERE l_returnflag = 'R' AND l_quantity > 25"""
 #: Linked pairs with change counts on both sides.
 PAIRS = """SELECT concat('p', CAST(o_custkey % 6 AS STRING)) AS project, concat('t', CAST(o_orderkey AS STRING)) AS from_url,
   concat('m', CAST(o_custkey AS STRING)) AS to_url,

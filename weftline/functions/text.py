@@ -71,8 +71,8 @@ def line_count(start: Column, end: Column, code: Column) -> Column:
     """Lines by their numbers, at least 0; by the code where a number is missing."""
     lines = F.split(blank(code), r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85  ]")
     n = F.size(lines) - F.when(F.element_at(lines, -1) == "", 1).otherwise(0)
-    by_number = F.greatest(F.floor(number(end)) - F.floor(number(start)) + 1, F.lit(0))
-    return F.coalesce(by_number, n).cast("long")
+    by_number = F.floor(number(end)) - F.floor(number(start)) + 1  # null where a number is missing
+    return F.when(by_number.isNull(), n).otherwise(F.greatest(by_number, F.lit(0))).cast("long")
 
 
 def parameter_count(code: Column, name: Column) -> Column:

@@ -92,3 +92,25 @@ def test_query_on_odd_rows(spark, odd_documents, no_documents):
     assert q.fit(docs, labels.where("quality = 1")) == []
     conflicting = labels.unionByName(labels.selectExpr("doc_id", "1 AS quality", "toxic"))
     assert q.fit(docs, conflicting.unionByName(spark.createDataFrame([(None, 0, 0)], labels.schema))) == []
+
+
+def test_a_learned_list_of_conjunctions_is_emitted_as_it_was_learned(spark):
+    """Documents are bad where two ratios meet; each alone is common among good ones."""
+    draw = random.Random(12)
+    rows, labels = [], []
+    for i in range(1500):
+        words = ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(draw.randrange(60, 90))]
+        symbols, shouts = i % 2 == 0, i // 2 % 2 == 0
+        words = [w[:-1] + "#" if symbols and k % 3 == 0 else w for k, w in enumerate(words)]
+        words = ["!" + w[1:] if shouts and k % 4 == 0 else w for k, w in enumerate(words)]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 0 if symbols and shouts else 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    third = [r for r in labels if r[0] % 3]
+    rules = q.fit(df, spark.createDataFrame(third, "doc_id long, quality int"))
+    assert any(len(rule) > 1 for rule in rules), rules
+    kept = {r["doc_id"]: r["kept"] for r in q.judge(df, rules).collect()}
+    assert all(kept[i] == plain_kept(text, rules)[1] for i, text in rows)
+    held = [(quality == 0, not kept[i]) for i, quality in labels if i % 3 == 0]
+    right = sum(a and b for a, b in held)
+    assert right >= 0.95 * sum(a for a, _ in held) and right >= 0.95 * sum(b for _, b in held)

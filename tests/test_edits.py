@@ -1,8 +1,13 @@
 """Edits of review data, model runs, classification rules, numbering by ranges, caps that are none."""
 
+import math
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.functions import statistics
 from weftline.operators import classification, ingest, model_runs, relational, reporting, review, sampling, scoring, signatures
 from weftline.sources import config, schemas
 
@@ -99,6 +104,21 @@ def test_no_cap_on_copies_and_an_error_on_tools(spark):
         config.project_index(projects, {}, many)
 
 
+def test_rank_correlation_of_counted_pairs():
+    draw = random.Random(1)
+    for _ in range(60):
+        n = draw.randrange(4, 50)
+        x, y = [draw.randrange(5) for _ in range(n)], [draw.randrange(4) for _ in range(n)]
+        if len(set(x)) < 2 or len(set(y)) < 2:
+            continue
+        signs = [(x[i] - x[j]) * (y[i] - y[j]) for i in range(n) for j in range(i)]
+        same = [sum(v[i] == v[j] for i in range(n) for j in range(i)) for v in (x, y)]
+        wanted = (sum(s > 0 for s in signs) - sum(s < 0 for s in signs)) / math.sqrt((len(signs) - same[0]) * (len(signs) - same[1]))
+        counted = Counter(zip(x, y))
+        found = statistics.kendall_of_counts(*zip(*counted), list(counted.values()))
+        assert found[0] == pytest.approx(wanted) and found == statistics.kendall(x, y)
+
+
 def test_call_header_stands_in_its_order():
     assert len(schemas.CALL) == 36 == len(set(schemas.CALL))
     assert schemas.CALL[11:19] == (

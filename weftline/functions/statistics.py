@@ -125,13 +125,24 @@ def _inversion_counts(n: int) -> list[int]:
 
 def kendall(x: list[float], y: list[float]) -> tuple[float, float]:
     """tau-b and its two-sided p, in O(n log n)."""
-    n = len(x)
-    pairs = sorted(zip(x, y))
-    tied = lambda keys: [sum(1 for _ in g) for g in _runs(keys)]
-    tx, ty, txy = tied([a for a, _ in pairs]), tied(sorted(y)), tied(pairs)
+    return kendall_of_counts(x, y, [1] * len(x))
+
+
+def kendall_of_counts(x: list[float], y: list[float], times: list[int]) -> tuple[float, float]:
+    """tau-b and its p of pairs that occur ``times`` each; time and memory go by distinct pairs."""
+    held: dict[tuple[float, float], int] = {}
+    for a, b, t in zip(x, y, times):
+        held[a, b] = held.get((a, b), 0) + int(t)
+    tied_x: dict[float, int] = {}
+    tied_y: dict[float, int] = {}
+    for (a, b), t in held.items():
+        tied_x[a] = tied_x.get(a, 0) + t
+        tied_y[b] = tied_y.get(b, 0) + t
+    tx, ty, txy = tied_x.values(), tied_y.values(), held.values()
+    n = sum(txy)
     both = lambda ts: sum(t * (t - 1) // 2 for t in ts)
     total = n * (n - 1) // 2
-    discordant = _inversions([b for _, b in pairs])
+    discordant = _discordant(held, {b: k for k, b in enumerate(sorted(tied_y), 1)})
     nx, ny, nxy = both(tx), both(ty), both(txy)
     if n < 2 or total in (nx, ny):
         return math.nan, math.nan
@@ -154,36 +165,28 @@ def kendall(x: list[float], y: list[float]) -> tuple[float, float]:
     return tau, min(1.0, 2 * normal_tail(abs(difference) / math.sqrt(variance)))
 
 
-def _runs(keys):
-    run = []
-    for key in keys:
-        if run and key != run[-1]:
-            yield run
-            run = []
-        run.append(key)
-    if run:
-        yield run
-
-
-def _inversions(values: list[float]) -> int:
-    """Pairs that stand in the wrong order, by merging."""
-    if len(values) < 2:
-        return 0
-    count, width, source = 0, 1, list(values)
-    while width < len(source):
-        merged = []
-        for at in range(0, len(source), 2 * width):
-            left, right = source[at : at + width], source[at + width : at + 2 * width]
-            i = j = 0
-            while i < len(left) or j < len(right):
-                if j == len(right) or (i < len(left) and left[i] <= right[j]):
-                    merged.append(left[i])
-                    i += 1
-                else:
-                    merged.append(right[j])
-                    j += 1
-                    count += len(left) - i
-        source, width = merged, 2 * width
+def _discordant(held: dict[tuple[float, float], int], place: dict[float, int]) -> int:
+    """Pairs of which x rises and y falls, by sums over the places of y that x has passed (a Fenwick tree)."""
+    sums = [0] * (len(place) + 1)
+    count = seen = 0
+    rows = sorted(held.items())
+    at = 0
+    while at < len(rows):
+        end = at
+        while end < len(rows) and rows[end][0][0] == rows[at][0][0]:
+            k, no_more = place[rows[end][0][1]], 0
+            while k:
+                no_more += sums[k]
+                k &= k - 1
+            count += rows[end][1] * (seen - no_more)
+            end += 1
+        for (_, b), t in rows[at:end]:
+            seen += t
+            k = place[b]
+            while k < len(sums):
+                sums[k] += t
+                k += k & -k
+        at = end
     return count
 
 

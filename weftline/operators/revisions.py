@@ -153,8 +153,8 @@ def pair_correlation(pairs: DataFrame, changes: Sequence[str], by: Sequence[str]
 
     def tau(pdf: pd.DataFrame) -> pd.DataFrame:
         known = pdf.dropna(subset=["production", "test"])
-        x, y = (known[c].repeat(known["n"]).tolist() for c in ("production", "test"))
-        value, p = statistics.kendall(x, y) if len(set(x)) > 1 and len(set(y)) > 1 else (None, None)
+        x, y, times = (known[c].tolist() for c in ("production", "test", "n"))
+        value, p = statistics.kendall_of_counts(x, y, times) if len(set(x)) > 1 and len(set(y)) > 1 else (None, None)
         return pdf[group].head(1).assign(corr=value, corr_p=p, size=int(pdf["n"].sum()))
 
     correlated = both.groupBy(*group).applyInPandas(tau, schema)

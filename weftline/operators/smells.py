@@ -185,7 +185,7 @@ def outliers(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Values outside 1.5 interquartile ranges (linear quantiles)."""
     ends = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
     spread = F.col("__q")[1] - F.col("__q")[0]
-    bounded = df.join(F.broadcast(ends), list(by)) if by else df.crossJoin(F.broadcast(ends))
+    bounded = df.join(ends, list(by)) if by else df.crossJoin(F.broadcast(ends))  # one row
     outside = (F.col(value) < F.col("__q")[0] - 1.5 * spread) | (F.col(value) > F.col("__q")[1] + 1.5 * spread)
     return bounded.groupBy(*by).agg(F.count_if(outside).alias("extreme"), F.count(F.lit(1)).alias("n"))
 
@@ -285,6 +285,7 @@ def association(unique: DataFrame, group: str, focal: str, baseline: str, by: Se
     names = has.select(*by, "smell").unionByName(
         rows.select(*by).distinct().crossJoin(F.broadcast(pseudo)) if by else pseudo
     ).distinct()
+    # Every smell stands against every project, as the pooled tables need.
     grid = names.join(sizes, list(by)) if by else names.crossJoin(sizes)
     full = grid.join(has, [*by, "project", "smell"], "left").na.fill(0, ["a", "c"])
     tables = full.select(*by, "smell", "a", (F.col("f") - F.col("a")).alias("b"), "c", (F.col("g") - F.col("c")).alias("d"))
@@ -392,8 +393,8 @@ def size_correlations(methods: DataFrame, smells: Sequence[str]) -> DataFrame:
         ranks = ranks.join(mid, c)
 
     def tau(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = (pdf[c].repeat(pdf["n"]).tolist() for c in ("x", "y"))
-        rows = [("kendall", *statistics.kendall(x, y))] if len(set(x)) > 1 < len(set(y)) else [("kendall", None, None)]
+        x, y, times = (pdf[c].tolist() for c in ("x", "y", "n"))
+        rows = [("kendall", *statistics.kendall_of_counts(x, y, times))] if len(set(x)) > 1 < len(set(y)) else [("kendall", None, None)]
         return pd.DataFrame(rows, columns=["correlation_algorithm", "correlation", "p_value"])
 
     schema = "correlation_algorithm string, correlation double, p_value double"

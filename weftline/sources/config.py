@@ -115,7 +115,7 @@ def remove_stale(spark: SparkSession, path: str, reason: str, counts: RunCounts)
 
 def plan_copies(projects: DataFrame, artifacts: DataFrame, source: str, destination: str) -> DataFrame:
     """project x artifact with both paths: every artifact for every project, so the grid is the result."""
-    grid = projects.select("project").join(artifacts.select("artifact"))
+    grid = projects.select("project").crossJoin(artifacts.select("artifact"))
     path = lambda root: F.concat(F.lit(root.rstrip("/") + "/"), "artifact", F.lit("/"), "project", F.lit(".csv"))
     return grid.withColumns({"source": path(source), "destination": path(destination)})
 

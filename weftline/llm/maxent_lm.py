@@ -70,6 +70,9 @@ PAIR_WORDS = 1 << 14
 PAIR_STEPS = 8
 PAIR_PRIOR = 2.0
 PAIR_SHRINK = 0.05
+#: Histories whose normalisers a worker keeps, and rows that it reads at once.
+NORMS = 1 << 21
+ROWS_AT_ONCE = 512
 #: Bytes of a text that are split into tokens at once.
 PIECE = 1 << 20
 #: Distinct words that a task counts before it sends them on.
@@ -150,7 +153,7 @@ class Encoder:
     A code carries all that the model needs: class and feature row.
     """
 
-    def __init__(self, head: dict[bytes, int], cache_bytes: int = 40 << 20):
+    def __init__(self, head: dict[bytes, int], cache_bytes: int = 20 << 20):
         self.head = head
         self.code = Memo(self._code, cache_bytes)
 
@@ -207,27 +210,35 @@ def log_classes(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """log P(class | history) for single classes; the normaliser of a history is worked out once."""
+    """log P(class | history) for single classes; normalisers of recent histories are kept."""
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights
-        # 0 where not worked out; memory is taken only for the histories met.
-        self.norm = np.zeros(HISTORIES, dtype=np.float32)
-
-    def __call__(self, history: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        w = self.weights
-        new = np.unique(history[self.norm[history] == 0])
+        self.history = np.full(NORMS, -1, dtype=np.int32)
+        self.norm = np.zeros(NORMS, dtype=np.float32)
+
+    def norms(self, history: np.ndarray) -> np.ndarray:
+        """Logs of the normalisers of distinct histories."""
+        w, place = self.weights, history % NORMS
+        out = self.norm[place]
+        new = np.flatnonzero(self.history[place] != history)
         for a in range(0, len(new), CUT):
-            rows = features(new[a : a + CUT])
+            rows = features(history[new[a : a + CUT]])
             scores = w[rows[:, 0]]
             for part in (w[rows[:, 1]], w[rows[:, 2]], w[-1]):
                 scores += part
-            self.norm[new[a : a + CUT]] = np.log(np.exp(scores).sum(axis=1))
+            out[new[a : a + CUT]] = np.log(np.exp(scores).sum(axis=1))
+        self.history[place[new]], self.norm[place[new]] = history[new], out[new]
+        return out
+
+    def __call__(self, history: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        w = self.weights
         rows = features(history)
         chosen = w[rows[:, 0], kind]
         for part in (w[rows[:, 1], kind], w[rows[:, 2], kind], w[-1, kind]):
             chosen = chosen + part
-        return (chosen - self.norm[history]).astype(np.float64)
+        met, place = np.unique(history, return_inverse=True)
+        return (chosen - self.norms(met)[place]).astype(np.float64)
 
 
 def _rows_sum(rows: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
@@ -281,6 +292,13 @@ def _slabs(texts: list[bytes], encoder: Encoder):
         yield slab()
 
 
+def small_batches(batches):
+    """Batches of few rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def contexts(kind: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The context of each token from the tokens' own classes."""
     return np.where(start, CLASSES, np.concatenate(([CLASSES], kind[:-1])))
@@ -304,7 +322,7 @@ def count_words(train: DataFrame) -> DataFrame:
                 [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "count"]
             )
 
-        for batch in batches:
+        for batch in small_batches(batches):
             for text in batch.column(0).to_pylist():
                 for words in pieces(text):
                     seen.update(words)
@@ -419,7 +437,7 @@ def gather_statistics(train: DataFrame, vocabulary: Vocabulary, name: str) -> tu
                         names=["at", "part", "history", "pair", "times"],
                     )
 
-        for batch in batches:
+        for batch in small_batches(batches):
             for slab in _slabs(batch.column(0).to_pylist(), encoder):
                 place, kind, row = unpack(slab.codes)
                 context = contexts(kind, slab.start)[slab.counted]
@@ -586,7 +604,7 @@ def score(
 
     def run(batches):
         """A row with part sums for every text, and one for each of its distinct tail words."""
-        for batch in batches:
+        for batch in small_batches(batches):
             encode, log_count, pairs, sums, scorer = kept(f"{name}-scores", state)
             texts = batch.column(1).to_pylist()
             n_known = np.zeros(len(texts), dtype=np.int64)

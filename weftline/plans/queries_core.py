@@ -175,9 +175,17 @@ def name_similarity(t):
     return t.part.select(F.col("p_partkey").alias("id"), strings.similarity(F.col("p_name"), F.col("p_type")).alias("sim"))
 
 
-@query("longest_common", None)
+@query(
+    "longest_common",
+    """WITH RECURSIVE p AS (SELECT DISTINCT p_name AS a, lower(p_type) AS b FROM {part}),
+ d AS (SELECT a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda x: 0) AS r FROM p
+ UNION ALL SELECT a, b, i + 1, list_concat([0], list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+   lambda k: CASE WHEN substr(a, i + 1, 1) = substr(b, k, 1) THEN r[k] + 1 ELSE r[k + 1] END)))) FROM d WHERE i < len(a)),
+ s AS (SELECT a, b, max(l) AS n FROM p, range(1, 40) x(i), range(0, 40) y(l) WHERE x.i + y.l <= len(a) + 1 AND contains(b, substr(a, x.i, y.l)) GROUP BY 1, 2)
+ SELECT p_partkey, CAST(d.r[len(d.b) + 1] AS INTEGER) AS lcs, CAST(s.n AS INTEGER) AS substring FROM {part} JOIN d ON d.a = p_name AND d.b = lower(p_type) AND d.i = len(d.a) JOIN s ON s.a = p_name AND s.b = lower(p_type)""",
+)
 def longest_common(t):
-    return t.part.select("p_partkey", strings.lcs(F.col("p_name"), F.col("p_type")).alias("lcs"), strings.common_substring(F.col("p_name"), F.col("p_type")).alias("substring"))
+    return t.part.select("p_partkey", strings.lcs(F.col("p_name"), F.lower("p_type")).alias("lcs"), strings.common_substring(F.col("p_name"), F.lower("p_type")).alias("substring"))
 
 
 # ---- joins and sets -------------------------------------------------------------------------
@@ -324,7 +332,14 @@ def hierarchy_closure(t):
     return graph.closure(t.sql(CHAIN), "from_url", "to_url")
 
 
-@query("calls_before_assertions", None)
+@query(
+    "calls_before_assertions",
+    """WITH c AS (SELECT 't' || (event_id // 20) AS from_url, CASE event_type WHEN 'error' THEN 'assertEquals' ELSE event_type END AS name, CAST(event_id % 20 AS INTEGER) AS line,
+ CAST(event_id % 20 AS INTEGER) AS end_line, event_type = 'signup' AS in_assertion, event_id AS _ord FROM {events}),
+ n AS (SELECT *, min(CASE WHEN name = 'assertEquals' THEN line END) OVER (PARTITION BY from_url ORDER BY line RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ahead FROM c),
+ m AS (SELECT *, name <> 'assertEquals' AND NOT in_assertion AND ahead IS NOT NULL AS plain FROM n)
+ SELECT from_url, name, line, end_line, in_assertion, _ord, CAST(in_assertion OR (plain AND line = max(CASE WHEN plain THEN line END) OVER (PARTITION BY from_url, ahead)) AS INTEGER) AS lcba FROM m""",
+)
 def calls_before_assertions(t):
     calls = t.events.select(
         F.concat(F.lit("t"), F.floor(F.col("event_id") / 20).cast("string")).alias("from_url"),

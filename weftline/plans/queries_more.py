@@ -272,7 +272,7 @@ def comparison_pairs(t):
     return reporting.comparison_pairs(t.sql(DIFFERENCES))
 
 
-@query("group_names", f"SELECT from_url, _ord, CASE rg_all WHEN 'AHTR' THEN 'AHTR' ELSE rg_all END AS grp FROM ({TESTS}) x")
+@query("group_names", f"SELECT from_url, _ord, CASE rg_all WHEN 'AHTR' THEN 'MTR' ELSE rg_all END AS grp FROM ({TESTS}) x")
 def group_names(t):
     return t.sql(TESTS).select("from_url", "_ord", smells.normal_group(F.col("rg_all")).alias("grp"))
 
@@ -313,7 +313,7 @@ def review_values(t):
     return review.review_rows(rows, old, ["notes"], ["label", "notes"])
 
 
-@query("scope_progress", f"SELECT count(*) FILTER (WHERE label <> '') AS labelled, count(*) AS total, round_even(CAST(count(*) FILTER (WHERE label <> '') AS DOUBLE) / count(*) * 100, 1) AS percent FROM ({REVIEW}) r WHERE project = 'p1'")
+@query("scope_progress", f"SELECT count(*) FILTER (WHERE label <> '') AS labelled, count(*) AS total, round_even(CAST(count(*) FILTER (WHERE label <> '') AS DOUBLE) / count(*) * 100, 2) AS percent FROM ({REVIEW}) r WHERE project = 'p1'")
 def scope_progress(t):
     return review.scope_progress(t.sql(REVIEW), F.col("project") == "p1")
 

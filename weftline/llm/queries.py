@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe_automaton, chat_quotes, maxent_lm, mixing, quality_rules, sharding, simhash, token_count, token_files, topk_search
+from weftline.llm import (
+    bpe_automaton, centroids, chat_quotes, maxent_lm, mixing, quality_rules, sharding, simhash, token_count, token_files, topk_search,
+    vector_codes,
+)
 from weftline.llm.common import read_table
 
 
@@ -25,6 +28,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_automaton": _over("documents", bpe_automaton.query),
     "op9_simhash": _over("documents", simhash.query),
     "op10_maxent_lm": _over("documents", maxent_lm.query),
+    "op11_vector_codes": _over("embeddings", vector_codes.query),
+    "op13_centroid_clustering": _over("embeddings", centroids.query),
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_topk_search": topk_search.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_topk_search": topk_search.ORACLE_SQL,
+    "op11_vector_codes": vector_codes.ORACLE_SQL,
+    "op13_centroid_clustering": centroids.ORACLE_SQL,
+}

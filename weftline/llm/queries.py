@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import (
     bpe_automaton, centroids, chat_quotes, maxent_lm, mixing, quality_rules, sharding, simhash, token_count, token_files, topk_search,
-    vector_codes,
+    suffix_dedup, vector_codes,
 )
 from weftline.llm.common import read_table
 
@@ -29,11 +29,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": _over("documents", simhash.query),
     "op10_maxent_lm": _over("documents", maxent_lm.query),
     "op11_vector_codes": _over("embeddings", vector_codes.query),
+    "op12_suffix_dedup": _over("documents", suffix_dedup.query),
     "op13_centroid_clustering": _over("embeddings", centroids.query),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_topk_search": topk_search.ORACLE_SQL,
     "op11_vector_codes": vector_codes.ORACLE_SQL,
+    "op12_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op13_centroid_clustering": centroids.ORACLE_SQL,
 }

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from weftline.llm import suffix_dedup
-from weftline.llm.deep_shallow import BlindTrie, deep_shallow_sort
+from weftline.llm.deep_shallow import BlindTrie, deep_shallow_sort, words_of
 from weftline.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -78,6 +78,7 @@ def test_a_gram_of_many_contexts_is_dealt_into_blocks(spark, monkeypatch):
 def test_texts_longer_than_a_piece(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
     monkeypatch.setattr(suffix_dedup, "SLICE", 900)
+    monkeypatch.setattr(suffix_dedup, "WINDOWS", 500)
     rows = [(i, t) for i, t in corpus(4, 30)] + [(400, "".join(t or "" for _, t in corpus(5, 20)))]
     assert found(table(spark, rows)) == plain(rows)
 
@@ -116,7 +117,7 @@ def test_sorter_matches_plain_sorting():
         starts = draw.integers(0, len(buffer) - length, 2000)
         sizes = np.array([500, 0, 1, 999, 500])
         data = buffer.tobytes()
-        order, number = deep_shallow_sort(buffer, starts, length, sizes, shallow=16)
+        order, number = deep_shallow_sort(data, words_of(buffer), starts, length, sizes, shallow=16)
         for a, b in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes)):
             strings = [data[starts[i] : starts[i] + length] for i in order[a:b]]
             assert strings == sorted(strings) and sorted(order[a:b]) == list(range(a, b))

@@ -116,24 +116,21 @@ def multikey_quicksort(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray,
 
 
 def deep_shallow_sort(
-    buffer: np.ndarray, starts: np.ndarray, length: int, sizes: np.ndarray | None = None, shallow: int = SHALLOW
+    buffer: bytes, words: np.ndarray, starts: np.ndarray, length: int, sizes: np.ndarray, shallow: int = SHALLOW
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Orders strings of ``length`` bytes that start at ``starts`` of ``buffer`` (uint8).
+    """Orders strings of ``length`` bytes that start at ``starts`` of ``buffer``, whose ``words_of`` are given.
 
-    ``sizes`` gives buckets of successive strings that are ordered each by itself (one bucket).
-    Returns the order and, for each place in it, the number of its class: equal strings of a
-    bucket share one.
+    ``sizes`` gives buckets of successive strings that are ordered each by itself.  Returns the
+    order and, for each place in it, the number of its class: equal strings of a bucket share one.
     """
     shallow = min(shallow, length // STEP * STEP)
-    sizes = np.array([len(starts)]) if sizes is None else sizes
-    order, deep = multikey_quicksort(words_of(buffer), starts, sizes, shallow)
+    order, deep = multikey_quicksort(words, starts, sizes, shallow)
     is_first = np.ones(len(order), dtype=bool)
-    data = buffer.tobytes()
     for begin, end in deep.tolist():
         trie = BlindTrie()
         for member in order[begin:end].tolist():
             start = int(starts[member])
-            trie.insert(data[start + shallow : start + length], member)
+            trie.insert(buffer[start + shallow : start + length], member)
         at = begin
         for members in trie.leaves():
             order[at : at + len(members)] = members

@@ -33,15 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.common import discard, saved, scratch_path, text_bytes
-from weftline.llm.deep_shallow import deep_shallow_sort
+from weftline.llm.deep_shallow import deep_shallow_sort, words_of
 
 #: Bytes of a gram, and of the pieces in which texts are hashed.
 GRAM = 32
 PIECE = 1 << 18
 #: Bytes of contexts sent at once.
 SLICE = 4 << 20
-#: Contexts of an anchor that one block holds, and windows sorted at once.
-BLOCK = 4096
+#: Contexts of an anchor that one block holds, and windows sorted at once (a block is sorted by buckets).
+BLOCK = 1 << 15
 WINDOWS = 1 << 19
 #: Copies of one row that are unrolled at once.
 RUN = 65_536
@@ -235,9 +235,17 @@ def _sort_table(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     bucket = group[owner] * length + anchor[owner] - step
     by_bucket = np.argsort(bucket, kind="stable")
     owner, step = owner[by_bucket], step[by_bucket]
-    sizes = np.diff(np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1, append=-1)))
-    order, number = deep_shallow_sort(data, offsets[owner] + step, length, sizes)
-    owner, step = owner[order], step[order]
+    bounds = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1, append=-1))
+    data_bytes, words, classes = data.tobytes(), words_of(data), 0
+    number = np.empty(len(owner), np.int64)
+    # Buckets are sorted by themselves, as many at once as hold WINDOWS.
+    cuts = np.searchsorted(bounds, np.arange(0, len(owner), WINDOWS))
+    for i, j in zip(cuts, [*cuts[1:], len(bounds) - 1]):
+        if i < j:
+            a, b = bounds[i], bounds[j]
+            order, found = deep_shallow_sort(data_bytes, words, offsets[owner[a:b]] + step[a:b], length, np.diff(bounds[i : j + 1]))
+            owner[a:b], step[a:b], number[a:b] = owner[a:b][order], step[a:b][order], found + classes
+            classes += int(found[-1]) + 1
     first = np.flatnonzero(np.diff(number, prepend=-1))
     least = np.minimum.reduceat(rank[owner], first)[number]
     later = rank[owner] > least
@@ -256,7 +264,7 @@ def _sort_table(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
         some = open_[a : a + (1 << 14)]
         own, begin = owner[some], start[owner[some]] + step[some]
         base = offsets[own] + step[some]
-        windows = pa.array([data[b : b + length].tobytes() for b in base.tolist()], pa.binary())
+        windows = pa.array([data_bytes[b : b + length] for b in base.tolist()], pa.binary())
         take = pa.array(own)
         place = pa.StructArray.from_arrays(
             [*[order_by[c].take(take) for c in range(4)], pa.array(begin, pa.int32())], names=["no_id", "id", "doc", "text_no", "start"]

@@ -193,9 +193,6 @@ def test_benjamini_hochberg(spark):
 def test_sampling_sizes():
     assert sampling.sample_size(450) == 208
     assert sampling.sample_size(0) == 0
-    assert sum(sampling.allocate({"a": 100, "b": 10, "c": 1}, 20).values()) == 20
-    assert sampling.allocate({"a": 100, "b": 10, "c": 1}, 20)["c"] == 1
-    assert sampling.top_up({"a": 5, "b": 3}, {"a": 1}, {"a": 2, "b": 9}, 6) == {"a": 2, "b": 3}
     assert sampling.slot_numbers([1001, 1003, 1004], 3) == [1002, 1005, 1006]
 
 

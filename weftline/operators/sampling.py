@@ -31,40 +31,14 @@ def sample_size_column(population: Column, confidence: float = 0.95, margin: flo
     return F.when(population > 0, F.least(size, population)).otherwise(F.lit(0).cast("long"))
 
 
-def allocate(populations: dict[str, int], target: int) -> dict[str, int]:
-    """Proportional shares by largest remainder: at least 1, at most the population; ties by size, then name."""
-    names = [n for n, size in populations.items() if size > 0]
-    target = min(target, sum(populations.values()))
-    if target <= 0 or not names:
-        return dict.fromkeys(populations, 0)
-    order = sorted(names, key=lambda n: (-populations[n], n))
-    if target < len(names):
-        return {n: int(n in order[:target]) for n in populations}
-    total = sum(populations[n] for n in names)
-    exact = {n: target * populations[n] / total for n in names}
-    out = {n: min(populations[n], max(1, math.floor(exact[n]))) for n in names}
-    while (gap := target - sum(out.values())) != 0:
-        step = 1 if gap > 0 else -1
-        free = [n for n in names if (out[n] < populations[n] if step > 0 else out[n] > 1)]
-        best = max(free, key=lambda n: (step * (exact[n] - out[n]), populations[n], [-ord(c) for c in n]))
-        out[best] += step
-    return {n: out.get(n, 0) for n in populations}
-
-
-def top_up(targets: dict[str, int], existing: dict[str, int], capacity: dict[str, int], total: int) -> dict[str, int]:
-    """How many more each project needs, within its capacity and the total still missing."""
-    left = max(0, total - sum(existing.values()))
-    out = {}
-    for name in sorted(targets, key=lambda n: (-(targets[n] - existing.get(n, 0)), n)):
-        want = min(max(0, targets[name] - existing.get(name, 0)), capacity.get(name, 0), left)
-        out[name] = want
-        left -= want
-    return {n: out[n] for n in targets}
+def draw(seed: int, *keys: str) -> Column:
+    """The place of a key in a seeded draw: a digest of seed and key, the same in any engine."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
 
 
 def seeded_sample(df: DataFrame, keys: Sequence[str], n: Column | int, seed: int, by: Sequence[str] = ()) -> DataFrame:
-    """n rows of each group, by the order of a seeded hash of the key: the same for any partitioning."""
-    place = [F.xxhash64(*keys, F.lit(seed)), *[F.col(k) for k in keys]]
+    """n rows of each group, by the order of a seeded digest of the key: the same for any partitioning."""
+    place = [draw(seed, *keys), *[F.col(k) for k in keys]]
     if not by and isinstance(n, int):  # a top-n of all rows: each task keeps its own n first
         return df.orderBy(*place).limit(n)
     order = Window.partitionBy(*by).orderBy(*place)
@@ -120,18 +94,6 @@ def test_pool(edges: DataFrame, methods: DataFrame, exclude: str | None = None)
     return rows if not exclude else rows.where(~F.rlike("artifact", F.lit(exclude)))
 
 
-def review_sample(population: DataFrame, keys: Sequence[str], seed: int, confidence: float = 0.95, margin: float = 0.05) -> DataFrame:
-    """A sample for review over all projects: its size by Cochran, shared out in proportion, drawn by project.
-
-    One row a project goes to the driver.
-    """
-    sizes = {r["project"]: r["n"] for r in population.groupBy("project").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shares = allocate(sizes, sample_size(sum(sizes.values()), confidence, margin))
-    wanted = population.sparkSession.createDataFrame(list(shares.items()) or [("", 0)], "project string, __wanted long")
-    rows = population.join(F.broadcast(wanted), "project")
-    return seeded_sample(rows, keys, F.col("__wanted"), seed, ["project"]).drop("__wanted")
-
-
 def barred(existing: DataFrame, rows: DataFrame, key: str = "url") -> DataFrame:
     """The list of barred methods with ``rows`` added; the last row of each key counts."""
     both = union_all([existing.withColumn("__source", F.lit(0)), rows.withColumn("__source", F.lit(1))])

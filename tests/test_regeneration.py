@@ -203,6 +203,8 @@ def test_top_up(spark):
     assert {r["group"]: r["more"] for r in apportion.top_up(df, F.lit(50)).collect()} == {"a": 2, "b": 3, "c": 0}
     assert {r["group"]: r["more"] for r in apportion.top_up(df, F.lit(8)).collect()} == {n: plain_shares({"a": 2, "b": 3, "c": 0}, 3)[n] for n in "abc"}
     assert {r["more"] for r in apportion.top_up(df, F.lit(5)).collect()} == {0}
+    full = spark.createDataFrame([("a", 1, 3, 0), ("b", 1, 1, 5)], "group string, share long, existing long, capacity long")
+    assert {r["more"] for r in apportion.top_up(full, F.lit(9)).collect()} == {0}
 
 
 def test_review_sample(spark):

@@ -65,7 +65,7 @@ def allocate(groups: DataFrame, target: Column, name: str = "group", size: str =
     totals = rows.agg(F.sum("__size").alias("__total"), F.count_if(F.col("__size") > 0).alias("__groups"))
     rows = rows.crossJoin(F.broadcast(totals))  # one row
     goal = F.least(F.greatest("__asked", F.lit(0)), F.coalesce("__total", F.lit(0)))
-    quota = (F.col("__goal") * F.col("__size")).cast("double") / F.col("__total").cast("double")
+    quota = F.try_divide((F.col("__goal") * F.col("__size")).cast("double"), F.col("__total").cast("double"))
     floor = F.when((F.col("__size") == 0) | (F.col("__goal") == 0), 0).otherwise(
         F.least("__size", F.greatest("__least", F.floor("__quota")))
     )

@@ -418,11 +418,6 @@ def sample_sizes(t):
     return sizes.select("c_nationkey", sampling.sample_size_column(F.col("__n")).alias("n"))
 
 
-@query("seeded_sample", None)
-def seeded_sample(t):
-    return sampling.seeded_sample(t.customer, ["c_custkey"], 5, 7, ["c_nationkey"]).select("c_nationkey", "c_custkey")
-
-
 @query("classified_files", """SELECT 'p' AS project, concat(CASE WHEN p_partkey % 2 = 0 THEN 'core-test/' ELSE 'core/' END, CASE WHEN p_partkey % 3 = 0 THEN 'src/test/java/' ELSE 'src/main/java/' END, p_partkey, '.java') AS file,
  CASE WHEN p_partkey % 2 = 0 THEN 'core-test' ELSE 'core' END AS module, CASE WHEN p_partkey % 3 = 0 THEN 'test-code' ELSE 'main-code' END AS kind,
  concat(CASE WHEN p_partkey % 2 = 0 THEN '#test-module ' ELSE '' END, CASE WHEN p_partkey % 3 = 0 THEN '#test-code' ELSE '#main-code' END) AS artifact FROM {part}""")

@@ -482,9 +482,3 @@ def method_tags(t):
 def steps_at_markers(t):
     steps = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("double").alias("x"), F.col("o_custkey").cast("double").alias("y"))
     return revisions.value_at_marker(steps, t.nation.select((F.col("n_nationkey") * 100).cast("double").alias("marker")), "x", "y")
-
-
-@query("first_of_sample", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys FROM (SELECT o_orderkey FROM {orders} LIMIT 50) o")
-def first_of_sample(t):
-    picked = sampling.seeded_sample(t.orders.select("o_orderkey"), ["o_orderkey"], 50, 7)
-    return picked.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("keys"))

@@ -80,6 +80,12 @@ def store_upserts(t):
     return store.upsert_requests(old, asked, "t1", overwrite=True).select("url", "prompt", "error", "created_at")
 
 
+@query("pending_orders", "SELECT o_orderkey AS url FROM {orders} WHERE o_orderstatus <> 'F'")
+def pending_orders(t):
+    known = t.orders.select(F.col("o_orderkey").alias("url"), F.when(F.col("o_orderstatus") == "F", "").otherwise("late").alias("error"))
+    return store.pending(t.orders.select(F.col("o_orderkey").alias("url")), known, "error")
+
+
 @query("pending_cases", "SELECT DISTINCT user_id AS url FROM {events} WHERE user_id % 2 = 1 OR user_id % 4 = 0")
 def pending_cases(t):
     users = t.events.select(F.col("user_id").alias("url")).distinct()
@@ -106,13 +112,6 @@ def appended_rows(t):
     return ingest.appended(rows.where("event_type = 'click'"), rows.where("event_type <> 'click'")).select("file", "event_id")
 
 
-@query("missing_methods", None)
-def missing_methods(t):
-    required = t.sql(METHODS).select("project", "url").distinct().withColumn("required", F.lit(12))
-    existing = required.where(F.substring("url", -1, 1) == "0").select("project", "url")
-    return sampling.missing_methods(required, existing, existing.limit(0), 5)
-
-
 @query("union_of_tops", f"WITH u AS (SELECT u.*, CASE WHEN loc < 30 THEN 'Small' WHEN loc <= 60 THEN 'Medium' ELSE 'Large' END AS g FROM {UNIQUE} u JOIN ({LOCS}) l USING (from_url) WHERE rg_all IN ('HTR', 'NTR')), s AS (SELECT g, count(*) FILTER (WHERE rg_all = 'HTR') AS f, count(*) FILTER (WHERE rg_all = 'NTR') AS b FROM u GROUP BY 1), k AS (SELECT g, rg_all, unnest(string_split(smells, ' ')) AS smell FROM u WHERE smells <> ''),\n d AS (SELECT k.g, smell, round_even(CASE WHEN any_value(f) > 0 THEN round_even(count(*) FILTER (WHERE rg_all = 'HTR') / any_value(f)::DOUBLE * 100.0::DOUBLE, 2) ELSE 0 END - CASE WHEN any_value(b) > 0 THEN round_even(count(*) FILTER (WHERE rg_all = 'NTR') / any_value(b)::DOUBLE * 100.0::DOUBLE, 2) ELSE 0 END, 2) AS difference FROM k JOIN s USING (g) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY difference DESC, smell) AS rk FROM d)\n SELECT smell, CAST(min(rk) AS INTEGER) AS rank, max(difference) AS difference FROM r WHERE rk <= 2 GROUP BY 1")
 def union_of_tops(t):
     unique = smells.unique_methods(t.sql(TESTS), "rg_all", smells.GROUPS).where(F.col("rg_all").isin("HTR", "NTR"))

@@ -199,12 +199,6 @@ def stored_results(t):
     return store.upsert_results(asked, results, "t2").select("url", "output_raw", "error", "updated_at")
 
 
-@query("pending_cases", "SELECT o_orderkey AS url FROM {orders} WHERE o_orderstatus <> 'F'")
-def pending_cases(t):
-    known = t.orders.select(F.col("o_orderkey").alias("url"), F.when(F.col("o_orderstatus") == "F", "").otherwise("late").alias("error"))
-    return store.pending(t.orders.select(F.col("o_orderkey").alias("url")), known, "error")
-
-
 @query("migrated_rows", "SELECT DISTINCT l_suppkey AS k, l_returnflag AS v FROM {lineitem} UNION SELECT s_suppkey, NULL FROM {supplier}")
 def migrated_rows(t):
     return store.migrate_cache(t.lineitem.select(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("v")), t.supplier.select(F.col("s_suppkey").alias("k")))
@@ -229,13 +223,6 @@ def repaired_members(t):
     return history.repaired_members(rows).select("archive", "member")
 
 
-@query("reused_samples", "SELECT count(*) FILTER (WHERE o_orderstatus = 'P') AS reused, CAST(greatest(200, count(*) FILTER (WHERE o_orderstatus = 'P')) AS BIGINT) AS n, CAST(greatest(200, count(*) FILTER (WHERE o_orderstatus = 'P')) AS BIGINT) AS keys FROM {orders}")
-def reused_samples(t):
-    rows = t.orders.select(F.col("o_orderkey").alias("from_url"))
-    out = sampling.sample_with_reuse(rows, t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("from_url")), 200, 5)
-    return out.agg(F.count_if("reused").alias("reused"), F.count(F.lit(1)).alias("n"), F.count_distinct("from_url").alias("keys"))
-
-
 @query("method_selection", f"SELECT project, url, _ord FROM ({METHODS}) m WHERE url IN (SELECT concat('m', CAST(l_partkey % 400 AS VARCHAR)) FROM {{lineitem}} WHERE l_returnflag = 'R')")
 def method_selection(t):
     wanted = t.lineitem.where("l_returnflag = 'R'").select(F.concat(F.lit("m"), (F.col("l_partkey") % 400).cast("string")).alias("url"))

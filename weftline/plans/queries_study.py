@@ -345,15 +345,20 @@ def cohen_kappa(t):
     return agreement.cohen_kappa(rows, "quality", "toxic", ["grp"]).withColumn("kappa", F.round("kappa", 9))
 
 
-@query("agreement_summary", """WITH c AS (SELECT concat('p', CAST(coalesce(a.k, b.k) % 3 AS VARCHAR)) AS project, a.v AS l, b.v AS r, a.k AS ak, b.k AS bk FROM (SELECT doc_id AS k, quality AS v FROM {labels} WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT doc_id AS k, toxic AS v FROM {labels} WHERE doc_id % 4 <> 0) b ON a.k = b.k),
- s AS (SELECT coalesce(project, 'total') AS project, count(*) FILTER (WHERE ak IS NOT NULL AND bk IS NOT NULL) AS both, count(*) FILTER (WHERE bk IS NULL) AS only_left, count(*) FILTER (WHERE ak IS NULL) AS only_right, count(*) FILTER (WHERE l IS NOT NULL AND r IS NOT NULL) AS labelled, count(*) FILTER (WHERE l = r) AS agreed FROM c GROUP BY GROUPING SETS ((project), ()))
- SELECT *, CASE WHEN labelled > 0 THEN round_even(agreed / labelled::DOUBLE * 100.0::DOUBLE, 2) ELSE 0.0 END AS agreement FROM s""")
+@query("agreement_summary", """WITH p AS (SELECT doc_id, quality, toxic, quality IS NOT NULL AND (quality = 1 OR toxic = 0) AS a, toxic IS NOT NULL AND (toxic = 1 OR quality = 1) AS b FROM {labels}),
+ c AS (SELECT concat('p', CAST(doc_id % 3 AS VARCHAR)) AS project, CASE WHEN a THEN quality END AS l, CASE WHEN b THEN toxic END AS r, a, b FROM p WHERE a OR b),
+ s AS (SELECT coalesce(project, 'total') AS project, count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE NOT b) AS only_left, count(*) FILTER (WHERE NOT a) AS only_right, count(*) FILTER (WHERE l IS NOT NULL AND r IS NOT NULL) AS labelled, count(*) FILTER (WHERE l = r) AS agreed,
+   count(*) FILTER (WHERE r IS NOT NULL AND l = 1)::DOUBLE AS l1, count(*) FILTER (WHERE l IS NOT NULL AND r = 1)::DOUBLE AS r1 FROM c GROUP BY GROUPING SETS ((project), ())),
+ k AS (SELECT *, agreed / labelled::DOUBLE AS observed, l1 / labelled * (r1 / labelled) + (labelled - l1) / labelled * ((labelled - r1) / labelled) AS expected FROM s)
+ SELECT project, "both", only_left, only_right, labelled, agreed, CASE WHEN labelled > 0 THEN round_even(agreed / labelled::DOUBLE * 100.0::DOUBLE, 2) ELSE 0.0 END AS agreement,
+   round(CASE WHEN labelled > 0 THEN CASE WHEN expected = 1 THEN CASE WHEN observed = 1 THEN 1.0 END ELSE (observed - expected) / (1 - expected) END END, 9) AS kappa FROM k""")
 def agreement_summary(t):
+    """Two raters: one calls a document good or harmless, the other toxic or good; each leaves some out."""
     key = F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string")).alias("project")
     ends = [F.col("doc_id").cast("string").alias("from_url"), F.lit("x").alias("to_url")]
-    a = t.labels.where("doc_id % 3 <> 0").select(key, *ends, F.col("quality").alias("label"))
-    b = t.labels.where("doc_id % 4 <> 0").select(key, *ends, F.col("toxic").alias("label"))
-    return agreement.agreement_summary(agreement.compare_labels(a, b)).drop("kappa")
+    a = t.labels.where("quality IS NOT NULL AND (quality = 1 OR toxic = 0)").select(key, *ends, F.col("quality").alias("label"))
+    b = t.labels.where("toxic IS NOT NULL AND (toxic = 1 OR quality = 1)").select(key, *ends, F.col("toxic").alias("label"))
+    return agreement.agreement_summary(agreement.compare_labels(a, b)).withColumn("kappa", F.round("kappa", 9))
 
 
 @query("truth_statistics", f"""WITH r AS (SELECT project, from_url, to_url, _ord % 2 = 0 AND _ord % 5 <> 0 AS ok, score > 0.05 AS hit FROM ({EDGES}) e), t AS (SELECT project, from_url, count(DISTINCT to_url) FILTER (WHERE ok) AS n, count(DISTINCT to_url) FILTER (WHERE ok AND hit) AS pos FROM r GROUP BY 1, 2)
@@ -436,12 +441,6 @@ def call_targets(t):
     return graph.best_call_target(c).select("call_id", "l_partkey")
 
 
-@query("sampled_flags", None)
-def sampled_flags(t):
-    picked = sampling.seeded_sample(t.customer.select("c_custkey"), ["c_custkey"], 20, 3)
-    return sampling.sampled_flags(t.customer.select("c_custkey"), picked, ["c_custkey"])
-
-
 @query("attach_smells", f"SELECT DISTINCT from_url, coalesce(s.smells, '') AS smells FROM ({EDGES}) e LEFT JOIN (SELECT url AS from_url, coalesce(string_agg(DISTINCT nullif(trim(smell), ''), ' ' ORDER BY nullif(trim(smell), '')), '') AS smells FROM ({SMELLS}) s GROUP BY 1) s USING (from_url)")
 def attach_smells(t):
     return smells.attach_smells(t.sql(EDGES).select("from_url").distinct(), t.sql(SMELLS))

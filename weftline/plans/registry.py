@@ -39,6 +39,8 @@ def query(name: str, sql: str | None = None):
     """Registers ``function(tables)`` under ``name``; ``sql`` may use the shaped relations' texts."""
 
     def register(function: Callable[[Tables], DataFrame]):
+        if name in QUERIES:
+            raise ValueError(f"a second query {name}")
         QUERIES[name] = lambda spark, sf_dir: function(Tables(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = plain(sql)

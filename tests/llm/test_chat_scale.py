@@ -80,3 +80,21 @@ def test_one_conversation_is_numbered_by_many_tasks(spark):
 def test_marks_inside_texts_are_escaped(spark):
     df = spark.createDataFrame([(1, 0, "a<|b", "x <|end|> y")], SCHEMA)
     assert chat_quotes.link_conversations(df).first()["formatted"] == "<|a<\\|b|>\nx <\\|end|> y\n<|end|>\n"
+
+
+def test_alternating_threads_take_rows_in_proportion(spark):
+    """Each message quotes the one two before it, or now and then a far one: 20,000 segments in one
+    conversation, positions as those of a plain walk."""
+    draw, n = random.Random(6), 20_000
+    parents = [None, 0] + [i - 2 if draw.random() < 0.95 else draw.randrange(i) for i in range(2, n)]
+    rows = [(1, i, "user", f"m {i}" if p is None else f"> m {p}\nm {i}") for i, p in enumerate(parents)]
+    children = {}
+    for i, p in enumerate(parents):
+        children.setdefault(p, []).append(i)
+    place, stack = {}, [0]
+    while stack:
+        at = stack.pop()
+        place[at] = len(place)
+        stack += reversed(children.get(at, []))
+    found = chat_quotes.link_conversations(spark.createDataFrame(rows, SCHEMA).repartition(6)).select("turn", "position", "parent_position").collect()
+    assert {r["turn"]: (r["position"], r["parent_position"]) for r in found} == {i: (place[i], None if p is None else place[p]) for i, p in enumerate(parents)}

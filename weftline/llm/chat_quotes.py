@@ -12,9 +12,11 @@ before it.
 Messages come back without quotes, in reply order: a depth-first walk of the reply tree, replies
 in order of their turns.  The walk needs no per-conversation list.  Messages that reply to the one
 before them form segments; a walk passes a whole segment before the branches that leave it, and
-takes later branching points first.  So a message's place is given by its segment's path, a list of
-(branching point, first message) pairs as long as quotes branch from branches, and its turn.  Paths
-grow by pointer doubling over the few segments that a quote starts.
+takes later branching points first.  So a message's place is that of its segment and its own within
+it.  The walk over segments is a linked list of entries and exits (two rows a segment), whose places
+are found by list ranking: each round every element takes over the sum and the successor of its
+successor, so rounds grow with the logarithm of the segments and rows with their number, whatever
+the shape of the tree.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import saved
+from weftline.llm.common import discard, saved, scratch_path
 
 PREFIX = r"^(?:[ \t]*>)+[ \t]?"
 PARAGRAPH = r"\n\s*\n"
@@ -186,30 +188,52 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     )
 
 
-def segment_paths(branches: DataFrame) -> DataFrame:
-    """path for every segment that a quote starts, from conv_id, segment, parent_at, parent_segment.
+def segment_places(segments: DataFrame) -> DataFrame:
+    """(conv_id, segment, base): how many messages a walk passes before each segment.
 
-    A path lists (-parent_at, segment) from the outermost branch down.  Each round joins a segment
-    to the segment its path hangs from and takes over that path: lengths double.
+    ``segments``: conv_id, segment (0 is the root of a conversation), parent_at, parent_segment (null
+    for the root) and size (messages).
     """
-    step = F.array(F.struct((-F.col("parent_at")).alias("back"), F.col("segment").alias("start")))
-    paths = saved(branches.select("conv_id", "segment", F.col("parent_segment").alias("hangs_from"), step.alias("path")), "paths")
-    while True:
-        upper = paths.select(
-            F.col("conv_id").alias("c"), F.col("segment").alias("s"), F.col("hangs_from").alias("h"), F.col("path").alias("p")
-        )
-        joined = paths.join(upper, paths["conv_id"].eqNullSafe(upper["c"]) & (paths["hangs_from"] == upper["s"]), "left")
-        if joined.where("s IS NOT NULL").isEmpty():
-            return paths.drop("hangs_from")
-        paths = saved(
-            joined.select(
-                "conv_id",
-                "segment",
-                F.when(F.col("s").isNull(), F.col("hangs_from")).otherwise(F.col("h")).alias("hangs_from"),
-                F.when(F.col("s").isNull(), F.col("path")).otherwise(F.concat("p", "path")).alias("path"),
-            ),
-            "paths",
+    children = segments.where("parent_segment IS NOT NULL")
+    order = [F.col("parent_segment").asc(), F.col("parent_at").desc(), F.col("segment").asc()]
+    siblings = saved(numbered(children, order, "nth").select("conv_id", "segment", "parent_segment", "nth"), "siblings")
+    firsts = siblings.groupBy(F.col("conv_id").alias("c"), F.col("parent_segment").alias("p")).agg(F.min_by("segment", "nth").alias("child"))
+    after = siblings.select(
+        F.col("conv_id").alias("c"), F.col("parent_segment").alias("p"), (F.col("nth") - 1).alias("n"), F.col("segment").alias("sibling")
+    )
+    # Element 2s enters segment s, 2s + 1 leaves it.
+    enters = segments.join(firsts, segments["conv_id"].eqNullSafe(firsts["c"]) & (segments["segment"] == firsts["p"]), "left").select(
+        "conv_id", (2 * F.col("segment")).alias("element"),
+        F.coalesce(2 * F.col("child"), 2 * F.col("segment") + 1).alias("next"), F.col("size").alias("sum"),
+    )
+    same = siblings["conv_id"].eqNullSafe(after["c"]) & (siblings["parent_segment"] == after["p"]) & (siblings["nth"] == after["n"])
+    leaves = siblings.join(after, same, "left").select(
+        "conv_id", (2 * F.col("segment") + 1).alias("element"),
+        F.coalesce(2 * F.col("sibling"), 2 * F.col("parent_segment") + 1).alias("next"), F.lit(0).cast("long").alias("sum"),
+    )
+    ends = segments.where("parent_segment IS NULL").select(
+        "conv_id", (2 * F.col("segment") + 1).alias("element"), F.lit(None).cast("long").alias("next"), F.lit(0).cast("long").alias("sum")
+    )
+    spark = segments.sparkSession
+    path = scratch_path(spark, "tour")
+    tour = saved(enters.unionByName(leaves).unionByName(ends), "tour", path)
+    while not tour.where("next IS NOT NULL").isEmpty():
+        ahead = tour.select(
+            F.col("conv_id").alias("c"), F.col("element").alias("e"), F.col("next").alias("further"), F.col("sum").alias("more")
         )
+        joined = tour.join(ahead, tour["conv_id"].eqNullSafe(ahead["c"]) & (tour["next"] == ahead["e"]), "left")
+        before, path = path, scratch_path(spark, "tour")
+        tour = saved(
+            joined.select("conv_id", "element", F.col("further").alias("next"), (F.col("sum") + F.coalesce("more", F.lit(0))).alias("sum")),
+            "tour", path,
+        )
+        discard(spark, before)
+    # What follows an entry, itself included, is known; the rest of the conversation comes before it.
+    totals = tour.where("element = 0").select(F.col("conv_id").alias("c"), F.col("sum").alias("total"))
+    entered = tour.where("element % 2 = 0")
+    return entered.join(totals, entered["conv_id"].eqNullSafe(totals["c"])).select(
+        "conv_id", F.expr("element div 2").alias("segment"), (F.col("total") - F.col("sum")).alias("base")
+    )
 
 
 def link_conversations(
@@ -255,12 +279,16 @@ def link_conversations(
     starts = tree.where("segment = at AND at > 0").select("conv_id", "segment", "parent_at")
     of = tree.select(F.col("conv_id").alias("c"), F.col("at").alias("a"), F.col("segment").alias("parent_segment"))
     branches = starts.join(of, starts["conv_id"].eqNullSafe(of["c"]) & (starts["parent_at"] == of["a"])).drop("c", "a")
-    paths = segment_paths(branches).withColumnsRenamed({"conv_id": "c", "segment": "s"})
-    ordered = tree.join(paths, tree["conv_id"].eqNullSafe(paths["c"]) & (tree["segment"] == paths["s"]), "left").drop("c", "s")
-    ordered = ordered.withColumn(
-        "path", F.coalesce("path", F.expr("CAST(array() AS array<struct<back:bigint,start:bigint>>)"))
-    )
-    walked = saved(numbered(saved(ordered, "paths"), [F.col("path").asc(), F.col("at").asc()], "position").drop("path"), "walk")
+    branches = saved(branches, "branches")
+    # Conversations with a branch; the others are walked in the order of their turns.
+    branched = branches.select(F.col("conv_id").alias("c")).distinct()
+    sizes = tree.join(branched, tree["conv_id"].eqNullSafe(branched["c"]), "left_semi").groupBy("conv_id", "segment").agg(F.count(F.lit(1)).alias("size"))
+    own = branches.select(F.col("conv_id").alias("c"), F.col("segment").alias("s"), "parent_at", "parent_segment")
+    segments = sizes.join(own, sizes["conv_id"].eqNullSafe(own["c"]) & (sizes["segment"] == own["s"]), "left").drop("c", "s")
+    places = segment_places(saved(segments, "segments")).withColumnsRenamed({"conv_id": "c", "segment": "s"})
+    based = tree.join(places, tree["conv_id"].eqNullSafe(places["c"]) & (tree["segment"] == places["s"]), "left").drop("c", "s")
+    position = F.coalesce("base", F.lit(0).cast("long")) + F.col("at") - F.col("segment")
+    walked = saved(based.withColumn("position", F.when(F.col("base").isNull(), F.col("at")).otherwise(position)).drop("base", "segment"), "walk")
     parents = walked.select(F.col("conv_id").alias("c"), F.col("at").alias("a"), F.col("position").alias("parent_position"))
     found = walked.join(parents, walked["conv_id"].eqNullSafe(parents["c"]) & (walked["parent_at"] == parents["a"]), "left")
     found = found.drop("c", "a")

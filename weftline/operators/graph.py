@@ -31,8 +31,9 @@ def expand_calls(edges: DataFrame, methods: DataFrame, depth: int = MAX_DEPTH) -
 
     A call between test code is followed from its target; main code is not followed further. Of a
     start edge every target is reached once, at its least depth (ties: the first edge in file order).
-    Each level is one join on the frontier's target, so a chain never has more rows than start edges
-    times reached targets.
+    What is reached depends on the start's target alone, so each distinct target is expanded once,
+    one join a level on the frontier, and its start edges come in at the end: a helper that all
+    tests call costs as much as one that a single test calls.
     """
     known = methods.select("url", tags.split_tags(F.col("artifact")).alias("tags")).dropDuplicates(["url"])
     test, main = F.array_contains("tags", "test-code"), F.array_contains("tags", "main-code")
@@ -46,9 +47,10 @@ def expand_calls(edges: DataFrame, methods: DataFrame, depth: int = MAX_DEPTH) -
     sides = edges.join(flags.select(F.col("url").alias("from_url"), F.col("is_test").alias("__a")), "from_url", "left").join(
         flags.select(F.col("url").alias("to_url"), F.col("is_test").alias("__b"), F.col("is_main").alias("__main")), "to_url", "left"
     )
-    starts = sides.where("__a AND __b").select(
-        F.col(ORD).alias("__start"), F.col("to_url").alias("__at"), F.coalesce("__main", F.lit(False)).alias("__main")
+    begun = sides.where("__a AND __b").select(
+        F.col(ORD).alias("__edge_from"), F.col("to_url").alias("__start"), F.coalesce("__main", F.lit(False)).alias("__main")
     )
+    starts = begun.select("__start", F.col("__start").alias("__at"), "__main").distinct()
     steps = edges.join(flags.select(F.col("url").alias("to_url"), F.col("is_main").alias("__next_main")), "to_url", "left").select(
         F.col("from_url").alias("__at"),
         F.col("to_url").alias("__next"),
@@ -73,13 +75,14 @@ def expand_calls(edges: DataFrame, methods: DataFrame, depth: int = MAX_DEPTH) -
         frontier = hops.where("NOT __next_main").select("__start", F.col("__next").alias("__at"))
     if not found:
         return direct.drop(ORD).dropDuplicates()
-    hits = union_all(found)
-    left = edges.select(F.col(ORD).alias("__start"), *[c for c in edges.columns if c not in (*target_side, ORD)])
+    # Start edges by target: a hub's edges meet its hits here, which is the size of the result.
+    hits = union_all(found).join(begun.select("__start", "__edge_from"), "__start").drop("__start")
+    left = edges.select(F.col(ORD).alias("__edge_from"), *[c for c in edges.columns if c not in (*target_side, ORD)])
     right = edges.select(F.col(ORD).alias("__edge"), F.col("from_url").alias("__caller"), *[c for c in target_side if c != "to_caller_url"])
     further = (
-        hits.join(left, "__start").join(right, "__edge")
+        hits.join(left, "__edge_from").join(right, "__edge")
         .withColumnsRenamed({"__depth": "to_call_depth_", "__caller": "to_caller_url"})
-        .drop("__start", "__edge", "to_call_depth").withColumnRenamed("to_call_depth_", "to_call_depth")
+        .drop("__edge_from", "__edge", "to_call_depth").withColumnRenamed("to_call_depth_", "to_call_depth")
     )
     return union_all([direct.drop(ORD), further]).dropDuplicates()
 
@@ -141,23 +144,24 @@ def degrees(edges: DataFrame, methods: DataFrame, source: str = "from_url", targ
 def closure(pairs: DataFrame, child: str = "child", parent: str = "parent", most: int | None = None) -> DataFrame:
     """(child, ancestor, level): all ancestors at their least distance; cycles end by themselves.
 
-    Levels go on until one finds no new pair, or up to ``most`` where it is given.
+    Distances double: once all pairs up to a distance h are known, a pair up to 2h apart is one of
+    exactly h and one of the rest. So rounds grow with the logarithm of the depth, and each new
+    pair comes from its midpoints only. ``most`` bounds the level where it is given.
     """
-    found = pairs.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).distinct().withColumn("level", F.lit(1))
-    found = found.where("child <> ancestor")
-    up = found.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("next"))
-    last, level = found, 1
-    while most is None or level < most:
-        level += 1
-        fresh = last.join(up, "ancestor").select("child", F.col("next").alias("ancestor")).distinct().where("child <> ancestor")
-        fresh = fresh.join(found, ["child", "ancestor"], "left_anti").withColumn("level", F.lit(level))
-        fresh = cut_lineage(fresh)
-        if fresh.isEmpty():
+    first = pairs.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).distinct().where("child <> ancestor")
+    found = cut_lineage(first.withColumn("level", F.lit(1)))
+    half = 1
+    while most is None or half < most:
+        apart = found.where(F.col("level") == half).select("child", F.col("ancestor").alias("middle"))
+        if apart.isEmpty():
             break
-        found, last = found.unionByName(fresh), fresh
-        # Keeps the union of levels short however deep the graph is.
-        if level % 16 == 0:
-            found = cut_lineage(found)
+        rest = found.select(F.col("child").alias("middle"), "ancestor", "level")
+        fresh = apart.join(rest, "middle").where("child <> ancestor").groupBy("child", "ancestor").agg((F.min("level") + half).alias("level"))
+        fresh = fresh.join(found.select("child", "ancestor"), ["child", "ancestor"], "left_anti")
+        if most is not None:
+            fresh = fresh.where(F.col("level") <= most)
+        found = cut_lineage(found.unionByName(fresh))
+        half *= 2
     return found
 
 

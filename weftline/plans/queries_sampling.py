@@ -1,4 +1,4 @@
-"""Registered queries: regenerated ground truth, apportionment, samples for review, seeded draws."""
+"""Registered queries: regenerated ground truth, apportionment, samples for review, seeded draws, histories as JSON."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weftline.operators import apportion, constraints, regeneration, sampling
 from weftline.plans.registry import query
 from weftline.plans.relations import EDGES, METHODS, PAIRS
+from weftline.sources import history
 
 #: Methods on both sides of the call edges; tests are test cases, some of them slow, and helpers.
 SIDES = f"""SELECT DISTINCT project, from_url AS url, upper(from_name) AS name,
@@ -149,3 +150,31 @@ def reused_samples(t):
 @query("first_of_sample", "SELECT o_orderkey FROM {orders} ORDER BY md5(concat('7|', o_orderkey)), o_orderkey LIMIT 50")
 def first_of_sample(t):
     return sampling.seeded_sample(t.orders.select("o_orderkey"), ["o_orderkey"], 50, 7)
+
+
+# ---- histories ------------------------------------------------------------------------------
+
+#: Histories of orders: their lines are commits, in one of the four layouts, some with fields of their own.
+HISTORIES = """SELECT o_orderkey AS member, concat('{{"sourceFilePath":"f', CAST(o_custkey AS STRING), '",', CASE o_orderkey % 5
+  WHEN 0 THEN concat('"changeHistory":[', n, '],"changeHistoryDetails":{{', d, '}}') WHEN 1 THEN concat('"changeHistory":[],"commitDetails":[', l, ',{{"commitName":" "}}]')
+  WHEN 2 THEN concat('"changeHistoryDetails":{{', d, '}}') WHEN 3 THEN concat('"commits":[', h, '],"commitDetails":[]') ELSE '"commits":[]' END, '}}') AS json
+FROM {orders} JOIN (SELECT l_orderkey, array_join(array_sort(collect_list(concat('"', c, '"'))), ',') AS n,
+   array_join(reverse(array_sort(collect_list(concat('"', c, '":{{"commitAuthor":"', CAST(l_suppkey AS STRING), '","odd":{{"tax":"', CAST(l_tax AS STRING), '"}}}}')))), ',') AS d,
+   array_join(array_sort(collect_list(concat('{{"commitName":"', c, '","commitAuthor":"', l_returnflag, '"}}'))), ',') AS l, array_join(array_sort(collect_list(concat('{{"commitHash":"', c, ' "}}'))), ',') AS h
+   FROM (SELECT *, substr(md5(concat(CAST(l_orderkey AS STRING), '/', CAST(l_linenumber AS STRING), '/', CAST(l_partkey AS STRING), '/', CAST(l_suppkey AS STRING), '/', CAST(l_extendedprice AS STRING))), 1, 12) AS c FROM {lineitem}) x GROUP BY l_orderkey) y ON o_orderkey = l_orderkey"""
+#: The same text in the other engine's functions.
+_TEXTS = HISTORIES.replace("array_join(", "array_to_string(").replace("reverse(", "list_reverse(").replace("array_sort(", "list_sort(").replace("collect_list(", "list(")
+_ENTRIES = f"""WITH m AS (SELECT member, json FROM ({_TEXTS}) t), k AS (SELECT *, json_extract(json, '$.changeHistoryDetails') AS d FROM m),
+ o AS (SELECT *, CASE WHEN json_array_length(json, '$.changeHistory') > 0 THEN 'changeHistory' WHEN json_array_length(json, '$.commitDetails') > 0 THEN 'commitDetails' WHEN d IS NOT NULL THEN 'changeHistoryDetails' WHEN json_array_length(json, '$.commits') > 0 THEN 'commits' END AS source FROM k),
+ n AS (SELECT *, CASE source WHEN 'changeHistory' THEN json_extract_string(json, '$.changeHistory[*]') WHEN 'commitDetails' THEN json_extract_string(json, '$.commitDetails[*].commitName') WHEN 'changeHistoryDetails' THEN json_keys(d) ELSE json_extract_string(json, '$.commits[*].commitHash') END AS names FROM o WHERE source IS NOT NULL),
+ e AS (SELECT member, json, source, d, unnest(list_filter(list_transform(names, lambda x: trim(x)), lambda x: x <> '')) AS commit, unnest(range(len(list_filter(names, lambda x: trim(x) <> '')))) AS place FROM n)
+ SELECT member, source, CAST(place AS INTEGER) AS place, commit, coalesce(json_extract_string(d, concat('$."', commit, '".commitAuthor')), json_extract_string(json, '$.commitDetails[*].commitAuthor')[list_position(json_extract_string(json, '$.commitDetails[*].commitName'), commit)]) AS author,
+   json_extract_string(d, concat('$."', commit, '".odd.tax')) AS odd, json_extract_string(json, '$.sourceFilePath') AS path FROM e"""
+
+
+@query("history_entries", _ENTRIES)
+def history_entries(t):
+    """The order of commits from each of its four sources; a field that no schema knows."""
+    entries = history.history_entries(t.sql(HISTORIES).withColumn("status", F.lit("ok")))
+    odd = F.try_variant_get("detail", "$.odd.tax", "string").alias("odd")
+    return entries.select("member", "source", "place", "commit", "author", odd, "path")

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import json
-import tarfile
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text
 from weftline.functions.dates import parse_commit_date
+from weftline.sources.archives import read_archives  # noqa: F401
 
 ORACLE = (
     "repositoryName string, repositoryUrl string, startCommitHash string, file string, url string, language string, "
@@ -30,44 +26,6 @@ HISTORY = (
 )
 
 
-def archive_members(data: bytes):
-    """(name, status, json) of an archive's JSON members; a broken archive ends with one row."""
-    try:
-        with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz") as archive:
-            for member in archive:
-                if not (member.isfile() and member.name.endswith(".json")):
-                    continue
-                body = archive.extractfile(member).read().decode("utf-8", "replace")
-                if not body.strip():
-                    yield member.name, "blank", None
-                    continue
-                try:
-                    json.loads(body)
-                except ValueError:
-                    yield member.name, "invalid", None
-                else:
-                    yield member.name, "ok", body
-    except (tarfile.TarError, EOFError, OSError):
-        yield None, "unreadable", None
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """archive, project, tool, member, status, json of all ``*.tar.gz`` below ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tar.gz").load(path)
-
-    def run(batches):
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [(name, *m) for m in archive_members(data)]
-                columns = list(zip(*rows)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["archive", "member", "status", "json"])
-
-    rows = files.select("path", "content").mapInArrow(run, "archive string, member string, status string, json string")
-    stem = F.regexp_replace(F.substring_index("archive", "/", -1), r"\.tar\.gz$", "")
-    tool = F.element_at(F.split("archive", "/"), -2)
-    return rows.withColumns({"project": stem, "tool": tool})
-
-
 def archive_counts(members: DataFrame) -> DataFrame:
     return members.groupBy("project", "tool").agg(
         *[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "blank", "invalid", "unreadable")]
@@ -110,6 +68,55 @@ def commit_rows(histories: DataFrame) -> DataFrame:
     )
 
 
+#: Where the order of commits can come from, in order of precedence.
+ORDERS = ("changeHistory", "commitDetails", "changeHistoryDetails", "commits")
+
+
+def _names(v: Column, list_field: str, name_field: str) -> Column:
+    """The names that the objects of a list have, blank and missing ones left out."""
+    items = F.try_variant_get(v, f"$.{list_field}", "array<variant>")
+    names = F.transform(items, lambda x: F.trim(F.coalesce(F.try_variant_get(x, f"$.{name_field}", "string"), F.lit(""))))
+    return F.filter(names, lambda n: n != "")
+
+
+def history_entries(members: DataFrame) -> DataFrame:
+    """One row a commit of any kind of history: place, commit, short_hash, source, detail, date, author, type, path.
+
+    The order is that of the first of ORDERS that is there and not empty (source).  A commit's
+    detail is that of changeHistoryDetails, else of commitDetails; it stays a VARIANT, so fields
+    that no schema knows survive.  A VARIANT sorts the keys of an object, so the order of
+    changeHistoryDetails is read from the text.  A history without any order has no row, nor has
+    one whose text repeats a key of an object, which is no VARIANT.
+    """
+    rows = members.where("status = 'ok'").withColumn("__v", F.try_parse_json("json")).where("__v IS NOT NULL")
+    v = F.col("__v")
+    details = F.from_json(F.get_json_object("json", "$.changeHistoryDetails"), "map<string,string>")
+    listed = F.try_variant_get(v, "$.commitDetails", "array<variant>")
+    kinds = [
+        F.try_variant_get(v, "$.changeHistory", "array<string>"), _names(v, "commitDetails", "commitName"),
+        F.map_keys(details), _names(v, "commits", "commitHash"),
+    ]
+    there = [
+        F.coalesce(F.size(kinds[0]), F.lit(0)) > 0, F.coalesce(F.size(listed), F.lit(0)) > 0, F.coalesce(F.size(kinds[2]), F.lit(0)) > 0,
+        F.coalesce(F.size(F.try_variant_get(v, "$.commits", "array<variant>")), F.lit(0)) > 0,
+    ]
+    order, source = F.when(there[0], kinds[0]), F.when(there[0], ORDERS[0])
+    for name, found, kind in list(zip(ORDERS, there, kinds))[1:]:
+        order, source = order.when(found, kind), source.when(found, name)
+    keep = [c for c in members.columns if c != "json"]
+    first = F.filter(listed, lambda x: F.trim(F.try_variant_get(x, "$.commitName", "string")) == F.col("commit"))
+    rows = rows.select(*keep, "__v", details.alias("__details"), source.alias("source"), F.posexplode(order).alias("place", "commit"))
+    detail = F.coalesce(F.try_parse_json(F.element_at("__details", F.col("commit"))), F.get(first, 0))
+    rows = rows.withColumn("detail", detail)
+    of = lambda name: F.try_variant_get("detail", f"$.{name}", "string")
+    return rows.select(
+        *keep, "source", "place", "commit", F.substring("commit", 1, 6).alias("short_hash"), of("commitAuthor").alias("author"),
+        F.coalesce(of("type"), F.try_variant_get(v, "$.changeHistoryShort", "map<string,string>")[F.col("commit")]).alias("type"),
+        parse_commit_date(of("commitDate")).alias("ts"), F.coalesce(of("path"), F.try_variant_get(v, "$.sourceFilePath", "string"), F.lit("")).alias("path"),
+        "detail",
+    )
+
+
 def read_oracles(spark: SparkSession, path: str) -> DataFrame:
     """Oracle files with their path, ordered by it."""
     rows = spark.read.schema(ORACLE).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)

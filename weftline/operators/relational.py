@@ -141,6 +141,23 @@ def renumbered(df: DataFrame, sort: Sequence[Column], name: str) -> DataFrame:
     return joined.withColumn(name, F.col("__base") + F.col("__row") - F.col("__first")).drop("__row", "__part", "__first", "__base")
 
 
+def running_total(df: DataFrame, sort: Sequence[Column], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` up to each row in the order of ``sort``, by ranges.
+
+    As ``renumbered``: what each partition holds is summed up, one row a partition, and the sums
+    before it are added.
+    """
+    placed = cut_lineage(
+        df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("__row", F.monotonically_increasing_id())
+    ).withColumn("__part", F.shiftright("__row", 33))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("__part").agg(F.sum(value).alias("__sum"))
+    sums = sums.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("__part").orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn("__within", F.sum(value).over(within)).join(F.broadcast(sums), "__part")
+    return summed.withColumn(name, F.col("__base") + F.col("__within")).drop("__row", "__part", "__within", "__base")
+
+
 def signature_urls(df: DataFrame, methods: DataFrame, signature: str, url: str) -> DataFrame:
     """Fills blank URLs where exactly one method has the signature."""
     single = methods.groupBy(F.col("fqs").alias(signature)).agg(F.min("url").alias("__url"), F.count(F.lit(1)).alias("__n"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import statistics, tags, text
 from weftline.operators.filters import CHANGE_TYPES
+from weftline.operators.relational import renumbered, running_total
 from weftline.session import cut_lineage
 
 LEAST_ROWS = 30
@@ -180,14 +181,30 @@ def deltas(pairs: DataFrame, change: str, keep: Sequence[str] = ("project",)) ->
     return pairs.select(*keep, delta.cast("long").alias("delta")).where("delta IS NOT NULL")
 
 
-def dense_cdf(df: DataFrame, value: str) -> DataFrame:
-    """(value, cdf) for every integer from the least to the greatest value."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    ends = counts.agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
-    domain = ends.where("__low IS NOT NULL").select(F.explode(F.sequence("__low", "__high")).alias(value))
-    filled = domain.join(counts, value, "left").na.fill(0, ["__n"])
-    up_to = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)  # one row a domain value
-    return filled.select(value, (F.sum("__n").over(up_to) / F.sum("__n").over(Window.partitionBy())).alias("cdf"))
+def step_cdf(df: DataFrame, value: str) -> DataFrame:
+    """(value, until, cdf): the distribution as steps, a row for each value that occurs.
+
+    ``cdf`` holds from value up to ``until``, the integer before the next one (the greatest value:
+    itself).  Rows are as many as distinct values, however far apart these are.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
+    steps = cut_lineage(running_total(counts, [F.col(value).asc()], "__n", "__upto"))
+    # The next value is that of the next place; places are numbered by ranges, too.
+    placed = cut_lineage(renumbered(steps, [F.col(value).asc()], "__at"))
+    ahead = placed.select((F.col("__at") - 1).alias("__at"), F.col(value).alias("__next"))
+    total = steps.agg(F.max("__upto").alias("__total"))  # one row
+    rows = placed.join(ahead, "__at", "left").crossJoin(F.broadcast(total))
+    return rows.select(value, F.coalesce(F.col("__next") - 1, F.col(value)).alias("until"), (F.col("__upto") / F.col("__total")).alias("cdf"))
+
+
+def dense_cdf(df: DataFrame, value: str, low: int | None = None, high: int | None = None) -> DataFrame:
+    """(value, cdf) for every integer from the least to the greatest value, or within the bounds of a display."""
+    steps = step_cdf(df, value)
+    if low is not None:
+        steps = steps.where(F.col("until") >= low).withColumn(value, F.greatest(F.col(value), F.lit(low)))
+    if high is not None:
+        steps = steps.where(F.col(value) <= high).withColumn("until", F.least("until", F.lit(high)))
+    return steps.select(F.explode(F.sequence(F.col(value), F.col("until"))).alias(value), "cdf")
 
 
 def clipped(value: Column, bound: int = 10) -> Column:
@@ -195,7 +212,7 @@ def clipped(value: Column, bound: int = 10) -> Column:
 
 
 def coverage_threshold(cdf: DataFrame, value: str, coverage: float = 0.8) -> DataFrame:
-    """The first value whose CDF reaches ``coverage``, with covered and tail percent."""
+    """The first value whose CDF reaches ``coverage``, with covered and tail percent; steps are enough for it."""
     hit = cdf.where(F.col("cdf") >= coverage).agg(F.min(F.struct(value, "cdf")).alias("h"))
     return hit.where("h IS NOT NULL").select(
         F.col(f"h.{value}").alias("threshold"),

@@ -45,6 +45,40 @@ def narrow_by_range(pairs: DataFrame, row: Sequence[str], start: str, end: str,
     return marked.where("__n = 1 OR __any = 0 OR __in = 1").drop("__in", "__any", "__n")
 
 
+#: Bits of a line number that bins of each level leave out, the smallest bins first.
+LEVELS = (4, 7, 10, 13, 16, 19, 22, 25, 28, 31)
+
+
+def containing(elements: DataFrame, ranges: DataFrame, keys: Sequence[str], start: str, end: str, first: str, last: str) -> DataFrame:
+    """Pairs of an element and a range with equal ``keys`` that contains its lines, nested ones all.
+
+    A range lies in the smallest bin that holds all of it, one row; an element asks the bins of
+    every level that its first line lies in.  So ranges of one key meet the elements near them,
+    not all of the key.  Ranges and elements without lines have no pair.
+    """
+    level = F.lit(None).cast("int")
+    for bits in reversed(LEVELS):
+        level = F.when(F.shiftright(start, bits) == F.shiftright(end, bits), bits).otherwise(level)
+    binned = ranges.where(F.col(start) <= F.col(end)).withColumn("__level", level)
+    binned = binned.withColumn("__bin", F.expr(f"shiftright(`{start}`, __level)")).withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    asked = elements.where(F.col(first) <= F.col(last)).withColumn(
+        "__ask", F.explode(F.array(*[F.struct(F.lit(b).alias("level"), F.shiftright(first, b).alias("bin")) for b in LEVELS]))
+    )
+    same = (F.col("__ask.level") == F.col("__level")) & (F.col("__ask.bin") == F.col("__bin"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"__k_{k}"))
+    inside = (F.col(start) <= F.col(first)) & (F.col(last) <= F.col(end))
+    return asked.join(binned, same & inside).drop("__ask", "__level", "__bin", *[f"__k_{k}" for k in keys])
+
+
+def narrowed(elements: DataFrame, ranges: DataFrame, keys: Sequence[str], row: str, start: str, end: str, first: str, last: str) -> DataFrame:
+    """Elements (each with its own ``row``) with the ranges of their key that contain their lines, if
+    any does; else with all ranges of the key."""
+    inside = containing(elements, ranges, keys, start, end, first, last)
+    rest = elements.join(inside.select(row), row, "left_anti").join(ranges, list(keys))
+    return inside.unionByName(rest)
+
+
 def smell_items(raw: DataFrame) -> DataFrame:
     """One row a smelly element: method name and its line range from comma lists."""
     names = F.filter(F.transform(F.split(text.blank(F.col("testSmellMethod")), ","), lambda x: F.trim(x)), lambda x: x != "")
@@ -63,10 +97,9 @@ def smells_to_methods(raw: DataFrame, methods: DataFrame, acronyms: dict[str, st
     smell = F.coalesce(names[F.col("testSmellName")], F.col("testSmellName")) if acronyms else F.col("testSmellName")
     items = match_paths(smell_items(raw), methods).withColumn("smell", smell)
     items = items.withColumn("__row", F.struct(ORD, "method", "first", "last"))
-    pairs = items.join(methods.select("file", F.col("name").alias("method"), "url", "start", "end"), ["file", "method"])
-    kept = narrow_by_range(pairs, ["__row"], "start", "end", "first", "last")
+    kept = narrowed(items, methods.select("file", F.col("name").alias("method"), "url", "start", "end"), ["file", "method"], "__row", "start", "end", "first", "last")
     found = kept.select("url", F.col("method").alias("name"), "smell", F.col("first").alias("smell_begin"), F.col("last").alias("smell_end"), (F.col("end") - F.col("start") + 1).alias("loc"), ORD)
-    lost = items.join(pairs.select("__row"), "__row", "left_anti").drop("__row").withColumn("reason", F.lit("method not found"))
+    lost = items.join(methods.select("file", F.col("name").alias("method")), ["file", "method"], "left_anti").drop("__row").withColumn("reason", F.lit("method not found"))
     return found, lost
 
 

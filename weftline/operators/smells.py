@@ -281,15 +281,18 @@ def association(unique: DataFrame, group: str, focal: str, baseline: str, by: Se
     has = rows.select(*by, "project", is_focal.alias("__f"), F.explode(marks).alias("smell")).groupBy(*by, "project", "smell").agg(
         F.count_if("__f").alias("a"), F.count_if(~F.col("__f")).alias("c")
     )
-    pseudo = rows.sparkSession.createDataFrame([(ANY,), (NONE,)], "smell string")
-    names = has.select(*by, "smell").unionByName(
-        rows.select(*by).distinct().crossJoin(F.broadcast(pseudo)) if by else pseudo
-    ).distinct()
-    # Every smell stands against every project, as the pooled tables need.
-    grid = names.join(sizes, list(by)) if by else names.crossJoin(sizes)
-    full = grid.join(has, [*by, "project", "smell"], "left").na.fill(0, ["a", "c"])
-    tables = full.select(*by, "smell", "a", (F.col("f") - F.col("a")).alias("b"), "c", (F.col("g") - F.col("c")).alias("d"))
-    pooled = tables.groupBy(*by, "smell").agg(*[F.sum(x).alias(x) for x in "abcd"]).where("a + b > 0 AND c + d > 0")
+    # A project without the smell has a = c = 0 and adds nothing to any sum over strata; the pooled
+    # table needs no more of it than the sizes.
+    pooled = has.groupBy(*by, "smell").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
+    totals = sizes.groupBy(*by).agg(F.sum("f").alias("f"), F.sum("g").alias("g"))  # one row a stratum set
+    both = totals.select(*by, F.explode(F.array(F.lit(ANY), F.lit(NONE))).alias("smell"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("c"))
+    pooled = pooled.unionByName(both).groupBy(*by, "smell").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
+    pooled = pooled.join(totals, list(by)) if by else pooled.crossJoin(F.broadcast(totals))
+    pooled = pooled.select(*by, "smell", "a", (F.col("f") - F.col("a")).alias("b"), "c", (F.col("g") - F.col("c")).alias("d"))
+    pooled = pooled.where("a + b > 0 AND c + d > 0")
+    tables = has.join(sizes, [*by, "project"]).select(
+        *by, "smell", "a", (F.col("f") - F.col("a")).alias("b"), "c", (F.col("g") - F.col("c")).alias("d")
+    )
     n1, n0 = F.col("a") + F.col("b"), F.col("c") + F.col("d")
     low, high = statistics.difference_interval(F.col("a"), n1, F.col("c"), n0)
     exact = statistics.fisher_column(F.col("a"), F.col("b"), F.col("c"), F.col("d"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import apportion, constraints, regeneration, sampling
+from weftline.operators import apportion, constraints, regeneration, revisions, sampling, smell_bridge
 from weftline.plans.registry import query
 from weftline.plans.relations import EDGES, METHODS, PAIRS
 from weftline.sources import history
@@ -178,3 +178,22 @@ def history_entries(t):
     entries = history.history_entries(t.sql(HISTORIES).withColumn("status", F.lit("ok")))
     odd = F.try_variant_get("detail", "$.odd.tax", "string").alias("odd")
     return entries.select("member", "source", "place", "commit", "author", odd, "path")
+
+
+# ---- ranges and distributions ---------------------------------------------------------------
+
+#: Nested and overlapping ranges of lines in files, and elements some of which no range contains.
+RANGES = "SELECT concat('f', CAST(o_custkey % 50 AS STRING)) AS file, o_orderkey AS id, CAST(o_custkey + o_orderkey % 700 AS INTEGER) AS s, CAST(o_custkey + o_orderkey % 700 + floor(o_totalprice / 400) AS INTEGER) AS e FROM {orders}"
+ELEMENTS = "SELECT concat('f', CAST(p_partkey % 60 AS STRING)) AS file, p_partkey AS k, CAST(p_partkey * 3 % 1700 AS INTEGER) AS f, CAST(p_partkey * 3 % 1700 + p_size AS INTEGER) AS l FROM {part}"
+
+
+@query("narrowed_ranges", f"WITH p AS (SELECT k, id, s <= f AND l <= e AS inside FROM ({ELEMENTS}) a JOIN ({RANGES}) b USING (file)) SELECT k, id FROM p QUALIFY inside OR NOT bool_or(inside) OVER (PARTITION BY k)")
+def narrowed_ranges(t):
+    return smell_bridge.narrowed(t.sql(ELEMENTS), t.sql(RANGES), ["file"], "k", "s", "e", "f", "l").select("k", "id")
+
+
+@query("cdf_steps", "WITH h AS (SELECT CAST(floor(o_totalprice) AS BIGINT) AS v, count(*) AS n FROM {orders} GROUP BY 1) SELECT v, coalesce(lead(v) OVER (ORDER BY v) - 1, v) AS until, round(sum(n) OVER (ORDER BY v) / sum(n) OVER (), 9) AS cdf FROM h")
+def cdf_steps(t):
+    """Values far apart: a row for each, none in between."""
+    steps = revisions.step_cdf(t.orders.select(F.floor("o_totalprice").cast("long").alias("v")), "v")
+    return steps.select("v", "until", F.round("cdf", 9).alias("cdf"))

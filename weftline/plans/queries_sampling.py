@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import apportion, constraints, regeneration, revisions, sampling, smell_bridge
+from weftline.operators import apportion, constraints, cubes, regeneration, revisions, sampling, smell_bridge
 from weftline.plans.registry import query
 from weftline.plans.relations import EDGES, METHODS, PAIRS
 from weftline.sources import history
@@ -197,3 +197,52 @@ def cdf_steps(t):
     """Values far apart: a row for each, none in between."""
     steps = revisions.step_cdf(t.orders.select(F.floor("o_totalprice").cast("long").alias("v")), "v")
     return steps.select("v", "until", F.round("cdf", 9).alias("cdf"))
+
+
+# ---- cubes over all dimensions --------------------------------------------------------------
+
+#: Linked tests by strategy, tool and detector, with groups of two change types and smells.
+LINKED = """SELECT l_returnflag AS strategy, l_linestatus AS tool, CASE WHEN l_tax > 0.04 THEN 'x' ELSE 'y' END AS smell_detector, concat('t', CAST(l_orderkey AS STRING)) AS from_url,
+  CASE WHEN l_orderkey % 7 = 0 AND l_linenumber > 3 THEN '' WHEN l_orderkey % 3 = 0 THEN 'NTR' WHEN l_orderkey % 3 = 1 THEN 'ATR' ELSE 'HTR' END AS rg_all,
+  CASE WHEN l_quantity < 20 THEN 'NTR' WHEN l_quantity < 30 THEN 'AHTR' ELSE 'HTR' END AS rg_diff,
+  CASE l_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'a b' WHEN 2 THEN concat('c', CAST(l_linenumber AS STRING), ' a') ELSE 'b' END AS smells FROM {lineitem}"""
+STRATA = "SELECT concat('t', CAST(o_orderkey AS STRING)) AS from_url, CASE WHEN o_totalprice < 100000 THEN 'Small' WHEN o_totalprice < 200000 THEN 'Medium' ELSE 'Large' END AS loc_group FROM {orders} WHERE o_orderkey % 11 <> 0"
+_LONG = f"""l AS (SELECT strategy, tool, smell_detector, 'all' AS change, from_url, rg_all AS rg, smells FROM ({LINKED}) a UNION ALL SELECT strategy, tool, smell_detector, 'diff', from_url, CASE WHEN rg_diff = 'AHTR' THEN 'MTR' ELSE rg_diff END, smells FROM ({LINKED}) b),
+ m AS (SELECT strategy, tool, smell_detector, change, from_url, min(rg) AS rg, list_distinct(flatten(list(CASE WHEN smells = '' THEN [] ELSE string_split(smells, ' ') END))) AS smells FROM l WHERE rg IN ('NTR', 'ATR', 'HTR', 'MTR') GROUP BY ALL HAVING count(DISTINCT rg) = 1)"""
+_LONG = _LONG.replace("GROUP BY ALL", "GROUP BY strategy, tool, smell_detector, change, from_url")
+_PAIRS_OF = [("HTR", "NTR"), ("HTR", "ATR"), ("MTR", "NTR")]
+_BY = "strategy, tool, smell_detector, change"
+
+
+@query("comparison_cube", f"""WITH {_LONG}, s AS ({STRATA}), p AS (SELECT unnest([{{{{'g1': 'HTR', 'g2': 'NTR'}}}}, {{{{'g1': 'HTR', 'g2': 'ATR'}}}}, {{{{'g1': 'MTR', 'g2': 'NTR'}}}}], recursive := true)),
+ r AS (SELECT {_BY}, rg, len(smells) AS n, unnest(CASE WHEN loc_group IS NULL THEN ['ALL'] ELSE ['ALL', loc_group] END) AS loc_group FROM m LEFT JOIN s USING (from_url)),
+ x AS (SELECT r.*, g1, g2, rg = g1 AS one FROM r JOIN p ON rg IN (g1, g2)),
+ k AS (SELECT *, rank() OVER (PARTITION BY {_BY}, loc_group, g1, g2 ORDER BY n) + (count(*) OVER (PARTITION BY {_BY}, loc_group, g1, g2, n) - 1) / 2.0::DOUBLE AS mid FROM x),
+ u AS (SELECT {_BY}, loc_group, g1, g2, count(*) FILTER (WHERE one) AS g1_size, count(*) FILTER (WHERE NOT one) AS g2_size, median(n) FILTER (WHERE one) AS g1_median, median(n) FILTER (WHERE NOT one) AS g2_median,
+   sum(mid) FILTER (WHERE one) - count(*) FILTER (WHERE one) * (count(*) FILTER (WHERE one) + 1) / 2.0::DOUBLE AS u1 FROM k GROUP BY {_BY}, loc_group, g1, g2),
+ d AS (SELECT *, CAST(g1_size AS DOUBLE) * g2_size AS pairs, 2 * u1 / (CAST(g1_size AS DOUBLE) * g2_size) - 1 AS delta FROM u WHERE g1_size > 0 AND g2_size > 0)
+ SELECT concat(g1, ',', g2) AS comparison, {_BY}, loc_group, g1_size + g2_size AS size, g1, g2, g1_size, g2_size, round_even(CAST(g1_median AS DOUBLE), 2) AS g1_median, round_even(CAST(g2_median AS DOUBLE), 2) AS g2_median,
+   round_even(u1, 2) AS mww_u1, round_even(pairs - u1, 2) AS mww_u2, round_even(delta, 2) AS d_value, CASE WHEN delta > 0 THEN '+' WHEN delta < 0 THEN '-' ELSE '=' END AS d_sign,
+   CASE WHEN abs(delta) < 0.147 THEN 'negligible' WHEN abs(delta) < 0.33 THEN 'small' WHEN abs(delta) < 0.474 THEN 'medium' ELSE 'large' END AS effect_size FROM d""")
+def comparison_cube(t):
+    return cubes.comparison_cube(t.sql(LINKED), ["all", "diff", "absent"], _PAIRS_OF, t.sql(STRATA)).drop("mww_p", "N", "S", "M", "L")
+
+
+_SHARES = f"""{_LONG}, g AS (SELECT unnest(['NTR', 'ATR', 'HTR', 'MTR']) AS rg), c AS (SELECT {_BY}, rg, unnest(CASE WHEN len(smells) = 0 THEN ['none'] ELSE list_concat(['any'], smells) END) AS smell FROM m),
+ names AS (SELECT DISTINCT {_BY}, smell FROM c UNION SELECT DISTINCT {_BY}, unnest(['any', 'none']) FROM m),
+ full_ AS (SELECT {_BY}, g.rg AS rg_group, smell, (SELECT count(*) FROM m WHERE (m.strategy, m.tool, m.smell_detector, m.change, m.rg) = (names.strategy, names.tool, names.smell_detector, names.change, g.rg)) AS methods,
+   (SELECT count(*) FROM c WHERE (c.strategy, c.tool, c.smell_detector, c.change, c.rg, c.smell) = (names.strategy, names.tool, names.smell_detector, names.change, g.rg, names.smell)) AS smell_n FROM names, g),
+ shares AS (SELECT *, CASE WHEN methods > 0 THEN round_even(smell_n / methods::DOUBLE * 100.0::DOUBLE, 2) ELSE 0.0 END AS percent FROM full_)"""
+
+
+@query("prevalence_cube", f"WITH {_SHARES} SELECT * FROM shares")
+def prevalence_cube(t):
+    return cubes.prevalence_cube(t.sql(LINKED), ["all", "diff"], ["NTR", "ATR", "HTR", "MTR"])
+
+
+@query("greatest_cube", f"""WITH {_SHARES}, d AS (SELECT a.strategy, a.tool, a.smell_detector, a.change, a.smell, a.rg_group AS g1, b.rg_group AS g2, round_even(a.percent - b.percent, 2) AS difference FROM shares a JOIN shares b USING (strategy, tool, smell_detector, change, smell)
+   WHERE a.smell NOT IN ('any', 'none') AND (a.rg_group, b.rg_group) IN (('HTR', 'NTR'), ('HTR', 'ATR'), ('MTR', 'NTR')))
+ SELECT *, CAST(row_number() OVER (PARTITION BY {_BY}, g1, g2 ORDER BY difference DESC, smell) AS INTEGER) AS rank FROM d QUALIFY row_number() OVER (PARTITION BY {_BY}, g1, g2 ORDER BY difference DESC, smell) <= 3""")
+def greatest_cube(t):
+    shares = cubes.prevalence_cube(t.sql(LINKED), ["all", "diff"], ["NTR", "ATR", "HTR", "MTR"])
+    return cubes.greatest_cube(shares, _PAIRS_OF, 3)

@@ -130,7 +130,20 @@ def pr_auc(t):
     return evaluation.pr_auc(rows).select(R6("auc"))
 
 
-@query("evaluate_projects", None)
+OWN = f"SELECT * FROM ({PRED}) a0 WHERE (project, from_url) IN (SELECT project, from_url FROM ({TRUTH}) g0)"
+
+
+@query("evaluate_projects", f"""WITH own AS ({OWN}), t AS ({TRUTH}), c AS (SELECT project, count(*) FILTER (WHERE t = 1) AS gt_links, count(*) FILTER (WHERE p = 1) AS pred_links, count(*) FILTER (WHERE p = 1 AND t = 1) AS tp, count(*) FILTER (WHERE p = 1 AND t IS NULL) AS fp, count(*) FILTER (WHERE p IS NULL) AS fn
+  FROM (SELECT DISTINCT project, from_url, to_url, 1 AS p FROM own) a FULL JOIN (SELECT *, 1 AS t FROM t) b USING (project, from_url, to_url) GROUP BY project),
+ f AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY project, from_url, to_url ORDER BY _ord) = 1), n AS (SELECT project, from_url, count(*) AS links FROM t GROUP BY 1, 2),
+ r AS (SELECT f.*, t.to_url IS NOT NULL AS hit, row_number() OVER (PARTITION BY f.project, f.from_url ORDER BY score DESC, f._ord) AS rk FROM f LEFT JOIN t USING (project, from_url, to_url)),
+ h AS (SELECT *, count(*) FILTER (WHERE hit) OVER (PARTITION BY project, from_url ORDER BY rk) AS hits FROM r), s AS (SELECT project, from_url, sum(hits / CAST(rk AS DOUBLE)) FILTER (WHERE hit) AS s FROM h GROUP BY 1, 2),
+ m AS (SELECT n.project, round_even(avg(coalesce(s.s, 0) / links), 2) AS map FROM n LEFT JOIN s USING (project, from_url) GROUP BY n.project),
+ l AS (SELECT e.project, e.score, t.to_url IS NOT NULL AS hit FROM (SELECT * FROM ({EDGES}) e0 WHERE (project, from_url) IN (SELECT project, from_url FROM t) QUALIFY row_number() OVER (PARTITION BY project, from_url, to_url ORDER BY _ord) = 1) e LEFT JOIN t USING (project, from_url, to_url)),
+ p AS (SELECT project, score, count(*) FILTER (WHERE hit) AS pos, count(*) AS n FROM l GROUP BY 1, 2),
+ k AS (SELECT project, score, sum(pos) OVER w / CAST(sum(n) OVER w AS DOUBLE) AS pr, sum(pos) OVER w / CAST(sum(pos) OVER (PARTITION BY project) AS DOUBLE) AS rc FROM p WINDOW w AS (PARTITION BY project ORDER BY score DESC)),
+ z AS (SELECT project, round_even(sum((rc - prev_rc) * (pr + prev_pr) / 2), 2) AS auc FROM (SELECT *, lag(rc, 1, 0) OVER (PARTITION BY project ORDER BY score DESC) AS prev_rc, lag(pr, 1, 1) OVER (PARTITION BY project ORDER BY score DESC) AS prev_pr FROM k) x GROUP BY 1)
+ SELECT c.*, {METRIC}, map, auc FROM c LEFT JOIN m USING (project) LEFT JOIN z USING (project)""")
 def evaluate_projects(t):
     truth = t.sql(TRUTH)
     return evaluation.evaluate(t.sql(PRED), truth, t.sql(EDGES), "score")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions import dates, tags, text
 from weftline.operators.evaluation import PAIR
-from weftline.operators.relational import ORD, append_after_group, carry_values, union_all
+from weftline.operators.relational import ORD, append_after_group, carry_values, first_source, keep_first, union_all
+from weftline.session import cut_lineage
 
 LAGGED_DAYS = 7
 
@@ -150,16 +151,43 @@ def timeline(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataF
 def nearest_gap(events: DataFrame, others: DataFrame, time: str = "ts", by: Sequence[str] = ()) -> DataFrame:
     """``events`` with gap_days: days to the nearest event of the other side, before or after; null if none.
 
-    An as-of join both ways: one sort of both sides, no pairing.
+    An as-of join both ways: one sort of both sides by ranges of (by, time), no pairing.  A group, or
+    all rows where ``by`` is empty, may lie in many ranges: each range adds the latest other before
+    it and the earliest after it, one row a group and range.
     """
     rows = union_all(
         [events.withColumn("__mine", F.lit(True)), others.select(*by, time).withColumn("__mine", F.lit(False))]
     ).withColumn("__other", F.when(~F.col("__mine"), F.col(time)))
-    line = Window.partitionBy(*by).orderBy(time)
-    before = F.last("__other", True).over(line.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("__other", True).over(line.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    placed = cut_lineage(rows.repartitionByRange(*by, time).withColumn("__part", F.spark_partition_id()))
+    here = Window.partitionBy(*by, "__part").orderBy(time)
+    placed = placed.withColumns(
+        {
+            "__before": F.max("__other").over(here.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+            "__after": F.min("__other").over(here.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
+        }
+    )
+    ranges = Window.partitionBy(*by).orderBy("__part")
+    ends = placed.groupBy(*by, "__part").agg(F.max("__other").alias("__last"), F.min("__other").alias("__first"))
+    ends = ends.select(
+        *[F.col(c).alias(f"__by_{c}") for c in by], F.col("__part").alias("__range"),
+        F.max("__last").over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"),
+        F.min("__first").over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("__later"),
+    )
+    same = F.col("__part") == F.col("__range")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    seen = placed.where("__mine").join(ends, same)
+    before, after = F.coalesce("__before", "__earlier"), F.coalesce("__after", "__later")
     gap = F.least(dates.days_between(F.col(time), before), dates.days_between(F.col(time), after))
-    return rows.withColumn("gap_days", gap).where("__mine").drop("__mine", "__other")
+    return seen.select(*[c for c in rows.columns if not c.startswith("__")], gap.alias("gap_days"))
+
+
+def calling_tests(sources: Sequence[tuple[str, DataFrame]], by: Sequence[str] = ()) -> DataFrame:
+    """The tests of every method from the first source that knows any, with the source's name: the
+    related lookup in reverse, for all methods at once. Sources: by, from_url, to_url, ordinal."""
+    keys = [*by, "to_url"]
+    first = first_source([(name, keep_first(df, [*keys, "from_url"])) for name, df in sources], keys)
+    return first.select(*keys, "from_url", "source", ORD)
 
 
 def pair_summary(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import apportion, constraints, cubes, regeneration, revisions, sampling, smell_bridge
+from weftline.operators import apportion, constraints, cubes, regeneration, review, revisions, sampling, smell_bridge
 from weftline.plans.registry import query
-from weftline.plans.relations import EDGES, METHODS, PAIRS
+from weftline.plans.relations import EDGES, METHODS, PAIRS, TRUTH
 from weftline.sources import history
 
 #: Methods on both sides of the call edges; tests are test cases, some of them slow, and helpers.
@@ -246,3 +246,24 @@ def prevalence_cube(t):
 def greatest_cube(t):
     shares = cubes.prevalence_cube(t.sql(LINKED), ["all", "diff"], ["NTR", "ATR", "HTR", "MTR"])
     return cubes.greatest_cube(shares, _PAIRS_OF, 3)
+
+
+# ---- lookups --------------------------------------------------------------------------------
+
+_LABELLED = f"SELECT project, from_url, to_url, CAST(0 AS BIGINT) AS _ord FROM ({TRUTH}) g WHERE CAST(substr(to_url, 2) AS INTEGER) % 3 <> 0"
+
+
+@query("calling_tests", f"""WITH g AS ({_LABELLED}), e AS (SELECT project, from_url, to_url, min(_ord) AS _ord FROM ({EDGES}) x GROUP BY 1, 2, 3)
+ SELECT project, to_url, from_url, 'labels' AS source, _ord FROM g UNION ALL SELECT project, to_url, from_url, 'calls', _ord FROM e WHERE (project, to_url) NOT IN (SELECT project, to_url FROM g)""")
+def calling_tests(t):
+    """The tests of every method: labelled ones, else those that call it."""
+    return review.calling_tests([("labels", t.sql(_LABELLED)), ("calls", t.sql(EDGES))], ["project"])
+
+
+@query("nearest_of_all", """WITH a AS (SELECT event_id, ts FROM {events} WHERE event_type <> 'click'), b AS (SELECT DISTINCT ts FROM {events} WHERE event_type = 'click'),
+ p AS (SELECT event_id, a.ts, b.ts AS x FROM a ASOF LEFT JOIN b ON a.ts >= b.ts), n AS (SELECT event_id, b.ts AS y FROM a ASOF LEFT JOIN b ON a.ts <= b.ts)
+ SELECT event_id, round(least(epoch(ts) - epoch(x), epoch(y) - epoch(ts)) / 86400, 6) AS gap_days FROM p JOIN n USING (event_id)""")
+def nearest_of_all(t):
+    """An as-of join over all events, without a key."""
+    mine, others = (t.events.where(c).select("event_id", "ts") for c in ("event_type <> 'click'", "event_type = 'click'"))
+    return review.nearest_gap(mine, others).select("event_id", F.round("gap_days", 6).alias("gap_days"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import apportion, constraints, cubes, regeneration, review, revisions, sampling, smell_bridge
+from weftline.operators import apportion, constraints, cubes, regeneration, review, revisions, sampling, smell_bridge, smells
 from weftline.plans.registry import query
 from weftline.plans.relations import EDGES, METHODS, PAIRS, TRUTH
 from weftline.sources import history
@@ -210,7 +210,7 @@ STRATA = "SELECT concat('t', CAST(o_orderkey AS STRING)) AS from_url, CASE WHEN
 _LONG = f"""l AS (SELECT strategy, tool, smell_detector, 'all' AS change, from_url, rg_all AS rg, smells FROM ({LINKED}) a UNION ALL SELECT strategy, tool, smell_detector, 'diff', from_url, CASE WHEN rg_diff = 'AHTR' THEN 'MTR' ELSE rg_diff END, smells FROM ({LINKED}) b),
  m AS (SELECT strategy, tool, smell_detector, change, from_url, min(rg) AS rg, list_distinct(flatten(list(CASE WHEN smells = '' THEN [] ELSE string_split(smells, ' ') END))) AS smells FROM l WHERE rg IN ('NTR', 'ATR', 'HTR', 'MTR') GROUP BY ALL HAVING count(DISTINCT rg) = 1)"""
 _LONG = _LONG.replace("GROUP BY ALL", "GROUP BY strategy, tool, smell_detector, change, from_url")
-_PAIRS_OF = [("HTR", "NTR"), ("HTR", "ATR"), ("MTR", "NTR")]
+_PAIRS_OF = smells.group_pairs("HTR,NTR; HTR,ATR;MHTR , NTR")
 _BY = "strategy, tool, smell_detector, change"
 
 

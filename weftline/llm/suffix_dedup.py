@@ -228,16 +228,17 @@ def _sort_table(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     place_type = pa.struct(list(zip(["no_id", "id", "doc", "text_no", "start"], [f.type for f in order_by])))
 
     n_windows = np.diff(offsets) - length + 1
-    owner = np.repeat(np.arange(len(gram)), n_windows)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+    owner = np.repeat(np.arange(len(gram), dtype=np.int32), n_windows)
+    step = (np.arange(len(owner)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)).astype(np.int32)
     group = np.cumsum((np.diff(gram, prepend=gram[0] - 1) != 0) | (np.diff(block, prepend=block[0] - 1) != 0)) - 1
     # A bucket: windows of a group that have the anchor at the same place.
-    bucket = group[owner] * length + anchor[owner] - step
+    bucket = (group * length + anchor)[owner] - step
     by_bucket = np.argsort(bucket, kind="stable")
-    owner, step = owner[by_bucket], step[by_bucket]
-    bounds = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1, append=-1))
+    owner, step, bucket = owner[by_bucket], step[by_bucket], bucket[by_bucket]
+    bounds = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+    del bucket, by_bucket
     data_bytes, words, classes = data.tobytes(), words_of(data), 0
-    number = np.empty(len(owner), np.int64)
+    number = np.empty(len(owner), np.int32)
     # Buckets are sorted by themselves, as many at once as hold WINDOWS.
     cuts = np.searchsorted(bounds, np.arange(0, len(owner), WINDOWS))
     for i, j in zip(cuts, [*cuts[1:], len(bounds) - 1]):

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Pairs whose measure a Python worker remembers; names of methods and tests repeat.
+KNOWN = 1 << 16
+
+
+@lru_cache(KNOWN)
 def lcs_length(a: str, b: str) -> int:
     """Longest common subsequence, by bits: one integer step a character of ``b``."""
     if not a or not b:
@@ -25,6 +31,7 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+@lru_cache(KNOWN)
 def common_substring_length(a: str, b: str) -> int:
     """Longest common substring, ignoring case."""
     a, b = a.lower(), b.lower()
@@ -41,13 +48,7 @@ def common_substring_length(a: str, b: str) -> int:
 
 def _pairwise(measure):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        known: dict[tuple[str, str], int] = {}
-        out = []
-        for pair in zip(a.fillna(""), b.fillna("")):
-            if pair not in known:
-                known[pair] = measure(*pair)
-            out.append(known[pair])
-        return pd.Series(out, dtype="int32")
+        return pd.Series([measure(x, y) for x, y in zip(a.fillna(""), b.fillna(""))], dtype="int32")
 
     return F.pandas_udf(run, "int")
 

@@ -56,3 +56,44 @@ def box_values_by_size(t):
 @query("distinct_links", f"SELECT from_url, to_url, project, _ord FROM ({EDGES}) e {FIRST_PAIR}")
 def distinct_links(t):
     return relational.keep_first(t.sql(EDGES), ["from_url", "to_url"]).select("from_url", "to_url", "project", "_ord")
+
+
+# ---- associations without their p-values ----------------------------------------------------
+
+_TABLE = ["smell", "baseline_n", "baseline_smell_n", "baseline_percent", "focal_n", "focal_smell_n", "focal_percent", "difference_pp"]
+
+
+def _association(rows: str, by: str = "") -> str:
+    """SQL of counts, shares, their difference and the stratified odds of (by, project, rg_all, marks)."""
+    k = by + ", " if by else ""
+    on = f"USING ({k}project)"
+    return f"""WITH u AS ({rows}), s AS (SELECT {k}project, count(*) FILTER (WHERE rg_all = 'HTR') AS f, count(*) FILTER (WHERE rg_all = 'NTR') AS g FROM u GROUP BY {k}project),
+ x AS (SELECT {k}project, rg_all, unnest(marks) AS smell FROM u), h AS (SELECT {k}project, smell, count(*) FILTER (WHERE rg_all = 'HTR') AS a, count(*) FILTER (WHERE rg_all = 'NTR') AS c FROM x GROUP BY {k}project, smell),
+ t AS (SELECT {k}CAST(sum(f) AS BIGINT) AS f, CAST(sum(g) AS BIGINT) AS g FROM s {"GROUP BY " + by if by else ""}), p AS (SELECT {k}smell, CAST(sum(a) AS BIGINT) AS a, CAST(sum(c) AS BIGINT) AS c FROM h GROUP BY {k}smell),
+ m AS (SELECT {k}smell, sum(CAST(a AS DOUBLE) * (g - c) / (f + g)) AS num, sum(CAST(f - a AS DOUBLE) * c / (f + g)) AS den FROM h JOIN s {on} WHERE f > 0 AND g > 0 GROUP BY {k}smell)
+ SELECT {k}smell, g AS baseline_n, c AS baseline_smell_n, round_even(CAST(c AS DOUBLE) / g * 100, 2) AS baseline_percent, f AS focal_n, a AS focal_smell_n, round_even(CAST(a AS DOUBLE) / f * 100, 2) AS focal_percent,
+  round_even(CAST(a AS DOUBLE) / f * 100 - CAST(c AS DOUBLE) / g * 100, 2) AS difference_pp, CASE WHEN den > 0 THEN round_even(num / den, 2) END AS mh_odds_ratio FROM p JOIN t {"USING (" + by + ")" if by else "ON true"} LEFT JOIN m USING ({k}smell) WHERE f > 0 AND g > 0"""
+
+
+_MARKS = "CASE WHEN smells = '' THEN ['none'] ELSE list_concat(['any'], string_split(smells, ' ')) END"
+_KEPT = "list_filter(string_split(smells, ' '), lambda x: x IN ('error', 'click'))"
+_SIZED = f"SELECT CASE WHEN loc < 30 THEN 'Small' WHEN loc <= 60 THEN 'Medium' ELSE 'Large' END AS control_group, project, rg_all, CASE WHEN len({_KEPT}) > 0 THEN list_concat({_KEPT}, ['ROBUST']) ELSE [] END AS marks FROM {UNIQUE} u JOIN ({LOCS}) l USING (from_url) WHERE rg_all IN ('HTR', 'NTR')"
+
+
+def _finite(df):
+    odds = F.col("mh_odds_ratio")
+    return df.withColumn("mh_odds_ratio", F.when(F.abs(odds) < float("inf"), odds))
+
+
+@query("association_rows", _association(f"SELECT project, rg_all, {_MARKS} AS marks FROM {UNIQUE} u WHERE rg_all IN ('HTR', 'NTR')"))
+def association_rows(t):
+    unique = smells.comparison_methods(t.sql(TESTS), "rg_all", "HTR", "NTR")
+    return _finite(smells.association(unique, "rg_all", "HTR", "NTR")).select(*_TABLE, "mh_odds_ratio")
+
+
+@query("size_controlled_rows", _association(_SIZED, "control_group"))
+def size_controlled_rows(t):
+    unique = smells.comparison_methods(t.sql(TESTS), "rg_all", "HTR", "NTR")
+    controls = smells.first_valid_loc(t.sql(SMELLS)).select("from_url", smells.control_group(F.col("loc")).alias("control_group"))
+    found = smells.size_controlled(unique, controls, "rg_all", "HTR", "NTR", ["error", "click"])
+    return _finite(found).select("control_group", *_TABLE, "mh_odds_ratio")

@@ -34,9 +34,25 @@ def pair_scores(t):
     return s.select("from_url", "to_url", "depth", "tech_nc", "tech_ncc", "tech_lcba", *map(R6, ("tech_leven", "tech_tarantula", "tech_tfidf")))
 
 
-@query("scored_candidates", None)
+_SCALED = ("lcs_b", "lcs_u", "leven", "tarantula", "tfidf")
+ALL_SCORES_SQL = f"""WITH RECURSIVE p AS (SELECT project, from_url, to_url, arg_max(lower(from_name), _ord) AS from_name, arg_max(lower(to_name), _ord) AS name, min(CAST(to_call_depth AS INTEGER)) AS depth,
+  max(CASE WHEN CAST(to_lcba AS DOUBLE) > 0 THEN 1 ELSE 0 END) AS lcba FROM ({EDGES}) e GROUP BY 1, 2, 3), t AS (SELECT project, count(DISTINCT from_url) AS tests FROM p GROUP BY 1),
+ s AS (SELECT p.*, tests, regexp_replace(regexp_replace(from_name, '^test_?', ''), '_?test$', '') AS subject, count(*) OVER (PARTITION BY project, from_url) AS functions, count(*) OVER (PARTITION BY project, to_url) AS callers, pow(0.5, depth - 1) AS fall FROM p JOIN t USING (project)),
+ q AS (SELECT DISTINCT name AS a, subject AS b FROM s), d AS (SELECT a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda x: 0) AS r FROM q
+  UNION ALL SELECT a, b, i + 1, list_concat([0], list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN substr(a, i + 1, 1) = substr(b, k, 1) THEN r[k] + 1 ELSE r[k + 1] END)))) FROM d WHERE i < len(a)),
+ c AS (SELECT a AS name, b AS subject, CAST(r[len(b) + 1] AS DOUBLE) AS common FROM d WHERE i = len(a)),
+ x AS (SELECT project, from_url, to_url, CAST(subject = name AS INTEGER)::DOUBLE AS nc, CAST(contains(from_name, name) AS INTEGER)::DOUBLE AS ncc, common / greatest(length(name), length(subject)) * fall AS lcs_b, common / length(name) * fall AS lcs_u,
+  (1.0 - levenshtein(name, subject) / CAST(greatest(length(name), length(subject)) AS DOUBLE)) * fall AS leven, lcba::DOUBLE AS lcba, CASE WHEN tests > 1 THEN 1.0 / (1.0 + (callers - 1) / CAST(tests - 1 AS DOUBLE)) ELSE 0 END * fall AS tarantula,
+  ln(1 + 1 / CAST(functions AS DOUBLE)) * ln(tests / CAST(callers AS DOUBLE)) * fall AS tfidf FROM s JOIN c USING (name, subject)),
+ z AS (SELECT project, from_url, to_url, nc, ncc, lcba, {", ".join(f"CASE WHEN max({c}) OVER w > 0 THEN {c} / max({c}) OVER w ELSE {c} END AS {c}" for c in _SCALED)} FROM x WINDOW w AS (PARTITION BY project, from_url)),
+ m AS (SELECT *, (nc + ncc + lcs_b + lcs_u + leven + lcba + tarantula + tfidf) / 8 AS combined FROM z),
+ o AS (SELECT * EXCLUDE (combined), CASE WHEN max(combined) OVER w > 0 THEN combined / max(combined) OVER w ELSE combined END AS combined FROM m WINDOW w AS (PARTITION BY project, from_url))
+ SELECT e.*, {", ".join(f"round_even(o.{c}, 2) AS tech_{c}" for c in ("nc", "ncc", "lcba", *_SCALED, "combined"))}, CASE WHEN e._ord = max(e._ord) OVER (PARTITION BY e.project, e.from_url) THEN 1 ELSE 0 END AS tech_lc FROM ({EDGES}) e JOIN o USING (project, from_url, to_url)"""
+
+
+@query("scored_candidates", ALL_SCORES_SQL)
 def scored_candidates(t):
-    """All nine techniques of every candidate row (two of them need a subsequence length)."""
+    """All nine techniques of every candidate row, the common subsequences included."""
     return scoring.score_candidates(t.sql(EDGES))
 
 

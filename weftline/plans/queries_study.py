@@ -182,8 +182,23 @@ def revision_comparison(t):
     return revisions.revision_comparison(t.sql(LINES), ["ch_all", "ch_diff"]).drop("mww_p", "N", "S", "M", "L")
 
 
-@query("revision_comparison_p", None)
+def tail(z: str) -> str:
+    """SQL of twice the normal tail beyond ``z``, at most 1, by the series of the integral (exact to 1e-8)."""
+    term = f"pow(-1, k) * exp((2 * k + 1) * ln({z}) - lgamma(k + 1) - k * ln(2)) / (2 * k + 1)"
+    return f"CASE WHEN {z} <= 0 THEN 1.0 WHEN {z} > 6 THEN 0.0 ELSE least(1.0, 1 - 2 * list_sum(list_transform(range(0, 90), lambda k: {term})) / sqrt(2 * pi())) END"
+
+
+SPREAD = "(CAST(n1 AS DOUBLE) * n2 / 12 * (n1 + n2 + 1 - ties / (CAST(n1 + n2 AS DOUBLE) * (n1 + n2 - 1))))"
+Z_SQL = f"((greatest(u1, CAST(n1 AS DOUBLE) * n2 - u1) - CAST(n1 AS DOUBLE) * n2 / 2 - 0.5) / sqrt({SPREAD}))"
+WITH_TIES = RANKED.replace(" AS u1 FROM r", " AS u1, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM r")
+MARKS = ", ".join(f"CASE WHEN effect_size = '{n}' THEN 'x' ELSE '' END AS \"{m}\"" for m, n in (("N", "negligible"), ("S", "small"), ("M", "medium"), ("L", "large")))
+TESTED = f"""SELECT project, 'tool' AS tool, change, size, n1 AS main_size, n2 AS test_size, round_even(u1, 2) AS mww_u1, round_even(CAST(n1 AS DOUBLE) * n2 - u1, 2) AS mww_u2, round_even(p, 2) AS mww_p,
+ round_even({DELTA}, 2) AS d_value, CASE WHEN {DELTA} > 0 THEN '+' WHEN {DELTA} < 0 THEN '-' ELSE '=' END AS d_sign, {SIZE} AS effect_size FROM (SELECT *, {tail("z")} AS p FROM (SELECT *, {Z_SQL} AS z FROM u WHERE n1 > 0 AND n2 > 0) z0) z1 WHERE project = 'all' OR size >= 30"""
+
+
+@query("revision_comparison_p", f"{WITH_TIES} SELECT *, {MARKS} FROM ({TESTED}) x")
 def revision_comparison_p(t):
+    """With p-values: their SQL sums the series of the normal integral."""
     return revisions.revision_comparison(t.sql(LINES), ["ch_all", "ch_diff"])
 
 
@@ -214,7 +229,11 @@ def call_statistics(t):
     return revisions.call_statistics(methods, edges)
 
 
-@query("direction_summary", None)
+_BY_QUANTITY = f"SELECT * REPLACE (concat(project, CAST(ch_all % 5 AS VARCHAR)) AS project) FROM ({LINES}) l0"
+
+
+@query("direction_summary", f"""{WITH_TIES.replace(LINES, _BY_QUANTITY)}, x AS ({TESTED}) SELECT d_sign, count(*) AS projects, count(*) FILTER (WHERE mww_p <= 0.05) AS significant,
+ {", ".join(f"round_even(count(*) FILTER (WHERE effect_size = '{n}') / count(*)::DOUBLE * 100, 1) AS {n}" for n in ("negligible", "small", "medium", "large"))} FROM x WHERE project <> 'all' AND change = 'diff' GROUP BY 1""")
 def direction_summary(t):
     rows = t.sql(LINES).withColumn("project", F.concat("project", (F.col("ch_all") % 5).cast("string")))
     return revisions.direction_summary(revisions.revision_comparison(rows, ["ch_diff"]))
@@ -289,7 +308,12 @@ def outliers(t):
     return smells.outliers(t.lineitem, "l_extendedprice", ["l_returnflag"])
 
 
-@query("count_comparison", None)
+@query("count_comparison", f"""WITH m AS (SELECT rg_all = 'HTR' AS one, CASE WHEN smells = '' THEN 0 ELSE len(string_split(smells, ' ')) END AS n FROM {UNIQUE} u0 WHERE rg_all IN ('HTR', 'NTR')),
+ h AS (SELECT n, count(*) FILTER (WHERE one) AS a, count(*) AS t FROM m GROUP BY 1), r AS (SELECT *, coalesce(sum(t) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2.0::DOUBLE AS mid FROM h),
+ u AS (SELECT CAST(sum(a) AS BIGINT) AS n1, CAST(sum(t - a) AS BIGINT) AS n2, CAST(sum(mid * a) AS DOUBLE) - sum(a) * (sum(a) + 1) / 2.0::DOUBLE AS u1, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM r),
+ d AS (SELECT (SELECT median(n) FROM m WHERE one) AS g1_median, (SELECT median(n) FROM m WHERE NOT one) AS g2_median),
+ x AS (SELECT 'HTR' AS g1, 'NTR' AS g2, n1 AS g1_size, n2 AS g2_size, g1_median, g2_median, round_even(u1, 2) AS mww_u1, round_even(CAST(n1 AS DOUBLE) * n2 - u1, 2) AS mww_u2, round_even({tail("z")}, 2) AS mww_p,
+   round_even({DELTA}, 2) AS d_value, CASE WHEN {DELTA} > 0 THEN '+' WHEN {DELTA} < 0 THEN '-' ELSE '=' END AS d_sign, {SIZE} AS effect_size FROM (SELECT *, {Z_SQL} AS z FROM u) z0, d) SELECT *, {MARKS} FROM x""")
 def count_comparison(t):
     unique = smells.unique_methods(t.sql(TESTS), "rg_all", smells.GROUPS)
     return smells.count_comparison(unique, "rg_all", "HTR", "NTR")

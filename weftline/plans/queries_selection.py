@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftline.functions import statistics
 from weftline.operators import evaluation, filters, linking, relational, reporting, scoring, smells
 from weftline.plans.queries_sampling import SIDES
-from weftline.plans.queries_study import COUNTS, CUTS, FIRST_PAIR, LOCS, METRIC, PRED, SCORE_SQL, TRUTH, UNIQUE
+from weftline.plans.queries_study import COUNTS, CUTS, FIRST_PAIR, LOCS, METRIC, PRED, PREVALENCE, SCORE_SQL, TRUTH, UNIQUE
 from weftline.plans.registry import query
 from weftline.plans.relations import EDGES, METHODS, SMELLS, TESTS
 
@@ -97,3 +98,36 @@ def size_controlled_rows(t):
     controls = smells.first_valid_loc(t.sql(SMELLS)).select("from_url", smells.control_group(F.col("loc")).alias("control_group"))
     found = smells.size_controlled(unique, controls, "rg_all", "HTR", "NTR", ["error", "click"])
     return _finite(found).select("control_group", *_TABLE, "mh_odds_ratio")
+
+
+# ---- exact tests and correlations -----------------------------------------------------------
+
+
+@query("fisher_p", """WITH t AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS a, count(*) FILTER (WHERE event_type = 'click') AS b, count(*) FILTER (WHERE event_type = 'view') AS c, count(*) FILTER (WHERE event_type = 'signup') AS d FROM {events} GROUP BY 1),
+ f AS (SELECT *, (a + b) * (c + d) * (a + c) * (b + d) = 0 AS flat FROM t), k AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS k FROM f WHERE NOT flat),
+ w AS (SELECT *, exp(lgamma(a + b + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) + lgamma(c + d + 1) - lgamma(a + c - k + 1) - lgamma(d - a + k + 1) - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1)) AS x FROM k),
+ o AS (SELECT *, max(CASE WHEN k = a THEN x END) OVER (PARTITION BY user_id) AS mine FROM w)
+ SELECT user_id, round(least(1.0, sum(x) FILTER (WHERE x <= mine * 1.0000001)), 6) AS p FROM o GROUP BY 1 UNION ALL SELECT user_id, 1.0 FROM f WHERE flat""")
+def fisher_p(t):
+    """The two-sided p of exact tests; the odds ratio and its interval have no closed form."""
+    kinds = ("error", "click", "view", "signup")
+    counts = t.events.groupBy("user_id").agg(*[F.count_if(F.col("event_type") == e).alias(e) for e in kinds])
+    found = counts.select("user_id", statistics.fisher_column(*[F.col(e) for e in kinds]).alias("x"))
+    return found.select("user_id", F.round("x.p", 6).alias("p"))
+
+
+@query("linear_correlations", f"""WITH u AS (SELECT CAST(loc AS DOUBLE) AS x, CAST(len(list_filter(string_split(smells, ' '), lambda s: s IN ('error', 'click'))) AS DOUBLE) AS y FROM {UNIQUE} u0 JOIN ({LOCS}) l USING (from_url)),
+ r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM u)
+ SELECT 'pearson' AS correlation_algorithm, round(corr(x, y), 9) AS correlation FROM r UNION ALL SELECT 'spearman', round(corr(rx, ry), 9) FROM r""")
+def linear_correlations(t):
+    unique = smells.unique_methods(t.sql(TESTS), "rg_all", smells.GROUPS)
+    found = smells.size_correlations(unique.join(smells.first_valid_loc(t.sql(SMELLS)), "from_url"), ["error", "click"])
+    return found.where("correlation_algorithm <> 'kendall'").select("correlation_algorithm", F.round("correlation", 9).alias("correlation"))
+
+
+@query("paired_ranks", f"""WITH s AS ({PREVALENCE}), d AS (SELECT a.percent - b.percent AS d FROM s a JOIN s b USING (smell) WHERE a.rg_group = 'HTR' AND b.rg_group = 'NTR' AND smell NOT IN ('any', 'none')),
+ r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS mid FROM d WHERE d <> 0)
+ SELECT (SELECT count(*) FROM d) AS size, coalesce(least(sum(mid) FILTER (WHERE d > 0), sum(mid) FILTER (WHERE d < 0)), 0.0) AS w_stat FROM r""")
+def paired_ranks(t):
+    pairs = smells.paired_smells(smells.prevalence(t.sql(TESTS), "rg_all"), "HTR", "NTR")
+    return smells.signed_rank(pairs).select("size", "w_stat")

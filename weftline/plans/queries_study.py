@@ -266,10 +266,13 @@ def smell_order(t):
     return smells.smell_order(t.sql(TESTS))
 
 
-@query("prevalence", f"""WITH u AS (SELECT * FROM {UNIQUE} u), m AS (SELECT rg_all, count(*) AS methods FROM u GROUP BY 1), k AS (SELECT rg_all, unnest(CASE WHEN smells = '' THEN ['none'] ELSE list_concat(['any'], string_split(smells, ' ')) END) AS smell FROM u),
+PREVALENCE = f"""WITH u AS (SELECT * FROM {UNIQUE} u), m AS (SELECT rg_all, count(*) AS methods FROM u GROUP BY 1), k AS (SELECT rg_all, unnest(CASE WHEN smells = '' THEN ['none'] ELSE list_concat(['any'], string_split(smells, ' ')) END) AS smell FROM u),
  c AS (SELECT rg_all, smell, count(*) AS n FROM k GROUP BY 1, 2), g AS (SELECT * FROM (SELECT unnest(['NTR', 'ATR', 'HTR']) AS rg_group) a, (SELECT smell FROM c UNION SELECT 'any' UNION SELECT 'none') b)
  SELECT g.rg_group, coalesce(methods, 0) AS methods, g.smell, coalesce(round_even(coalesce(n, 0) / methods::DOUBLE * 100.0::DOUBLE, 2), 0.0) AS percent, coalesce(methods, 0) AS smell_total, coalesce(n, 0) AS smell_n
- FROM g LEFT JOIN m ON m.rg_all = g.rg_group LEFT JOIN c ON c.rg_all = g.rg_group AND c.smell = g.smell""")
+ FROM g LEFT JOIN m ON m.rg_all = g.rg_group LEFT JOIN c ON c.rg_all = g.rg_group AND c.smell = g.smell"""
+
+
+@query("prevalence", PREVALENCE)
 def prevalence(t):
     return smells.prevalence(t.sql(TESTS), "rg_all")
 

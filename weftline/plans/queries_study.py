@@ -202,7 +202,23 @@ def revision_comparison_p(t):
     return revisions.revision_comparison(t.sql(LINES), ["ch_all", "ch_diff"])
 
 
-@query("pair_correlation", None)
+CORRELATED = f"""WITH l AS (SELECT project, 'all' AS change, TRY_CAST(to_ch_all AS DOUBLE) AS x, TRY_CAST(from_ch_all AS DOUBLE) AS y FROM ({PAIRS}) a UNION ALL SELECT project, 'diff', TRY_CAST(to_ch_diff AS DOUBLE), TRY_CAST(from_ch_diff AS DOUBLE) FROM ({PAIRS}) b),
+ sizes AS (SELECT project, change, count(*) AS size FROM l GROUP BY 1, 2), c AS (SELECT project, change, x, y, CAST(count(*) AS DOUBLE) AS n FROM l WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2, 3, 4),
+ dis AS (SELECT project, change, sum(a.n * b.n) AS discordant FROM c a JOIN c b USING (project, change) WHERE a.x < b.x AND a.y > b.y GROUP BY 1, 2),
+ tx AS (SELECT project, change, sum(t * (t - 1) / 2) AS nx, sum(t * (t - 1) * (2 * t + 5)) AS cx, sum(t * (t - 1) * (t - 2)) AS rx, sum(t) AS n FROM (SELECT project, change, x, sum(n) AS t FROM c GROUP BY 1, 2, 3) i GROUP BY 1, 2),
+ ty AS (SELECT project, change, sum(t * (t - 1) / 2) AS ny, sum(t * (t - 1) * (2 * t + 5)) AS cy, sum(t * (t - 1) * (t - 2)) AS ry FROM (SELECT project, change, y, sum(n) AS t FROM c GROUP BY 1, 2, 3) i GROUP BY 1, 2),
+ txy AS (SELECT project, change, sum(n * (n - 1) / 2) AS nxy FROM c GROUP BY 1, 2),
+ k AS (SELECT project, change, n * (n - 1) / 2 AS total, n * (n - 1) / 2 - nx - ny + nxy - 2 * coalesce(discordant, 0) AS difference, nx, ny,
+   (n * (n - 1) * (2 * n + 5) - cx - cy) / 18 + 2 * nx * ny / (n * (n - 1)) + rx * ry / (9 * n * (n - 1) * (n - 2)) AS variance FROM tx JOIN ty USING (project, change) JOIN txy USING (project, change) LEFT JOIN dis USING (project, change)),
+ tau AS (SELECT project, change, difference / sqrt(total - nx) / sqrt(total - ny) AS tau, abs(difference) / sqrt(variance) AS z FROM k),
+ v AS (SELECT project, change, x AS v, 1 AS one FROM l WHERE x IS NOT NULL UNION ALL SELECT project, change, y, 0 FROM l WHERE y IS NOT NULL), h AS (SELECT project, change, v, sum(one) AS a, count(*) AS t FROM v GROUP BY 1, 2, 3),
+ r AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY project, change ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2.0::DOUBLE AS mid FROM h),
+ u AS (SELECT project, change, CAST(sum(a) AS BIGINT) AS n1, CAST(sum(t - a) AS BIGINT) AS n2, CAST(sum(mid * a) AS DOUBLE) - sum(a) * (sum(a) + 1) / 2.0::DOUBLE AS u1, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM r GROUP BY 1, 2)
+ SELECT project, 't' AS tool, 's' AS strategy, size, change, round_even(tau, 2) AS corr, round_even({tail("z")}, 2) AS corr_p, round_even(u1, 2) AS mwu_u1, round_even(CAST(n1 AS DOUBLE) * n2 - u1, 2) AS mwu_u2,
+  round_even({tail("zu")}, 2) AS mwu_p, round_even({DELTA}, 2) AS mwu_d, {SIZE} AS mwu_size FROM sizes JOIN tau USING (project, change) JOIN (SELECT *, {Z_SQL} AS zu FROM u) u1 USING (project, change)"""
+
+
+@query("pair_correlation", CORRELATED)
 def pair_correlation(t):
     pairs = t.sql(PAIRS).withColumns({"tool": F.lit("t"), "strategy": F.lit("s"), "from_ch_all": text.number(F.col("from_ch_all"))})
     return revisions.pair_correlation(pairs, ["ch_all", "ch_diff"])

@@ -185,7 +185,7 @@ def revision_comparison(t):
 def tail(z: str) -> str:
     """SQL of twice the normal tail beyond ``z``, at most 1, by the series of the integral (exact to 1e-8)."""
     term = f"pow(-1, k) * exp((2 * k + 1) * ln({z}) - lgamma(k + 1) - k * ln(2)) / (2 * k + 1)"
-    return f"CASE WHEN {z} <= 0 THEN 1.0 WHEN {z} > 6 THEN 0.0 ELSE least(1.0, 1 - 2 * list_sum(list_transform(range(0, 90), lambda k: {term})) / sqrt(2 * pi())) END"
+    return f"CASE WHEN {z} <= 0 THEN 1.0 WHEN {z} > 6 THEN 0.0 ELSE greatest(0.0, least(1.0, 1 - 2 * list_sum(list_transform(range(0, 90), lambda k: {term})) / sqrt(2 * pi()))) END"
 
 
 SPREAD = "(CAST(n1 AS DOUBLE) * n2 / 12 * (n1 + n2 + 1 - ties / (CAST(n1 + n2 AS DOUBLE) * (n1 + n2 - 1))))"

@@ -12,6 +12,12 @@ from weftline.functions.strings import similarity, strip_test_marker
 from weftline.operators.relational import ORD, keep_first, union_all
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for a join by a shuffle: the planner's sizes do not see what explode adds, so it would
+    broadcast frames many times larger than it takes them for."""
+    return df.hint("merge")
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(F.regexp_replace(text.blank(path), r"\\", "/"), "/", -1)
 
@@ -29,10 +35,10 @@ def match_paths(found: DataFrame, known: DataFrame, path: str = "path", file: st
     if both_ways:
         hit = hit | F.endswith(slash, F.col("__path"))
     keys = found.select(path).distinct()
-    pairs = a.select(path, "__base", "__path").distinct().join(b, "__base").where(hit)
+    pairs = a.select(path, "__base", "__path").distinct().join(spread(b), "__base").where(hit)
     order = Window.partitionBy(path).orderBy((slash == F.col("__path")).desc(), F.length("__file").desc(), "__file")
     best = pairs.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").select(path, F.col("__file").alias(file))
-    return found.join(keys.join(best, path, "left"), path, "left")
+    return found.join(spread(keys.join(spread(best), path, "left")), path, "left")
 
 
 def narrow_by_range(pairs: DataFrame, row: Sequence[str], start: str, end: str, first: str, last: str) -> DataFrame:
@@ -68,14 +74,14 @@ def containing(elements: DataFrame, ranges: DataFrame, keys: Sequence[str], star
     for k in keys:
         same = same & (F.col(k) == F.col(f"__k_{k}"))
     inside = (F.col(start) <= F.col(first)) & (F.col(last) <= F.col(end))
-    return asked.join(binned, same & inside).drop("__ask", "__level", "__bin", *[f"__k_{k}" for k in keys])
+    return asked.join(spread(binned), same & inside).drop("__ask", "__level", "__bin", *[f"__k_{k}" for k in keys])
 
 
 def narrowed(elements: DataFrame, ranges: DataFrame, keys: Sequence[str], row: str, start: str, end: str, first: str, last: str) -> DataFrame:
     """Elements (each with its own ``row``) with the ranges of their key that contain their lines, if
     any does; else with all ranges of the key."""
     inside = containing(elements, ranges, keys, start, end, first, last)
-    rest = elements.join(inside.select(row), row, "left_anti").join(ranges, list(keys))
+    rest = elements.join(spread(inside.select(row)), row, "left_anti").join(spread(ranges), list(keys))
     return inside.unionByName(rest)
 
 
@@ -99,7 +105,7 @@ def smells_to_methods(raw: DataFrame, methods: DataFrame, acronyms: dict[str, st
     items = items.withColumn("__row", F.struct(ORD, "method", "first", "last"))
     kept = narrowed(items, methods.select("file", F.col("name").alias("method"), "url", "start", "end"), ["file", "method"], "__row", "start", "end", "first", "last")
     found = kept.select("url", F.col("method").alias("name"), "smell", F.col("first").alias("smell_begin"), F.col("last").alias("smell_end"), (F.col("end") - F.col("start") + 1).alias("loc"), ORD)
-    lost = items.join(methods.select("file", F.col("name").alias("method")), ["file", "method"], "left_anti").drop("__row").withColumn("reason", F.lit("method not found"))
+    lost = items.join(spread(methods.select("file", F.col("name").alias("method"))), ["file", "method"], "left_anti").drop("__row").withColumn("reason", F.lit("method not found"))
     return found, lost
 
 

@@ -159,19 +159,21 @@ def nearest_gap(events: DataFrame, others: DataFrame, time: str = "ts", by: Sequ
         [events.withColumn("__mine", F.lit(True)), others.select(*by, time).withColumn("__mine", F.lit(False))]
     ).withColumn("__other", F.when(~F.col("__mine"), F.col(time)))
     placed = cut_lineage(rows.repartitionByRange(*by, time).withColumn("__part", F.spark_partition_id()))
-    here = Window.partitionBy(*by, "__part").orderBy(time)
+    here, so_far = Window.partitionBy(*by, "__part"), (Window.unboundedPreceding, Window.currentRow)
+    # Both frames grow from the start: one that ends at the last row is computed anew for each row.
     placed = placed.withColumns(
         {
-            "__before": F.max("__other").over(here.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
-            "__after": F.min("__other").over(here.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
+            "__before": F.max("__other").over(here.orderBy(F.asc(time)).rangeBetween(*so_far)),
+            "__after": F.min("__other").over(here.orderBy(F.desc(time)).rangeBetween(*so_far)),
         }
     )
-    ranges = Window.partitionBy(*by).orderBy("__part")
+    ranges = Window.partitionBy(*by)
+    preceding = (Window.unboundedPreceding, -1)
     ends = placed.groupBy(*by, "__part").agg(F.max("__other").alias("__last"), F.min("__other").alias("__first"))
     ends = ends.select(
         *[F.col(c).alias(f"__by_{c}") for c in by], F.col("__part").alias("__range"),
-        F.max("__last").over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"),
-        F.min("__first").over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("__later"),
+        F.max("__last").over(ranges.orderBy(F.asc("__part")).rowsBetween(*preceding)).alias("__earlier"),
+        F.min("__first").over(ranges.orderBy(F.desc("__part")).rowsBetween(*preceding)).alias("__later"),
     )
     same = F.col("__part") == F.col("__range")
     for c in by:

@@ -160,10 +160,11 @@ def score_candidates(
 
 
 def model_rank(invocations: DataFrame, test: str = "from_url", name: str = "name", score: str = "score") -> DataFrame:
-    """Rank of each distinct invocation name of a test by score, ties by first appearance; overloads share it."""
+    """Rank of each distinct invocation name of a test by score, ties by first appearance; overloads share it,
+    and so do names that tie in both."""
     names = invocations.groupBy(test, name).agg(F.max(score).alias("__score"), F.min(ORD).alias("__first"))
     order = Window.partitionBy(test).orderBy(F.desc("__score"), "__first")
-    ranked = names.withColumn("rank", F.row_number().over(order)).drop("__score", "__first")
+    ranked = names.withColumn("rank", F.dense_rank().over(order)).drop("__score", "__first")
     return invocations.join(ranked, [test, name])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text
-from weftline.operators.relational import ORD, keep_first, union_all
+from weftline.operators.relational import ORD, join_few, keep_first, union_all
 
 PAIR = ["from_url", "to_url"]
 
@@ -47,7 +47,8 @@ def micro_average(predicted: DataFrame, truth: DataFrame, members: DataFrame, by
     Pairs of different experiments and projects stay apart.
     """
     keep = ["grp", *by, "experiment", "project", *PAIR]
-    a, b = (df.join(members, "experiment").select(*keep).distinct() for df in (predicted, truth))
+    pairs = (df.select(*keep[1:]).distinct() for df in (predicted, truth))
+    a, b = (join_few(df, members.select("grp", "experiment").distinct(), ["experiment"]).select(*keep) for df in pairs)
     keys = keep
     both = a.withColumn("__p", F.lit(1)).join(b.withColumn("__t", F.lit(1)), keys, "full")
     p, t = F.col("__p").isNotNull(), F.col("__t").isNotNull()

@@ -32,6 +32,17 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: str = ORD) -> DataFrame
     return keep_first(df, keys, [F.desc(order)])
 
 
+#: Rows up to which a side is counted and then broadcast.
+FEW = 100_000
+
+
+def join_few(df: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``df`` joined to a side that is usually short.  It is counted: up to FEW rows are broadcast, so that
+    few keys do not gather all rows of ``df`` in few tasks; more are shuffled."""
+    few = right.limit(FEW + 1).count() <= FEW
+    return df.join(F.broadcast(right) if few else right, list(keys), how)
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     """All rows; columns that a frame lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

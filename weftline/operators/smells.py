@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import statistics, text
-from weftline.operators.relational import ORD
+from weftline.operators.relational import ORD, join_few, running_total
 from weftline.operators.revisions import mann_whitney, rank_sums, sign, size_markers
+from weftline.session import cut_lineage
 
 ANY, NONE = "any", "none"
 GROUPS = ("NTR", "ATR", "HTR")
@@ -182,12 +183,37 @@ def linked_locs(links: DataFrame) -> DataFrame:
 
 
 def outliers(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Values outside 1.5 interquartile ranges (linear quantiles)."""
-    ends = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
-    spread = F.col("__q")[1] - F.col("__q")[0]
-    bounded = df.join(ends, list(by)) if by else df.crossJoin(F.broadcast(ends))  # one row
-    outside = (F.col(value) < F.col("__q")[0] - 1.5 * spread) | (F.col(value) > F.col("__q")[1] + 1.5 * spread)
-    return bounded.groupBy(*by).agg(F.count_if(outside).alias("extreme"), F.count(F.lit(1)).alias("n"))
+    """Values outside 1.5 interquartile ranges (linear quantiles), from the histogram of values.
+
+    Places of quartiles come from a running count over ranges of (by, value), so a group needs no
+    task of its own.
+    """
+    histogram = cut_lineage(df.groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n")))
+    sort = [*[F.col(c).asc() for c in by], F.col("__v").asc()]
+    known = running_total(histogram.where("__v IS NOT NULL"), sort, "__n", "__up")
+    sizes = known.groupBy(*by).agg(F.min(F.col("__up") - F.col("__n")).alias("__base"), F.sum("__n").alias("__rows"))
+    placed = _with_group(known, sizes, by).withColumn("__up", F.col("__up") - F.col("__base"))
+    place = {q: (F.col("__rows") - 1) * q for q in (0.25, 0.75)}
+    at = lambda nth: F.min(F.when(F.col("__up") > nth, F.col("__v")))
+    found = placed.groupBy(*by).agg(
+        F.first("__rows").alias("__rows"), *[at(k(place[q])).alias(f"__{n}_{q}") for q in place for n, k in (("low", F.floor), ("high", F.ceil))]
+    )
+    q1, q3 = (
+        F.when(F.floor(p) == F.ceil(p), F.col(f"`__low_{q}`")).otherwise((F.ceil(p) - p) * F.col(f"`__low_{q}`") + (p - F.floor(p)) * F.col(f"`__high_{q}`"))
+        for q, p in place.items()
+    )
+    ends = found.select(*by, q1.alias("__q1"), q3.alias("__q3"))
+    spread = F.col("__q3") - F.col("__q1")
+    outside = (F.col("__v") < F.col("__q1") - 1.5 * spread) | (F.col("__v") > F.col("__q3") + 1.5 * spread)
+    counted = _with_group(histogram, ends, by, "left").groupBy(*by)
+    return counted.agg(F.coalesce(F.sum(F.when(outside, F.col("__n"))), F.lit(0)).alias("extreme"), F.coalesce(F.sum("__n"), F.lit(0)).alias("n"))
+
+
+def _with_group(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """``df`` with the row of its group; without ``by`` there is one."""
+    if by:
+        return join_few(df.dropna(subset=list(by)), groups, by, how)
+    return df.join(F.broadcast(groups), how="left") if how == "left" else df.crossJoin(F.broadcast(groups))
 
 
 # ---- tests ----------------------------------------------------------------------------------

@@ -8,8 +8,9 @@ group, from which every pair of groups takes its two columns.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text
@@ -21,6 +22,10 @@ DIMENSIONS = ("strategy", "tool", "smell_detector")
 EVERY = "ALL"
 
 
+#: Smells of one integer of a set, and of all integers; with more the sets are arrays.
+WORD, MOST_MARKED = 63, 504
+
+
 def grouped_methods(frame: DataFrame, changes: Sequence[str], groups: Sequence[str], dims: Sequence[str] = DIMENSIONS) -> DataFrame:
     """(dims, change, from_url, rg_group, smells as an array): a row for each method, once.
 
@@ -28,6 +33,9 @@ def grouped_methods(frame: DataFrame, changes: Sequence[str], groups: Sequence[s
     those of all these rows.  Change types without a column rg_<change> have no rows.
     """
     there = [c for c in changes if f"rg_{c}" in frame.columns]
+    names = smell_names(frame) if there and len(set(groups)) <= WORD else None
+    if names is not None:
+        return marked_methods(frame, there, list(dict.fromkeys(groups)), names, dims)
     sides = F.array(*[F.struct(F.lit(c).alias("change"), normal_group(F.col(f"rg_{c}")).alias("rg_group")) for c in there])
     rows = frame.select(*dims, "from_url", text.split_smells(F.col("smells")).alias("smells"), F.explode(sides).alias("g"))
     rows = rows.select(*dims, "g.change", "from_url", "g.rg_group", "smells").where(F.col("rg_group").isin(*groups))
@@ -37,6 +45,48 @@ def grouped_methods(frame: DataFrame, changes: Sequence[str], groups: Sequence[s
     return reduced.where("rg_group = __high").drop("__high")
 
 
+def smell_names(frame: DataFrame) -> list[str] | None:
+    """The names of all smells, in order, if there are at most MOST_MARKED."""
+    cells = frame.select("smells").distinct().select(F.explode(text.split_smells(F.col("smells"))).alias("smell")).distinct()
+    found = [r["smell"] for r in cells.limit(MOST_MARKED + 1).collect()]
+    return sorted(found) if len(found) <= MOST_MARKED else None
+
+
+def marked_methods(frame: DataFrame, changes: Sequence[str], groups: Sequence[str], names: Sequence[str], dims: Sequence[str]) -> DataFrame:
+    """``grouped_methods`` with sets as bits: one row a method for all change types is shuffled, of
+    integers, which aggregate in place; names come back after it."""
+    words = [list(names[i : i + WORD]) for i in range(0, len(names), WORD)] or [[]]
+    cell = text.split_smells(F.col("smells"))
+    marked = lambda word: F.aggregate(cell, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(_bit(x, word)))
+    bits = [marked(word) for word in words]
+    group = {c: _bit(normal_group(F.col(f"rg_{c}")), groups) for c in changes}
+    rows = frame.select(*dims, "from_url", *[b.alias(f"__s{i}") for i, b in enumerate(bits)], *[g.alias(f"__g_{c}") for c, g in group.items()])
+    rows = rows.where(reduce(lambda a, b: a | b, [F.col(f"__g_{c}") != 0 for c in changes]))
+    sums = [F.bit_or(f"__g_{c}").alias(f"__g_{c}") for c in changes]
+    sums += [F.bit_or(F.when(F.col(f"__g_{c}") != 0, F.col(f"__s{i}")).otherwise(F.lit(0).cast("long"))).alias(f"__s{i}_{c}") for c in changes for i in range(len(words))]
+    reduced = rows.groupBy(*dims, "from_url").agg(*sums)
+    sides = F.array(*[F.struct(F.lit(c).alias("change"), F.col(f"__g_{c}").alias("g"), *[F.col(f"__s{i}_{c}").alias(f"s{i}") for i in range(len(words))]) for c in changes])
+    each = reduced.select(*dims, "from_url", F.explode(sides).alias("x")).where(F.bit_count("x.g") == 1)
+    smells = F.concat(*[_named(F.col(f"x.s{i}"), w) for i, w in enumerate(words)])
+    return each.select(*dims, "x.change", "from_url", F.element_at(_named(F.col("x.g"), groups), 1).alias("rg_group"), smells.alias("smells"))
+
+
+def _bit(value: Column, names: Sequence[str]) -> Column:
+    """The bit of a name, 0 for others and null."""
+    if not names:
+        return F.lit(0).cast("long")
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), value)
+    bit = F.get(F.array(*[F.lit(1 << i).cast("long") for i in range(len(names))]), (place - 1).cast("int"))
+    return F.coalesce(bit, F.lit(0).cast("long"))
+
+
+def _named(bits: Column, names: Sequence[str]) -> Column:
+    """The names whose bits are set."""
+    if not names:
+        return F.array().cast("array<string>")
+    return F.array_compact(F.array(*[F.when(bits.bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(n)) for i, n in enumerate(names)]))
+
+
 def comparison_cube(
     frame: DataFrame, changes: Sequence[str], pairs: Sequence[tuple[str, str]], strata: DataFrame | None = None,
     dims: Sequence[str] = DIMENSIONS,

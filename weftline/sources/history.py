@@ -88,24 +88,26 @@ def history_entries(members: DataFrame) -> DataFrame:
     changeHistoryDetails is read from the text.  A history without any order has no row, nor has
     one whose text repeats a key of an object, which is no VARIANT.
     """
-    rows = members.where("status = 'ok'").withColumn("__v", F.try_parse_json("json")).where("__v IS NOT NULL")
+    # In steps, so that no text is parsed twice; a filter on __v would be pushed below it and parse again.
+    rows = members.where("status = 'ok'").withColumn("__v", F.try_parse_json("json"))
     v = F.col("__v")
     details = F.from_json(F.get_json_object("json", "$.changeHistoryDetails"), "map<string,string>")
-    listed = F.try_variant_get(v, "$.commitDetails", "array<variant>")
+    rows = rows.withColumns({"__details": F.when(v.isNotNull(), details), "__listed": F.try_variant_get(v, "$.commitDetails", "array<variant>")})
+    details, listed = F.col("__details"), F.col("__listed")
     kinds = [
         F.try_variant_get(v, "$.changeHistory", "array<string>"), _names(v, "commitDetails", "commitName"),
         F.map_keys(details), _names(v, "commits", "commitHash"),
     ]
-    there = [
-        F.coalesce(F.size(kinds[0]), F.lit(0)) > 0, F.coalesce(F.size(listed), F.lit(0)) > 0, F.coalesce(F.size(kinds[2]), F.lit(0)) > 0,
-        F.coalesce(F.size(F.try_variant_get(v, "$.commits", "array<variant>")), F.lit(0)) > 0,
-    ]
-    order, source = F.when(there[0], kinds[0]), F.when(there[0], ORDERS[0])
-    for name, found, kind in list(zip(ORDERS, there, kinds))[1:]:
-        order, source = order.when(found, kind), source.when(found, name)
+    rows = rows.withColumns({f"__k{i}": kind for i, kind in enumerate(kinds)})
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    there = [some(F.col("__k0")), some(listed), some(F.col("__k2")), some(F.try_variant_get(v, "$.commits", "array<variant>"))]
+    order, source = F.when(there[0], F.col("__k0")), F.when(there[0], ORDERS[0])
+    for i, name in list(enumerate(ORDERS))[1:]:
+        order, source = order.when(there[i], F.col(f"__k{i}")), source.when(there[i], name)
+    rows = rows.withColumn("__order", order)
     keep = [c for c in members.columns if c != "json"]
     first = F.filter(listed, lambda x: F.trim(F.try_variant_get(x, "$.commitName", "string")) == F.col("commit"))
-    rows = rows.select(*keep, "__v", details.alias("__details"), source.alias("source"), F.posexplode(order).alias("place", "commit"))
+    rows = rows.select(*keep, "__v", "__details", "__listed", source.alias("source"), F.posexplode("__order").alias("place", "commit"))
     detail = F.coalesce(F.try_parse_json(F.element_at("__details", F.col("commit"))), F.get(first, 0))
     rows = rows.withColumn("detail", detail)
     of = lambda name: F.try_variant_get("detail", f"$.{name}", "string")

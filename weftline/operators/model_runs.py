@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from weftline.functions.strings import lenient_json
 from weftline.operators.relational import keep_first, union_all
 from weftline.operators.signatures import candidate_ids
+from weftline.session import cut_lineage
 
 DONE, ERROR = "done", "error"
 RUNS = "from_url string, status string, answer string, error string"
@@ -58,17 +59,17 @@ def merged_runs(runs: DataFrame, new: DataFrame) -> DataFrame:
 
 def predicted_links(cases: DataFrame, runs: DataFrame, urls: DataFrame) -> DataFrame:
     """(from_url, to_url, prediction, confidence): every candidate of an answered case, 1 where the answer
-    names it. urls: from_url, candidate_id, to_url."""
-    named = (
-        runs.where(F.col("status") == DONE)
-        .withColumn("__m", F.explode(F.from_json(lenient_json(F.col("answer")), ANSWER)["methods"]))
-        .select(F.col("from_url").alias("case_id"), "__m.name", "__m.confidence")
-    )
+    names it. urls: from_url, candidate_id, to_url.
+
+    Answers are parsed once into a table: two branches read them, and each would ask the provider anew."""
+    parsed = F.from_json(lenient_json(F.col("answer")), ANSWER)["methods"]
+    done = cut_lineage(runs.where(F.col("status") == DONE).select(F.col("from_url").alias("case_id"), parsed.alias("__methods")))
+    named = done.select("case_id", F.explode("__methods").alias("__m")).select("case_id", "__m.name", "__m.confidence")
     each = cases.select(F.col("from_url").alias("case_id"), F.explode("candidates").alias("c"))
     each = each.select("case_id", F.col("c.id").alias("candidate_id"), F.col("c.signature").alias("signature"))
     hits = candidate_ids(named.select("case_id", "name").distinct(), each).join(named, ["case_id", "name"])
     best = hits.groupBy("case_id", "candidate_id").agg(F.max("confidence").alias("confidence"))
-    answered = runs.where(F.col("status") == DONE).select(F.col("from_url").alias("case_id")).distinct()
+    answered = done.select("case_id").distinct()
     rows = each.join(answered, "case_id").join(best.withColumn("__hit", F.lit(1)), ["case_id", "candidate_id"], "left")
     links = rows.join(urls.withColumnRenamed("from_url", "case_id"), ["case_id", "candidate_id"])
     return links.select(

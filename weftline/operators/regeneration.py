@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import tags, text
 from weftline.operators.relational import ORD, keep_first, union_all
 from weftline.operators.sampling import draw
+from weftline.session import cut_lineage
 
 # The columns of a ground truth file, in their order.
 COLUMNS = (
@@ -121,7 +122,9 @@ def regenerate(
     is drawn and no call comes in.  ``origin`` says where a row comes from; ``carried``,
     ``refreshed`` whether it kept review values and got new columns.
     """
-    working = _shaped(working)
+    # Read by many branches: each of the two is made once.
+    working = cut_lineage(_shaped(working))
+    methods = cut_lineage(keep_first(methods, ["project", "url"]))
     pool = test_pool(edges, methods, exclude)
     if samples <= 0:
         pool = pool.limit(0)
@@ -172,7 +175,7 @@ def _refreshed(rows: DataFrame, methods: DataFrame, columns: Sequence[str]) -> D
 
 def _placed(rows: DataFrame) -> DataFrame:
     """An ordinal within each project: working rows as they were, calls by test and target, manual
-    rows as they were, and missing ones after the last row of their test."""
+    rows as they were, and missing ones after the last row of their test; ties by the pair."""
     rank = F.when(F.col("origin") == WORKING, 0).when(F.col("origin") == FRESH, 1).otherwise(2)
     by_name = F.col("origin") == FRESH
     key = F.struct(
@@ -180,7 +183,7 @@ def _placed(rows: DataFrame) -> DataFrame:
     )
     own = F.when(F.col("origin") != MISSING, key)
     end = F.max(own).over(Window.partitionBy("project", "from_url"))
-    place = [F.coalesce(own, end).asc_nulls_last(), (F.col("origin") == MISSING).asc(), F.col(ORD).asc()]
+    place = [F.coalesce(own, end).asc_nulls_last(), (F.col("origin") == MISSING).asc(), F.col(ORD).asc(), "from_url", "to_url"]
     nth = F.row_number().over(Window.partitionBy("project").orderBy(*place)) - 1
     return rows.withColumn("__nth", nth).select(*COLUMNS, "origin", "carried", "refreshed", F.col("__nth").cast("long").alias(ORD))
 

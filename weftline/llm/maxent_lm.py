@@ -32,16 +32,16 @@ import math
 import re
 import uuid
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Memo, discard, saved, scratch_path, text_bytes
+from weftline.llm.common import discard, saved, scratch_path, text_bytes
 
 SMOOTH = 0.1
 #: Words whose counts are broadcast; the others are joined.
@@ -57,8 +57,9 @@ RATE = 0.6
 PRIOR = 30.0
 #: Units of a gradient part.
 FIXED = 1 << 16
-#: Tokens handled at once, and histories whose classes are worked out at once.
+#: Sums sent at once, bytes of text handled at once, and histories whose classes are worked out at once.
 SLAB = 1 << 18
+SLAB_BYTES = 1 << 21
 CUT = 1 << 14
 #: Bound of a weight: scores stay within what 32-bit exponentials hold.
 BOUND = 20.0
@@ -81,27 +82,54 @@ SPACE = re.compile(rb"[ \t-\r]")
 END = b""  # no word is empty, so the end token takes this name
 
 
-def tokens(text: bytes) -> list[bytes]:
-    words = text.lower().split()
-    words.append(END)
-    return words
-
-
-def pieces(text: bytes):
-    """The tokens of a text, at most about PIECE bytes at a time."""
+def spans(text: bytes):
+    """Stretches of a text in lower case without outer white space, cut at white space every PIECE
+    bytes or so; the last ends with a space if it has words, so the end token follows."""
     at = 0
     while len(text) - at > PIECE:
         space = SPACE.search(text, at + PIECE)
         if space is None:
             break
-        if words := text[at : space.end()].lower().split():
-            yield words
+        if span := text[at : space.end()].lower().strip():
+            yield span
         at = space.end()
-    yield tokens(text[at:])
+    span = text[at:].lower().strip()
+    yield span + b" " if span else span
 
 
-def ending(word: bytes) -> int:
-    return zlib.crc32(word[-3:])
+def split(spans_: list[bytes]) -> pa.ListArray:
+    """The tokens of each span; what follows a last space is the empty word, the end token."""
+    # The kernel knows the same six characters and does not look at the encoding.
+    found = pc.ascii_split_whitespace(pa.array(spans_, pa.binary()).view(pa.string()))
+    return pa.ListArray.from_arrays(found.offsets, found.values.view(pa.binary()))
+
+
+def pieces(text: bytes):
+    """The tokens of a text, at most about PIECE bytes at a time."""
+    for span in spans(text):
+        yield split([span])[0].as_py()
+
+
+#: crc32 of a few zero bytes, and what a byte at the end, or one or two before it, changes.
+ZEROS = np.array([zlib.crc32(bytes(n)) for n in range(4)], dtype=np.uint32)
+CHANGES = [
+    np.array([zlib.crc32(bytes([b, *bytes(p)])) for b in range(256)], dtype=np.uint32) ^ ZEROS[p + 1] for p in range(3)
+]
+
+
+def endings(words: pa.BinaryArray) -> np.ndarray:
+    """crc32 of the last three bytes of each word, of which 24 bits are kept."""
+    if not len(words):
+        return np.zeros(0, dtype=np.int64)
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    size, stop = np.diff(offsets), offsets[1:]
+    mark = ZEROS[np.minimum(size, 3)]
+    for p, change in enumerate(CHANGES):
+        long = np.flatnonzero(size > p)
+        mark[long] ^= change[data[stop[long] - 1 - p]]
+    return (mark & 0xFFFFFF).astype(np.int64)
 
 
 def held_out(key: bytes | None) -> bool:
@@ -153,19 +181,14 @@ class Encoder:
     A code carries all that the model needs: class and feature row.
     """
 
-    def __init__(self, head: dict[bytes, int], cache_bytes: int = 20 << 20):
-        self.head = head
-        self.code = Memo(self._code, cache_bytes)
-
-    def _code(self, word: bytes) -> int:
-        place = self.head.get(word)
-        mark = ending(word)
-        if place is None:
-            return -1 - (mark & 0xFFFFFF)
-        return place << 24 | mark & 0xFFFFFF
+    def __init__(self, head: dict[bytes, int]):
+        self.head = pa.array(sorted(head, key=head.get), pa.binary())
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.code.__getitem__, words), dtype=np.int64, count=len(words))
+    def codes(self, words: list[bytes] | pa.BinaryArray) -> np.ndarray:
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+        place = pc.index_in(words, value_set=self.head).fill_null(-1).to_numpy().astype(np.int64)
+        mark = endings(words)
+        return np.where(place < 0, -1 - mark, place << 24 | mark)
 
 
 def unpack(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,40 +279,47 @@ class Slab:
     codes: np.ndarray
     start: np.ndarray
     counted: np.ndarray  # False for the tokens that a piece takes along
-    text: list[int]  # the text of each piece
+    text: np.ndarray  # the text of each piece
     first: np.ndarray  # where each piece starts
-    words: list[list[bytes]]  # of each piece, without those taken along
+    words: pa.BinaryArray  # the tokens without those taken along
 
 
-def _slabs(texts: list[bytes], encoder: Encoder):
-    """Slabs of about SLAB tokens over all texts."""
-    codes, lead, where, words, size = [], [], [], [], 0
+def _groups(texts: list[bytes]):
+    """The spans of all texts in groups of about SLAB_BYTES: texts, whether one starts, spans."""
+    group, size = [], 0
+    for k, text in enumerate(texts):
+        starts = True
+        for span in spans(text):
+            group.append((k, starts, span))
+            starts = False
+            size += len(span)
+            if size >= SLAB_BYTES:
+                yield zip(*group)
+                group, size = [], 0
+    if group:
+        yield zip(*group)
+
 
-    def slab():
+def _slabs(texts: list[bytes], encoder: Encoder):
+    """Slabs of about SLAB_BYTES over all texts."""
+    before = np.zeros(0, np.int64)
+    for where, starts, group in _groups(texts):
+        found = split(group)
+        codes = np.split(encoder.codes(found.values), found.offsets.to_numpy()[1:-1])
+        lead = np.zeros(len(codes), dtype=np.int64)
+        for p, fresh in enumerate(starts):
+            if not fresh:
+                lead[p] = len(before)
+                codes[p] = np.concatenate([before, codes[p]])
+            before = codes[p][-2:]
         lengths = np.array([len(c) for c in codes])
         first = np.cumsum(lengths) - lengths
         start = np.zeros(lengths.sum(), dtype=bool)
         start[first] = True
         counted = np.ones(len(start), dtype=bool)
-        for at, n in zip(first, lead):
-            counted[at : at + n] = False
-        return Slab(np.concatenate(codes), start, counted, where, first, words)
-
-    for k, text in enumerate(texts):
-        before = None
-        for part in pieces(text):
-            found = encoder.codes(part)
-            lead.append(0 if before is None else len(before))
-            codes.append(found if before is None else np.concatenate([before, found]))
-            before = codes[-1][-2:]
-            where.append(k)
-            words.append(part)
-            size += len(found)
-            if size >= SLAB:
-                yield slab()
-                codes, lead, where, words, size = [], [], [], [], 0
-    if codes:
-        yield slab()
+        for p in np.flatnonzero(lead):
+            counted[first[p] : first[p] + lead[p]] = False
+        yield Slab(np.concatenate(codes), start, counted, np.array(where), first, found.values)
 
 
 def small_batches(batches):
@@ -311,26 +341,29 @@ def train_documents(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.where(learned).select(text_bytes(f"`{text}`").alias("text"))
 
 
+def _word_sums(held: list[pa.Table]) -> pa.Table:
+    sums = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("count", "sum")])
+    return sums.select(["word", "count_sum"]).rename_columns(["word", "count"])
+
+
 def count_words(train: DataFrame) -> DataFrame:
     """(word, count) over all training tokens; the end token is the empty word."""
 
     def run(batches):
-        seen: Counter = Counter()
-
-        def sent():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "count"]
-            )
-
+        held, size = [], 0
         for batch in small_batches(batches):
-            for text in batch.column(0).to_pylist():
-                for words in pieces(text):
-                    seen.update(words)
-                    if len(seen) > COUNT_ENTRIES:
-                        yield sent()
-                        seen.clear()
-        if seen:
-            yield sent()
+            for *_, group in _groups(batch.column(0).to_pylist()):
+                met, times = split(group).values.value_counts().flatten()
+                held.append(pa.table([met, times], names=["word", "count"]))
+                size += len(met)
+                if size > 2 * COUNT_ENTRIES:
+                    held = [_word_sums(held)]
+                    size = held[0].num_rows
+                    if size > COUNT_ENTRIES:
+                        yield from held[0].to_batches()
+                        held, size = [], 0
+        if held:
+            yield from _word_sums(held).to_batches()
 
     return train.mapInArrow(run, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
@@ -351,14 +384,16 @@ def read_vocabulary(words: DataFrame, head: int = HEAD) -> Vocabulary:
     top = words.where(step >= least if least is not None else F.lit(False)).toPandas()
     top = top.sort_values("word", kind="stable").sort_values("count", ascending=False, kind="stable")
     top_words = [bytes(w) for w in top["word"]]
-    singles = set(top_words[:SINGLES])
+    singles = pa.array(top_words[:SINGLES], pa.binary())
 
     def by_class(batches):
         sums = np.zeros((CLASSES, 2), dtype=np.int64)
         for batch in batches:
-            for word, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if word not in singles:
-                    sums[SINGLES + (ending(word) & 0xFFFFFF) % ENDINGS] += (count, 1)
+            word, count = batch.column(0), batch.column(1).to_numpy()
+            others = np.flatnonzero(~pc.is_in(word, value_set=singles).to_numpy(zero_copy_only=False))
+            kind = SINGLES + endings(word)[others] % ENDINGS
+            np.add.at(sums[:, 0], kind, count[others])
+            sums[:, 1] += np.bincount(kind, minlength=CLASSES)
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(CLASSES), pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["k", "n", "v"]
         )
@@ -603,14 +638,15 @@ def score(
         return Encoder(head), np.log10(counts + SMOOTH), pairs, sums, Scorer(weights)
 
     def run(batches):
-        """A row with part sums for every text, and one for each of its distinct tail words."""
+        """A row with part sums for every text, and one for each of its distinct tail words (for a
+        long text, of those in each slab)."""
         for batch in small_batches(batches):
             encode, log_count, pairs, sums, scorer = kept(f"{name}-scores", state)
             texts = batch.column(1).to_pylist()
             n_known = np.zeros(len(texts), dtype=np.int64)
             n_tokens = np.zeros(len(texts), dtype=np.int64)
             base, model_ = np.zeros(len(texts)), np.zeros(len(texts))
-            tails: dict[int, Counter] = {}
+            tails: list[tuple[np.ndarray, pa.BinaryArray, np.ndarray]] = []
             for slab in _slabs(texts, encode):
                 place, kind, row = unpack(slab.codes)
                 context, counted = contexts(kind, slab.start), slab.counted
@@ -627,16 +663,15 @@ def score(
                 for out, value in ((base, head_log), (model_, chosen / math.log(10) + inside)):
                     np.add.at(out, slab.text, np.add.reduceat(np.where(counted, value, 0.0), slab.first))
                 tail = np.flatnonzero(~known & counted)
-                piece = np.searchsorted(slab.first, tail, side="right") - 1
-                ends = np.append(slab.first[1:], len(place))
-                for p, at in zip(piece.tolist(), (tail - ends[piece]).tolist()):
-                    # Counted from the end of the piece, where nothing is taken along.
-                    tails.setdefault(slab.text[p], Counter())[slab.words[p][at]] += 1
-            tail_row = [k for k, found in tails.items() for _ in found]
-            tail_word = [w for found in tails.values() for w in found]
-            tail_count = [c for found in tails.values() for c in found.values()]
-            n, m = len(texts), len(tail_row)
-            row_of = pa.concat_arrays([batch.column(0), batch.column(0).take(pa.array(tail_row, pa.int64()))])
+                if len(tail):
+                    of = slab.text[np.searchsorted(slab.first, tail, side="right") - 1]
+                    found = slab.words.take(pa.array(np.cumsum(counted)[tail] - 1)).dictionary_encode()
+                    distinct_ = len(found.dictionary)
+                    met, often = np.unique(of * distinct_ + found.indices.to_numpy(), return_counts=True)
+                    tails.append((met // distinct_, found.dictionary.take(pa.array(met % distinct_)), often))
+            n, m = len(texts), sum(len(often) for *_, often in tails)
+            tail_row = pa.array(np.concatenate([np.zeros(0, np.int64), *[of for of, *_ in tails]]))
+            row_of = pa.concat_arrays([batch.column(0), batch.column(0).take(tail_row)])
             # No UTF-8 word starts with this byte; a name of its own keeps a text's row from
             # meeting all others in the join.
             names = [b"\xff%d" % r for r in batch.column(0).to_pylist()]
@@ -644,9 +679,9 @@ def score(
             yield pa.RecordBatch.from_arrays(
                 [
                     row_of,
-                    pa.concat_arrays([batch.column(2), batch.column(2).take(pa.array(tail_row, pa.int64()))]),
-                    pa.array(names + tail_word, pa.binary()),
-                    pa.array([0] * n + tail_count, pa.int64()),
+                    pa.concat_arrays([batch.column(2), batch.column(2).take(tail_row)]),
+                    pa.concat_arrays([pa.array(names, pa.binary()), *[found for _, found, _ in tails]]),
+                    pa.array(np.concatenate([np.zeros(n, np.int64), *[often for *_, often in tails]])),
                     pa.array(np.concatenate([n_tokens, nothing]).astype(np.int64)),
                     pa.array(np.concatenate([n_known, nothing]).astype(np.int64)),
                     pa.array(np.concatenate([base, nothing])),

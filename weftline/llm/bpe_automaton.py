@@ -36,10 +36,10 @@ from array import array
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +52,10 @@ INNER, LAST = 0, 1
 #: Bytes of one generation of the chunk cache and of the word cache of a Python worker.
 CHUNK_BYTES = 64 << 20
 WORD_BYTES = 24 << 20
+#: Bytes of packed identifiers that are written out or decoded at once.
+PACKED_BYTES = 1 << 20
+#: Texts whose written and decoded forms are held at once.
+ROWS_AT_ONCE = 256
 
 
 def word_model_path() -> str:
@@ -175,11 +179,14 @@ class TokenizationAutomaton:
         self.label = {i: t for t, i in vocabulary.items()}
         self.arcs = arcs or compile_arcs(vocabulary, merges)
         made = {u + v for u, v in merges}
-        #: Labels of whole words, and the trie of all labels: INNER of a node has the (length, label)
-        #: of all labels on the way to it, longest first, LAST the label of a word's end there.
+        #: Labels of whole words, and the trie of all labels: INNER of a node has the (length, label,
+        #: byte and bit of its column) of all labels on the way to it, longest first, LAST the label
+        #: of a word's end there.
         self.whole: dict[str, int] = {}
         self.trie: dict = {}
         inner = {}
+        self._byte = [c >> 3 for c in self.arcs.column]
+        self._bit = [1 << (c & 7) for c in self.arcs.column]
         for token, i in vocabulary.items():
             last = bool(end) and token.endswith(end) and len(token) > len(end)
             body = token[: -len(end)] if last else token
@@ -196,13 +203,11 @@ class TokenizationAutomaton:
         while todo:
             node, body, on_the_way = todo.pop()
             if body in inner:
-                on_the_way = ((len(body), inner[body]), *on_the_way)
+                i = inner[body]
+                on_the_way = ((len(body), i, self._byte[i], self._bit[i]), *on_the_way)
             todo += [(node[c], body + c, on_the_way) for c in node if c != LAST]
             node[INNER] = on_the_way
         self._row = self.arcs.row.tolist()
-        self._byte = [c >> 3 for c in self.arcs.column]
-        self._bit = [1 << (c & 7) for c in self.arcs.column]
-        self._ends = frozenset(self.whole.values())
         self._longest = max(map(len, [*inner, *self.whole]), default=1)
 
     def arc(self, x: int, y: int) -> bool:
@@ -214,31 +219,34 @@ class TokenizationAutomaton:
         whole = self.whole.get(symbols)
         if whole is not None:
             return [whole]
-        absent, rows, byte, bit = self.arcs.absent, self._row, self._byte, self._bit
-        ends, longest = self._ends, self._longest
+        if not symbols:
+            return []
+        absent, rows, longest, trie = self.arcs.absent, self._row, self._longest, self.trie
         n, at, state, path = len(symbols), 0, None, []
         passed: list[tuple] = []  # position, state and the labels not yet tried there
         dead: set[tuple[int, int]] = set()
         row = 0
-        while at < n:
+        while True:
             # The symbols' transitions, as far as a label can be spelled.
-            node = self.trie
+            node = trie
             for symbol in symbols[at : at + longest]:
                 after = node.get(symbol)
                 if after is None:
-                    labels = iter(node[INNER])
                     break
                 node = after
             else:
-                labels = iter(node[INNER])
-                if LAST in node and n - at <= longest:
-                    labels = chain(((n - at, node[LAST]),), labels)
+                last = node.get(LAST) if n - at <= longest else None
+                if last is not None and (state is None or not absent[row + self._byte[last]] & self._bit[last]):
+                    path.append(last)
+                    return path
+            labels = iter(node[INNER])
             while True:
-                for length, label in labels:
-                    stop = at + length
-                    if state is not None and absent[row + byte[label]] & bit[label]:
+                for length, label, byte, bit in labels:
+                    if state is not None and absent[row + byte] & bit:
                         continue
-                    if stop == n and label not in ends or dead and (stop, label) in dead:
+                    stop = at + length
+                    # Only a last label ends the word.
+                    if stop == n or dead and (stop, label) in dead:
                         continue
                     break
                 else:
@@ -255,7 +263,6 @@ class TokenizationAutomaton:
             path.append(label)
             at, state = stop, label
             row = rows[label]
-        return path
 
 
 class PlainSplitter:
@@ -274,11 +281,14 @@ class PlainSplitter:
         self.letters = byte_letters()
         self.plain = re.compile("[!-~¡-¬®-įı-ɏ]+")
         self.split = regex.compile(self.PATTERN)
+        self.split_ascii = re.compile(self.PATTERN.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
 
     def words(self, text: str) -> list[str] | None:
         """Words in byte letters, or None for what is not plain."""
         if not (self.serves and self.plain.fullmatch(text)):
             return None
+        if text.isascii():
+            return self.split_ascii.findall(text.lower())
         letters = self.letters
         return [
             w if w.isascii() else "".join([letters[b] for b in w.encode()]) for w in self.split.findall(text.lower())
@@ -301,9 +311,12 @@ class WordCodec:
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.plain = PlainSplitter(spec)
-        weigh = lambda found: 120 + len(found[0]) + len(found[1])
-        self.word = Memo(self._word, min(cache_bytes, WORD_BYTES), weigh)
-        self.chunk = Memo(self._chunk, cache_bytes, weigh)
+        self.word = Memo(self._word, min(cache_bytes, WORD_BYTES), len)
+        self.chunk = Memo(self._chunk, cache_bytes, len)
+        ids = range(max(self.label, default=-1) + 1)
+        #: What each identifier is written as, and the label that it gives.
+        self.written = pa.array([b"%d" % i for i in ids])
+        self.labels = pa.array([self.label[i].encode() if i in self.label else None for i in ids], pa.binary())
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
 
     def words(self, text: str) -> list[str]:
@@ -313,43 +326,64 @@ class WordCodec:
             words = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
         return words
 
-    def _word(self, word: str) -> tuple[bytes, bytes]:
-        """Decimal identifiers of a pre-split word, joined by spaces, and packed ones."""
-        return self._written(self.automaton.encode(word))
-
-    @staticmethod
-    def _written(ids: list[int]) -> tuple[bytes, bytes]:
-        return " ".join(map(str, ids)).encode(), array("i", ids).tobytes()
+    def _word(self, word: str) -> bytes:
+        """Packed identifiers of a pre-split word."""
+        return array("i", self.automaton.encode(word)).tobytes()
 
-    def _chunk(self, chunk: bytes) -> tuple[bytes, bytes]:
+    def _chunk(self, chunk: bytes) -> bytes:
         """The same for a chunk between white space."""
+        if chunk.isalpha() and self.plain.serves:  # Latin letters without marks are one word
+            return self.word[chunk.lower().decode()]
         text = chunk.decode()
+        if "<|" not in text:
+            return b"".join(map(self.word.__getitem__, self.words(text)))
         found = []
-        word_ids = self.word.__getitem__
-        stretches = self.cut.split(text) if "<|" in text else (text,)
-        for stretch in stretches:
+        for stretch in self.cut.split(text):
             if stretch in self.special:
-                found.append(self._written([self.special[stretch]]))
+                found.append(array("i", [self.special[stretch]]).tobytes())
             elif stretch:
-                found += map(word_ids, self.words(stretch))
-        if len(found) == 1:
-            return found[0]
-        return b" ".join([ids for ids, _ in found]), b"".join([packed for _, packed in found])
+                found += map(self.word.__getitem__, self.words(stretch))
+        return b"".join(found)
 
     def decode(self, ids) -> str:
         """The labels of the path, joined as the library joins tokens where no decoder is set."""
         return " ".join(map(self.label.__getitem__, ids))
 
+    def pack(self, text: bytes) -> bytes:
+        """Packed identifiers of a whole UTF-8 text."""
+        return b"".join(map(self.chunk.__getitem__, text.split()))
+
     def encode_text(self, text: bytes) -> tuple[bytes, bytes]:
         """Decimal identifiers and packed identifiers of a whole UTF-8 text."""
-        if not text.strip():
-            return b"", b""
-        ids, packed = zip(*map(self.chunk.__getitem__, text.split()))
-        return b" ".join(filter(None, ids)), b"".join(packed)
+        packed = self.pack(text)
+        return joined(self.written, [packed])[0], packed
 
     def decode_packed(self, packed: bytes) -> bytes:
         """The decoded text of packed identifiers, in UTF-8."""
-        return self.decode(array("i", packed)).encode()
+        return joined(self.labels, [packed])[0]
+
+
+def joined(names: pa.BinaryArray, packed: list[bytes]) -> list[bytes]:
+    """For each text's packed identifiers their ``names``, joined by spaces; PACKED_BYTES at a time."""
+    found: list[bytes] = []
+    group, size = [], 0
+
+    def of_group(parts: list[bytes]) -> list[bytes]:
+        ends = np.cumsum([0, *[len(p) // 4 for p in parts]])
+        ids = pa.array(np.frombuffer(b"".join(parts), "<i4"))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(ids)), b" ").to_pylist()
+
+    for flat in packed:
+        if size + len(flat) > PACKED_BYTES:
+            found += of_group(group)
+            group, size = [], 0
+        if len(flat) > PACKED_BYTES:
+            parts = range(0, len(flat), PACKED_BYTES)
+            found.append(b" ".join([of_group([flat[a : a + PACKED_BYTES]])[0] for a in parts]))
+        else:
+            group.append(flat)
+            size += len(flat)
+    return found + of_group(group)
 
 
 def model_parts(path: str) -> tuple[dict[str, int], list[tuple[str, str]], dict]:
@@ -422,13 +456,13 @@ def _digests(of: WordCodec, texts: list[bytes], packed: bool = False):
     Each text is encoded, and its identifiers are decoded.
     """
     counts, ids_sha, text_sha, kept = [], [], [], []
-    for text in texts:
-        ids, flat = of.encode_text(text)
-        counts.append(len(flat) // 4)
-        ids_sha.append(hashlib.sha256(ids).hexdigest())
-        text_sha.append(hashlib.sha256(of.decode_packed(flat)).hexdigest())
+    for a in range(0, len(texts), ROWS_AT_ONCE):
+        flat = [of.pack(text) for text in texts[a : a + ROWS_AT_ONCE]]
+        counts += [len(f) // 4 for f in flat]
+        for out, names in ((ids_sha, of.written), (text_sha, of.labels)):
+            out += [hashlib.sha256(t).hexdigest() for t in joined(names, flat)]
         if packed:
-            kept.append(flat)
+            kept += flat
     return (counts, ids_sha, text_sha), b"".join(kept)
 
 

@@ -28,3 +28,21 @@ def test_nested_and_overlapping_ranges(spark):
     hit = {k for k, _ in inside}
     rest = {(k, i) for a, k, _, _ in elements for b, i, _, _ in ranges if a == b and k not in hit}
     assert {(r["k"], r["id"]) for r in smell_bridge.narrowed(df, known, ["file"], "k", "s", "e", "f", "l").collect()} == inside | rest
+
+
+def test_elements_outside_all_ranges_of_one_key_fill_many_tasks(spark):
+    elements = spark.range(60).selectExpr("concat('a', id % 2) AS file", "id AS k", "IF(id < 40, 900, CAST(id AS INT)) AS f", "IF(id < 40, 901, CAST(id AS INT)) AS l")
+    ranges = spark.range(500).selectExpr("concat('a', id % 4) AS file", "id", "CAST(id % 300 AS INT) AS s", "CAST(id % 300 + 40 AS INT) AS e")
+    limit, smell_bridge.PAIRS_OF_TASK = smell_bridge.PAIRS_OF_TASK, 250
+    try:
+        out = smell_bridge.narrowed(elements, ranges, ["file"], "k", "s", "e", "f", "l").cache()
+    finally:
+        smell_bridge.PAIRS_OF_TASK = limit
+    far = out.where("k < 40")
+    assert far.count() == 40 * 125 and far.select("k", "id").distinct().count() == 40 * 125
+    assert far.where("substr(file, 2) <> k % 2 OR id % 4 <> k % 2").count() == 0
+    shares = [n for n in far.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    # One key has 2,500 such pairs, which one task made before.
+    assert len(shares) > 4 and max(shares) < 2000
+    near = {(k, i) for k in range(40, 60) for i in range(500) if i % 4 == k % 2 and i % 300 <= k <= i % 300 + 40}
+    assert {(r["k"], r["id"]) for r in out.where("k >= 40").collect()} == near and len(near) == out.where("k >= 40").count()

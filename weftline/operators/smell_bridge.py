@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text
 from weftline.functions.strings import similarity, strip_test_marker
 from weftline.operators.relational import ORD, keep_first, union_all
+from weftline.session import cut_lineage
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -77,12 +78,31 @@ def containing(elements: DataFrame, ranges: DataFrame, keys: Sequence[str], star
     return asked.join(spread(binned), same & inside).drop("__ask", "__level", "__bin", *[f"__k_{k}" for k in keys])
 
 
+#: Pairs of an element and a range of its key that one task makes where no range contains the element.
+PAIRS_OF_TASK = 5_000_000
+
+
 def narrowed(elements: DataFrame, ranges: DataFrame, keys: Sequence[str], row: str, start: str, end: str, first: str, last: str) -> DataFrame:
     """Elements (each with its own ``row``) with the ranges of their key that contain their lines, if
-    any does; else with all ranges of the key."""
+    any does; else with all ranges of the key.
+
+    The latter are elements times ranges: where a key has many such pairs its ranges are dealt into
+    parts, as many as the pairs need, and its elements go to each, so a few keys fill all tasks.
+    """
     inside = containing(elements, ranges, keys, start, end, first, last)
-    rest = elements.join(spread(inside.select(row)), row, "left_anti").join(spread(ranges), list(keys))
-    return inside.unionByName(rest)
+    rest = cut_lineage(elements.join(spread(inside.select(row)), row, "left_anti"))
+    loads = rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).join(spread(ranges.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m"))), list(keys))
+    loads = cut_lineage(loads.select(*keys, F.ceil(F.col("__n") * F.col("__m") / PAIRS_OF_TASK).alias("__parts")))
+    parts, most = loads.agg(F.sum("__parts"), F.max("__parts")).first()
+    if (most or 0) <= 1:
+        return inside.unionByName(rest.join(spread(ranges), list(keys)))
+    tasks = max(parts, int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    place = F.pmod(F.xxhash64(*[c for c in ranges.columns if c not in keys]), "__parts")
+    dealt = ranges.join(spread(loads), list(keys)).withColumn("__part", place).drop("__parts")
+    asked = rest.join(spread(loads), list(keys)).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1))).drop("__parts")
+    met = [*keys, "__part"]
+    pairs = asked.repartition(tasks, *met).join(spread(dealt.repartition(tasks, *met)), met).drop("__part")
+    return inside.unionByName(pairs)
 
 
 def smell_items(raw: DataFrame) -> DataFrame:
